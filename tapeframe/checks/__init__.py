@@ -1,2 +1,2 @@
-from . import factor_checks  # noqa: F401
+from . import factor_checks, quality_checks, sequence_checks  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

@@ -32,7 +32,10 @@ from base""",
 from base group by sample_id, d""",
     "label": """select sample_id, cast(l_suppkey % 12 as int) as month, avg(l_tax)-avg(l_discount) as target
 from base group by sample_id, l_suppkey""",
+    "calendar": "select s_suppkey*10 + unnest(range(0,8)) as sample_id from supplier",
     "months": "select distinct sample_id, cast(l_suppkey % 12 as int) as month from base",
+    "pred": """select label.*, p_a, p_b, p_c from label join (select sample_id, avg(price)-2e0 as p_a,
+      sum(case when side=0 then volume else -volume end) as p_b, max(price) as p_c from trade group by 1) using (sample_id)""",
     "tr": f"""select *, cast(floor(s) as int) as sec, case when side=0 then 1e0 else -1e0 end as sgn,
        row_number() over w - 1 as idx, count(*) over (partition by sample_id) as n,
        {", ".join(f"price - lag(price,{k}) over w as dp{k}" for k in (1, 7, 14, 21, 30))},
@@ -61,6 +64,7 @@ from bk0 window w as (partition by sample_id order by s)""",
 }
 NEEDS = {
     "trade": ["base"], "ord": ["base"], "market": ["base"], "label": ["base"], "months": ["base"],
+    "pred": ["label", "trade"],
     "tr": ["trade"], "orr": ["ord"], "bk0": ["market"], "bk": ["bk0"],
 }
 

@@ -192,6 +192,22 @@ def _blocked(df, keys, order, rows, limit, idx, total, lags, fills, firsts, sums
     return res
 
 
+def with_group_values(tape: Tape, values: Mapping[str, Column]) -> DataFrame:
+    """Aggregates of the episode on each of its rows. Short episodes use a window, so a later window or
+    groupBy on the episode needs no further shuffle; hot ones are aggregated map-side and broadcast."""
+    w = Window.partitionBy(tape.key)
+
+    def short(part: DataFrame) -> DataFrame:
+        return part.select("*", *[v.over(w).alias(n) for n, v in values.items()])
+
+    if tape.hot is None:
+        return short(tape.df)
+    marked = F.broadcast(tape.hot.keys.select(tape.key))
+    warm = tape.df.join(marked, tape.key, "left_semi")
+    per_group = F.broadcast(warm.groupBy(tape.key).agg(*[v.alias(n) for n, v in values.items()]))
+    return short(tape.df.join(marked, tape.key, "left_anti")).unionByName(warm.join(per_group, tape.key))
+
+
 def newest_rows(tape: Tape, k: int, *, idx: str = "idx") -> DataFrame:
     """The k newest rows of each episode with their position. Spark keeps at most k rows per episode
     and task before the shuffle (window group limit), so a hot episode costs k rows per task."""

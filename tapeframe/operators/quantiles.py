@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import div
@@ -81,6 +81,14 @@ def with_rank(
 ) -> DataFrame:
     """Average rank of `value` within `keys`; normalised maps it to [-1, 1] and gives null in groups
     below `min_rows`. Null values keep a null rank."""
+    if hot is None:
+        w, x = Window.partitionBy(*keys), F.col(value)
+        ties = F.count(x).over(Window.partitionBy(*keys, value))
+        first = F.rank().over(w.orderBy(x.asc_nulls_last()))
+        n, rank = F.count(x).over(w), first + (ties - 1) / F.lit(2.0)
+        if normalised:
+            rank = F.when(n >= min_rows, div(2 * (rank - 1), n - 1) - 1)
+        return df.withColumn(out, F.when(x.isNotNull(), rank))
     table = value_ranks(df, keys, value, hot=hot, limit=limit)
     rank = F.col("rank")
     if normalised:

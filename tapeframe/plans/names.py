@@ -76,3 +76,35 @@ PAIR_NAMES = [f"xp_{a}__{b}" for a, b in PAIRS]
 BASE_HELPERS = "mid micro mid60 micro60 mid600".split()
 
 ALL = [*BASE, *EXT1, *EXT2, *EXT3, *PAIR_NAMES]
+
+# fixed values: how a factor is brought to a common unit before a tabular model
+TICK = """
+spread0 spread_mean60 d60_mid d600_mid d60_micro mid_vol60 mid_vol600 sig_txn curv
+vwap_dev60 vwap_dev600 micro_imb0 micro_imb60
+ask_slope_mean60 bid_slope_mean60 slope_imb60 m_rv60 m_rv600
+m_mid_std m_sp_mean m_sp_std t_px_std t_firstlast_px
+t_pxdiff1_mean t_pxdiff1_std t_pxdiff7_mean t_pxdiff7_std
+o_px_std o_pxdiff1_mean o_pxdiff1_std o_pxdiff7_std
+t_pxdiff14_mean t_pxdiff14_std t_pxdiff21_std t_pxdiff30_std o_pxdiff14_std
+m_sp_q75 m_mid_ret_abs_mean60 m_mid_slope_180 m_mid_slope_60 m_ask_gap_mean60 m_bid_gap_mean60
+""".split()
+TICK_ASINH = "t_sd t_sd_15 t_sd_45 t_sd_ewm45".split()
+ASINH = """
+ofi ofi_w30 ofi_w10 ofi_5s t_n t_vol o_n o_vol last_gap
+t_has_data_15 t_miss_max o_has_data_15 o_miss_max t_large_buy t_large_sell
+m_dofi m_dofi_60 m_dofi_ewm120 x_dofi_ewm_sl
+t_gap_mean t_gap_std t_gap_max t_firstthird_vol t_voldiff1_mean t_voldiff7_mean
+o_bid_depth o_ask_depth o_sv o_av o_gap_mean o_gap_std o_firstthird_vol o_voldiff1_mean
+m_dofi2_sum60 m_dofi2_ewm120 m_txv_std30 t_sv_5 t_sv_60 t_vol_5 t_n_60 t_vol_max30
+t_voldiff14_mean t_voldiff21_mean o_voldiff14_mean t_large_buy_15 t_large_sell_15
+o_sv_ewm15 o_av_ewm45 o_vol_max30
+""".split() + PAIR_NAMES
+RAW = [f for f in ALL if f not in {*TICK, *TICK_ASINH, *ASINH}]
+
+
+def unit_classes_of(columns):
+    """The unit class of each wanted column; the four classes must cover all factors exactly once."""
+    classes = {"tick": TICK, "tick_asinh": TICK_ASINH, "asinh": ASINH, "raw": RAW}
+    if sorted(c for cols in classes.values() for c in cols) != sorted(ALL):
+        raise ValueError("unit classes do not partition the factors")
+    return {kind: [c for c in cols if c in set(columns)] for kind, cols in classes.items()}

@@ -93,11 +93,26 @@ class Episodes:
             .select("sample_id", (F.col("l_suppkey") % 12).cast("int").alias("month"), "target")
         )
 
+    @cached_property
+    def predictions(self) -> DataFrame:
+        """Three stand-in members of an ensemble: fixed formulas per episode, with label and scale."""
+        sgn = F.when(F.col("side") == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+        members = self.trade.df.groupBy("sample_id").agg(
+            (F.avg("price") - F.lit(2.0)).alias("p_a"), F.sum(sgn * F.col("volume")).alias("p_b"), F.max("price").alias("p_c")
+        )
+        return self.label.join(members, "sample_id")
+
     @cached_property
     def months(self) -> DataFrame:
         """sample_id, month without reading more than the keys."""
         return self.base.select("sample_id", (F.col("l_suppkey") % 12).cast("int").alias("month")).distinct()
 
+    @cached_property
+    def calendar(self) -> DataFrame:
+        """Every supplier and year 1995-2002 as episode ids; some of them have no events."""
+        years = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("y")
+        return self.table("supplier").select("s_suppkey", years).select((F.col("s_suppkey") * 10 + F.col("y")).alias("sample_id"))
+
     @cached_property
     def hot_months(self) -> Hot | None:
         return find_hot(self.months, ["month"])
