@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.aggregates import cosine
 from ..functions.scalars import round6_all
 from ..operators import grid, quality as Q, sequences as S
-from ..operators.ordered import DEFAULT_LIMIT, find_hot
+from ..operators.ordered import find_hot
 from ..plans import book
 from ..sources.adapters import Episodes
 from .registry import check
@@ -198,8 +198,8 @@ SHOWN = ["spread_n", "book_imb", "depth_rel", "dt", "rel_t", "tvol_dep"]
 )
 def medians(e: Episodes):
     seq = S.snapshot_sequence(e.market).join(e.months.select("sample_id", F.expr(SPLIT).alias("split")), "sample_id")
-    hot = find_hot(e.base.select(F.expr("case when l_suppkey % 12 < 6 then 'train' else 'test' end").alias("split")), ["split"])
-    return round6_all(Q.channel_medians(seq, SHOWN, "split", hot=hot, limit=DEFAULT_LIMIT))
+    hot = find_hot(e.base.select(F.expr("case when l_suppkey % 12 < 6 then 'train' else 'test' end").alias("split")), ["split"], e.limit)
+    return round6_all(Q.channel_medians(seq, SHOWN, "split", hot=hot, limit=e.limit))
 
 
 @check(
@@ -277,5 +277,5 @@ def split_quantiles(e: Episodes):
     count = lambda tape, name: tape.df.groupBy("sample_id").agg(F.count(F.lit(1)).alias(name))
     df = S.snapshot_index(e.market).join(count(e.order, "o_n"), "sample_id", "left").join(count(e.trade, "t_n"), "sample_id", "left")
     df = df.withColumn("pad_frac", 1 - F.col("n_valid") / F.lit(224.0)).join(e.months.select("sample_id", F.expr(SPLIT).alias("split")), "sample_id")
-    hot = find_hot(e.months.select(F.expr(SPLIT).alias("split")), ["split"])
-    return round6_all(Q.quantile_table(df, IDX, "split", hot=hot, limit=DEFAULT_LIMIT))
+    hot = find_hot(e.months.select(F.expr(SPLIT).alias("split")), ["split"], e.limit)
+    return round6_all(Q.quantile_table(df, IDX, "split", hot=hot, limit=e.limit))

@@ -11,6 +11,7 @@ from .sql import with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+PLANS: dict[str, Callable[[Episodes], DataFrame]] = {}
 
 
 def check(name: str, *, views: str = "", ctes: str = "", select: str | None = None):
@@ -19,6 +20,7 @@ def check(name: str, *, views: str = "", ctes: str = "", select: str | None = No
     def register(fn: Callable[[Episodes], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
+        PLANS[name] = fn
         QUERIES[name] = lambda spark, folder: fn(episodes(spark, folder))
         if select is not None:
             SQL[name] = with_views(views, ctes, select)

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import round6_all
 from ..operators import grid, sequences as S
-from ..operators.ordered import DEFAULT_LIMIT
 from ..sources.adapters import Episodes
 from .registry import check
 from .sql import TIES
@@ -206,7 +205,7 @@ def right_padded(e: Episodes):
       r6(quantile_cont(c,0.99)) as q99, r6(quantile_cont(c,0.999)) as q999 from c""",
 )
 def event_counts(e: Episodes):
-    return round6_all(S.event_count_profile(e.trade, e.calendar, hot=e.hot_all, limit=DEFAULT_LIMIT))
+    return round6_all(S.event_count_profile(e.trade, e.calendar, hot=e.hot_all, limit=e.limit))
 
 
 # ---- the 60 x 1 s grid --------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from functools import cached_property, lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ordered import Hot, Tape, find_hot
+from ..operators.ordered import DEFAULT_LIMIT, Hot, Tape, find_hot
 
 TIES = ("l_orderkey", "l_linenumber", "l_partkey")
 ORDER_SECONDS, MARKET_SECONDS = 60.0, 600.0
@@ -21,6 +21,7 @@ class Episodes:
 
     spark: SparkSession
     folder: str
+    limit: int = DEFAULT_LIMIT
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -43,14 +44,21 @@ class Episodes:
 
     @cached_property
     def _hot_events(self) -> Hot | None:
-        return find_hot(self.base.select("sample_id"), ["sample_id"])
+        return find_hot(self.base.select("sample_id"), ["sample_id"], self.limit)
+
+    @cached_property
+    def _hot_snapshots(self) -> Hot | None:
+        """An episode has at most one snapshot per day, so none can pass a limit of 366 rows or more."""
+        if self.limit >= 366:
+            return None
+        return find_hot(self.base.select("sample_id", "d").distinct(), ["sample_id"], self.limit)
 
     @cached_property
     def trade(self) -> Tape:
         df = self.base.select(
             "sample_id", _clock(ORDER_SECONDS), F.col("px").alias("price"), "volume", "side", *TIES
         )
-        return Tape(df, ties=TIES, hot=self._hot_events)
+        return Tape(df, ties=TIES, limit=self.limit, hot=self._hot_events)
 
     @cached_property
     def order(self) -> Tape:
@@ -58,7 +66,7 @@ class Episodes:
         df = self.base.select(
             "sample_id", _clock(ORDER_SECONDS), price.alias("price"), "volume", "side", "order_action", *TIES
         )
-        return Tape(df, ties=TIES, hot=self._hot_events)
+        return Tape(df, ties=TIES, limit=self.limit, hot=self._hot_events)
 
     @cached_property
     def market(self) -> Tape:
@@ -82,8 +90,7 @@ class Episodes:
             .withColumn("s", F.lit(MARKET_SECONDS) * F.col("d") / F.lit(366))
             .drop("d")
         )
-        # one snapshot per episode and day, at most 366 rows each: no hot episode is possible
-        return Tape(df, hot=None)
+        return Tape(df, limit=self.limit, hot=self._hot_snapshots)
 
     @cached_property
     def label(self) -> DataFrame:
@@ -115,21 +122,21 @@ class Episodes:
 
     @cached_property
     def hot_months(self) -> Hot | None:
-        return find_hot(self.months, ["month"])
+        return find_hot(self.months, ["month"], self.limit)
 
     @cached_property
     def hot_all(self) -> Hot | None:
         """All episodes as one group `_all`, hot when there are more of them than the row limit."""
-        return find_hot(self.months.select(F.lit(0).alias("_all")), ["_all"])
+        return find_hot(self.months.select(F.lit(0).alias("_all")), ["_all"], self.limit)
 
     @cached_property
     def hot_month_trades(self) -> Hot | None:
         """Periods with more trades than the row limit."""
-        return find_hot(self.base.select((F.col("l_suppkey") % 12).cast("int").alias("month")), ["month"])
+        return find_hot(self.base.select((F.col("l_suppkey") % 12).cast("int").alias("month")), ["month"], self.limit)
 
     @cached_property
     def hot_all_trades(self) -> Hot | None:
-        return find_hot(self.base.select(F.lit(0).alias("_all")), ["_all"])
+        return find_hot(self.base.select(F.lit(0).alias("_all")), ["_all"], self.limit)
 
     @cached_property
     def clicks(self) -> Tape:
@@ -141,7 +148,7 @@ class Episodes:
             "event_type",
             F.col("value").alias("volume"),
         )
-        return Tape.of(df, ties=("event_id",))
+        return Tape.of(df, ties=("event_id",), limit=self.limit)
 
 
 def _clock(seconds: float):
@@ -149,5 +156,5 @@ def _clock(seconds: float):
 
 
 @lru_cache(maxsize=16)
-def episodes(spark: SparkSession, folder: str) -> Episodes:
-    return Episodes(spark, folder)
+def episodes(spark: SparkSession, folder: str, limit: int = DEFAULT_LIMIT) -> Episodes:
+    return Episodes(spark, folder, limit)
