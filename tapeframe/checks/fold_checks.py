@@ -256,19 +256,24 @@ def sensitivity(e: Episodes):
     return round6_all(B.sensitivity(blend_moments(e, M), [SENS_A, SENS_B]), "w1", "w2")
 
 
-POW = PR + f", {FILL}, us as (select sample_id, r6(U_s) as U_s from sc), lm as (select avg(ln(U_s)) as m from pr join us using (sample_id)), lu as (select pr.*, U_s, ln(U_s)-m as lu from pr join us using (sample_id) cross join lm)"
+POW = PR + f", {FILL}, us as (select sample_id, r6(med_depth) as U_s from sc), lm as (select avg(ln(U_s)) as m from pr join us using (sample_id)), lu as (select pr.*, U_s, ln(U_s)-m as lu from pr join us using (sample_id) cross join lm)"
 WGRID = "(select i as o, (i-40)*0.025e0 as w from (select unnest(range(0,81)) as i))"
 EXPONENTS = [(i - 40) * 0.025 for i in range(81)]
 
 
+def depth_unit(e: Episodes):
+    """Median depth as the unit: the price unit of these tables is the same in every episode."""
+    return round6_all(S.snapshot_index(e.market).select("sample_id", F.col("med_depth").alias("U_s")))
+
+
 def scaled_members(e: Episodes):
-    us = round6_all(S.snapshot_index(e.market).select("sample_id", "U_s"))
+    us = depth_unit(e)
     return B.centred_log(pr(e).join(us, "sample_id"), "U_s")
 
 
 
 
-@check("b5_power_in_sample", views="pred market", ctes=POW + f", gw as (select w, o, r6(cosine(p_a*exp(w*lu),target)*1e3) as cos from lu cross join {WGRID} group by 1,2), b as (select *, row_number() over (order by cos desc, o) as r from g)",
+@check("b5_power_in_sample", views="pred market", ctes=POW + f", gw as (select w, o, r6(cosine(p_a*exp(w*lu),target)*1e3) as cos from lu cross join {WGRID} group by 1,2), b as (select *, row_number() over (order by cos desc, o) as r from gw)",
        select="select r6(w) as w, r6(cos/1e3) as cos from b where r=1")
 def power_in_sample(e: Episodes):
     mom = B.power_moments(scaled_members(e), "p_a", "target", "lu", EXPONENTS, [])
@@ -276,7 +281,7 @@ def power_in_sample(e: Episodes):
 
 
 @check("b5_power_held_out", views="pred market",
-       ctes=POW + f", gw as (select f.fold, w, o, r6(cosine(p_a*exp(w*lu),target)*1e3) as cos from lu join (select distinct fold from pr) f on lu.fold<>f.fold cross join {WGRID} group by 1,2,3), b as (select *, row_number() over (partition by fold order by cos desc, o) as r from g)",
+       ctes=POW + f", gw as (select f.fold, w, o, r6(cosine(p_a*exp(w*lu),target)*1e3) as cos from lu join (select distinct fold from pr) f on lu.fold<>f.fold cross join {WGRID} group by 1,2,3), b as (select *, row_number() over (partition by fold order by cos desc, o) as r from gw)",
        select="select fold, r6(w) as w from b where r=1")
 def power_held_out(e: Episodes):
     mom = B.power_moments(scaled_members(e), "p_a", "target", "lu", EXPONENTS, ["fold"])
@@ -284,7 +289,7 @@ def power_held_out(e: Episodes):
 
 
 @check("b5_power_held_out_score", views="pred market",
-       ctes=POW + f", gw as (select f.fold, w, o, r6(cosine(p_a*exp(w*lu),target)*1e3) as cos from lu join (select distinct fold from pr) f on lu.fold<>f.fold cross join {WGRID} group by 1,2,3), b as (select *, row_number() over (partition by fold order by cos desc, o) as r from g)",
+       ctes=POW + f", gw as (select f.fold, w, o, r6(cosine(p_a*exp(w*lu),target)*1e3) as cos from lu join (select distinct fold from pr) f on lu.fold<>f.fold cross join {WGRID} group by 1,2,3), b as (select *, row_number() over (partition by fold order by cos desc, o) as r from gw)",
        select="select r6(cosine(p_a,target)) as plain, r6(cosine(p_a*exp(w*lu),target)) as held_out from lu join b on lu.fold=b.fold and b.r=1")
 def power_held_out_score(e: Episodes):
     from ..functions.aggregates import cosine
@@ -296,10 +301,10 @@ def power_held_out_score(e: Episodes):
 
 
 @check("b5_rescaled_submissions", views="pred market",
-       ctes=UNIT + f", {FILL}, us as (select sample_id, r6(U_s) as U_s from sc), x as (select un.*, U_s, p_b*pow(U_s,0.245e0) as q from un join us using (sample_id)), qm as (select avg(q) as m, sqrt(var_pop(q)*count(q)) as n from x)",
+       ctes=UNIT + f", {FILL}, us as (select sample_id, r6(med_depth) as U_s from sc), x as (select un.*, U_s, p_b*pow(U_s,0.245e0) as q from un join us using (sample_id)), qm as (select avg(q) as m, sqrt(var_pop(q)*count(q)) as n from x)",
        select="select sample_id, r6((u_p_a+0.5e0*u_p_b+0.25e0*u_p_c)*pow(U_s,0.2e0)) as all_scaled, r6(u_p_a+0.5e0*((q-m)/n)+0.25e0*u_p_c) as one_scaled from x cross join qm")
 def rescaled_submissions(e: Episodes):
-    us = round6_all(S.snapshot_index(e.market).select("sample_id", "U_s"))
+    us = depth_unit(e)
     df = pr(e).join(us, "sample_id").withColumn("q", B.power_rescaled("p_b", "U_s", 0.245))
     u = B.unit_columns(df, [*M, "q"]).withColumn("blend", B.blended([f"u_{m}" for m in M], [1.0, 0.5, 0.25]))
     return round6_all(u.select("sample_id", B.power_rescaled("blend", "U_s", 0.2).alias("all_scaled"), B.blended(["u_p_a", "u_q", "u_p_c"], [1.0, 0.5, 0.25]).alias("one_scaled")))

@@ -28,7 +28,8 @@ FV = "tr orr bk label"
 
 def fx(e: Episodes, cols=tuple(FX)):
     """Rounded factors and targets: ranks and bins must see the same ties in every engine."""
-    df = cross.catalogue(e.market, e.order, e.trade, list(cols)).withColumn("t_n", F.col("t_n").cast("double"))
+    df = cross.catalogue(e.market, e.order, e.trade, list(cols))
+    df = df.select("sample_id", *[F.col(c).cast("double") for c in cols])
     lab = e.label.select("sample_id", "month", (F.col("month") % 6).alias("fold"), "target")
     return round6_all(lab.join(df, "sample_id"))
 

@@ -3,7 +3,7 @@ idx 19 and 39 are the 20th and 40th snapshot back."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -60,7 +60,7 @@ def oldest(x: str, within: Column | None = None) -> Column:
     return F.max_by(x, i if within is None else F.when(within, i))
 
 
-def aggregates() -> dict[str, Column]:
+def aggregates() -> dict[str, Callable[[], Column]]:
     s, idx = F.col("s"), F.col("idx")
     a1, b1, a2, b2 = (F.col(c) for c in ("ask_price_1", "bid_price_1", "ask_price_2", "bid_price_2"))
     av1, bv1, av2, bv2 = (F.col(c) for c in ("ask_volume_1", "bid_volume_1", "ask_volume_2", "bid_volume_2"))
@@ -84,72 +84,72 @@ def aggregates() -> dict[str, Column]:
     mid0 = at(0, "mid")
     return {
         # base
-        "mid": mid0,
-        "micro": at(0, "micro"),
-        "mid60": at(19, "mid"),
-        "micro60": at(19, "micro"),
-        "mid600": oldest("mid"),
-        "d60_mid": mid0 - at(19, "mid"),
-        "d600_mid": mid0 - oldest("mid"),
-        "d60_micro": at(0, "micro") - at(19, "micro"),
-        "book_imb0": at(0, tilt),
-        "book_imb60": at(19, tilt),
-        "d_book_imb": at(0, tilt) - at(19, tilt),
-        "spread0": at(0, "spread"),
-        "spread_mean60": spread60,
-        "mid_vol60": vol60,
-        "mid_vol600": vol600,
-        "range_pos": F.when(hi > lo, div(mid0 - lo, hi - lo)),
-        "curv": mid0 - 2 * at(19, "mid") + at(39, "mid"),
-        "vwap600": div(F.sum(F.col("transaction_avgprice") * F.col("transaction_volume")), F.sum("transaction_volume")),
-        "vol_skew": F.when((up > 0) & (down > 0), div(up, down)),
-        "spread_sqz": div(at(0, "spread") - spread60, spread60),
-        "depth_flow": imbalance(at(0, depth), at(19, depth)),
-        "vol_ratio": F.when(vol600 > 0, div(vol60, vol600)),
-        "micro_imb0": at(0, "micro") - mid0,
-        "micro_imb60": at(19, "micro") - at(19, "mid"),
+        "mid": lambda: mid0,
+        "micro": lambda: at(0, "micro"),
+        "mid60": lambda: at(19, "mid"),
+        "micro60": lambda: at(19, "micro"),
+        "mid600": lambda: oldest("mid"),
+        "d60_mid": lambda: mid0 - at(19, "mid"),
+        "d600_mid": lambda: mid0 - oldest("mid"),
+        "d60_micro": lambda: at(0, "micro") - at(19, "micro"),
+        "book_imb0": lambda: at(0, tilt),
+        "book_imb60": lambda: at(19, tilt),
+        "d_book_imb": lambda: at(0, tilt) - at(19, tilt),
+        "spread0": lambda: at(0, "spread"),
+        "spread_mean60": lambda: spread60,
+        "mid_vol60": lambda: vol60,
+        "mid_vol600": lambda: vol600,
+        "range_pos": lambda: F.when(hi > lo, div(mid0 - lo, hi - lo)),
+        "curv": lambda: mid0 - 2 * at(19, "mid") + at(39, "mid"),
+        "vwap600": lambda: div(F.sum(F.col("transaction_avgprice") * F.col("transaction_volume")), F.sum("transaction_volume")),
+        "vol_skew": lambda: F.when((up > 0) & (down > 0), div(up, down)),
+        "spread_sqz": lambda: div(at(0, "spread") - spread60, spread60),
+        "depth_flow": lambda: imbalance(at(0, depth), at(19, depth)),
+        "vol_ratio": lambda: F.when(vol600 > 0, div(vol60, vol600)),
+        "micro_imb0": lambda: at(0, "micro") - mid0,
+        "micro_imb60": lambda: at(19, "micro") - at(19, "mid"),
         # first extension
-        "rel_spread2_0": at(0, F.when(level2, div(a2 - b2, "mid"))),
-        "imb2_0": at(0, F.when(all_depth > 0, div(bv1 + bv2 - av1 - av2, all_depth))),
-        "slope_0": at(0, F.when(level2, div((a2 - a1) + (b1 - b2), "mid"))),
-        "ask_slope_mean60": ask_slope60,
-        "bid_slope_mean60": bid_slope60,
-        "slope_imb60": bid_slope60 - ask_slope60,
-        "m_rv60": rv60,
-        "m_rv600": rv600,
-        "x_rv_60_600": F.when(rv600 > 0, div(rv60, rv600)),
+        "rel_spread2_0": lambda: at(0, F.when(level2, div(a2 - b2, "mid"))),
+        "imb2_0": lambda: at(0, F.when(all_depth > 0, div(bv1 + bv2 - av1 - av2, all_depth))),
+        "slope_0": lambda: at(0, F.when(level2, div((a2 - a1) + (b1 - b2), "mid"))),
+        "ask_slope_mean60": lambda: ask_slope60,
+        "bid_slope_mean60": lambda: bid_slope60,
+        "slope_imb60": lambda: bid_slope60 - ask_slope60,
+        "m_rv60": lambda: rv60,
+        "m_rv600": lambda: rv600,
+        "x_rv_60_600": lambda: F.when(rv600 > 0, div(rv60, rv600)),
         # second extension
-        "m_mid_last": at(0, "mid_v"),
-        "m_mid_mean": F.avg("mid_v"),
-        "m_mid_std": F.stddev_samp("mid_v"),
-        "m_mid_skew": F.skewness("mid_v"),
-        "m_sp_mean": F.avg("spread_v"),
-        "m_sp_std": F.stddev_samp("spread_v"),
-        "m_imb_mean": F.avg("imb"),
-        "m_imb_std": F.stddev_samp("imb"),
-        "m_imb2_mean60": favg(F.pow("imb", F.lit(2.0)), s60),
-        "m_dofi": fsum(dofi),
-        "m_dofi_60": fsum(dofi, s60),
-        "m_dofi_ewm120": decayed_mean("dofi", "s", 120),
-        "m_mid_ewm30": decayed_mean("mid_v", "s", 30),
-        "m_mid_ewm120": decayed_mean("mid_v", "s", 120),
-        "m_imb_ewm30": decayed_mean("imb", "s", 30),
-        "m_imb_ewm120": decayed_mean("imb", "s", 120),
-        "x_imb_ewm_sl": decayed_mean("imb", "s", 30) - decayed_mean("imb", "s", 120),
-        "x_dofi_ewm_sl": decayed_mean("dofi", "s", 30) - decayed_mean("dofi", "s", 120),
-        "x_mid_zscore": div(at(0, "mid_v") - F.avg("mid_v"), F.stddev_samp("mid_v") + F.lit(1e-12)),
-        "x_sp_imb": F.avg("spread_v") * F.avg("imb"),
+        "m_mid_last": lambda: at(0, "mid_v"),
+        "m_mid_mean": lambda: F.avg("mid_v"),
+        "m_mid_std": lambda: F.stddev_samp("mid_v"),
+        "m_mid_skew": lambda: F.skewness("mid_v"),
+        "m_sp_mean": lambda: F.avg("spread_v"),
+        "m_sp_std": lambda: F.stddev_samp("spread_v"),
+        "m_imb_mean": lambda: F.avg("imb"),
+        "m_imb_std": lambda: F.stddev_samp("imb"),
+        "m_imb2_mean60": lambda: favg(F.pow("imb", F.lit(2.0)), s60),
+        "m_dofi": lambda: fsum(dofi),
+        "m_dofi_60": lambda: fsum(dofi, s60),
+        "m_dofi_ewm120": lambda: decayed_mean("dofi", "s", 120),
+        "m_mid_ewm30": lambda: decayed_mean("mid_v", "s", 30),
+        "m_mid_ewm120": lambda: decayed_mean("mid_v", "s", 120),
+        "m_imb_ewm30": lambda: decayed_mean("imb", "s", 30),
+        "m_imb_ewm120": lambda: decayed_mean("imb", "s", 120),
+        "x_imb_ewm_sl": lambda: decayed_mean("imb", "s", 30) - decayed_mean("imb", "s", 120),
+        "x_dofi_ewm_sl": lambda: decayed_mean("dofi", "s", 30) - decayed_mean("dofi", "s", 120),
+        "x_mid_zscore": lambda: div(at(0, "mid_v") - F.avg("mid_v"), F.stddev_samp("mid_v") + F.lit(1e-12)),
+        "x_sp_imb": lambda: F.avg("spread_v") * F.avg("imb"),
         # third extension
-        "m_dofi2_sum60": fsum(dofi * dofi, s60),
-        "m_dofi2_ewm120": decayed_mean(dofi * dofi, "s", 120),
-        "m_mid_ret_abs_mean60": favg(F.abs("dmid_v"), s60),
-        "m_mid_slope_180": (at(0, "mid_v") - oldest("mid_v", s <= 180)) / 180,
-        "m_mid_slope_60": (at(0, "mid_v") - oldest("mid_v", s60)) / 60,
-        "m_imb_mean_15": imb15,
-        "x_imb_15_180": imb15 - imb180,
-        "m_txv_std30": fstd(txv, s <= 30),
-        "m_ask_gap_mean60": favg(a2 - a1, valid & (a2 > 0) & s60),
-        "m_bid_gap_mean60": favg(b1 - b2, valid & (b2 > 0) & s60),
+        "m_dofi2_sum60": lambda: fsum(dofi * dofi, s60),
+        "m_dofi2_ewm120": lambda: decayed_mean(dofi * dofi, "s", 120),
+        "m_mid_ret_abs_mean60": lambda: favg(F.abs("dmid_v"), s60),
+        "m_mid_slope_180": lambda: (at(0, "mid_v") - oldest("mid_v", s <= 180)) / 180,
+        "m_mid_slope_60": lambda: (at(0, "mid_v") - oldest("mid_v", s60)) / 60,
+        "m_imb_mean_15": lambda: imb15,
+        "x_imb_15_180": lambda: imb15 - imb180,
+        "m_txv_std30": lambda: fstd(txv, s <= 30),
+        "m_ask_gap_mean60": lambda: favg(a2 - a1, valid & (a2 > 0) & s60),
+        "m_bid_gap_mean60": lambda: favg(b1 - b2, valid & (b2 > 0) & s60),
     }
 
 
@@ -157,7 +157,7 @@ def factors(tape: Tape, names: Sequence[str]) -> DataFrame:
     """The named book factors, one row per episode with snapshots."""
     exprs, k = aggregates(), tape.key
     plain = [n for n in names if n in exprs]
-    parts = [rows(tape).groupBy(k).agg(*[exprs[n].alias(n) for n in plain])] if plain else []
+    parts = [rows(tape).groupBy(k).agg(*[exprs[n]().alias(n) for n in plain])] if plain else []
     ranked = {n: QUANTILES[n] for n in names if n in QUANTILES}
     if ranked:
         booked = with_book(tape.df).select(k, "imb", "spread_v")

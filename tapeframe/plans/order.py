@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,7 +21,7 @@ def flow_sign() -> Column:
     return F.when((F.col("side") == 0) == (F.col("order_action") == 0), F.lit(1.0)).otherwise(F.lit(-1.0))
 
 
-def aggregates() -> dict[str, Column]:
+def aggregates() -> dict[str, Callable[[], Column]]:
     buy, sell = F.col("side") == 0, F.col("side") == 1
     new, gone = F.col("order_action") == 0, F.col("order_action") == 1
     s, sec, v, p, sgn = F.col("s"), F.col("sec"), F.col("volume"), F.col("price"), F.col("sgn")
@@ -33,51 +33,51 @@ def aggregates() -> dict[str, Column]:
     e30, e10 = decay(s, 30), decay(s, 10)
     return {
         # base
-        "ofi": fsum(flow),
-        "ofi_w30": fsum(flow * e30),
-        "ofi_w10": fsum(flow * e10),
-        "ofi_norm": div(fsum(flow), fsum(v)),
-        "ofi_w30_norm": div(fsum(flow * e30), fsum(v * e30)),
-        "ofi_w10_norm": div(fsum(flow * e10), fsum(v * e10)),
-        "ofi_5s": F.sum(F.when(s <= 5, flow)),
-        "o_vol": fsum(v),
-        "o_n": F.count(F.lit(1)),
-        "cancel_imb": imbalance(buy_gone, sell_gone),
-        "patience_diff": imbalance(buy_new, buy_gone) - imbalance(sell_new, sell_gone),
+        "ofi": lambda: fsum(flow),
+        "ofi_w30": lambda: fsum(flow * e30),
+        "ofi_w10": lambda: fsum(flow * e10),
+        "ofi_norm": lambda: div(fsum(flow), fsum(v)),
+        "ofi_w30_norm": lambda: div(fsum(flow * e30), fsum(v * e30)),
+        "ofi_w10_norm": lambda: div(fsum(flow * e10), fsum(v * e10)),
+        "ofi_5s": lambda: F.sum(F.when(s <= 5, flow)),
+        "o_vol": lambda: fsum(v),
+        "o_n": lambda: F.count(F.lit(1)),
+        "cancel_imb": lambda: imbalance(buy_gone, sell_gone),
+        "patience_diff": lambda: imbalance(buy_new, buy_gone) - imbalance(sell_new, sell_gone),
         # first extension
-        "o_buy_ratio": F.avg(buy.cast("double")),
-        "o_buy_ratio_15": favg(buy.cast("double"), sec <= 15),
+        "o_buy_ratio": lambda: F.avg(buy.cast("double")),
+        "o_buy_ratio_15": lambda: favg(buy.cast("double"), sec <= 15),
         **near_far("o", ("vol", "rc", "cancel")),
         # second extension
-        "o_px_std": F.stddev_samp(p),
-        "o_px_skew": F.skewness(p),
-        "o_bid_depth": fsum(v, buy),
-        "o_ask_depth": fsum(v, sell),
-        "o_sv": fsum(sgn * v),
-        "o_av": fsum(act * v),
-        "o_gap_mean": F.avg("gap"),
-        "o_gap_std": F.stddev_samp("gap"),
-        "o_gap_cv": div(F.stddev_samp("gap"), F.avg("gap")),
-        "o_cancel_new_ratio": div(fcnt(gone), fcnt(new) + 1),
-        "o_firsthalf_price": div(favg(p, half), favg(p, ~half)) - 1,
-        "o_firstthird_vol": div(fsum(v, third), fsum(v, last_third)),
-        "o_pxdiff1_mean": F.avg("dp1"),
-        "o_pxdiff1_std": F.stddev_samp("dp1"),
-        "o_pxdiff7_std": F.stddev_samp("dp7"),
-        "o_voldiff1_mean": F.avg("dv1"),
+        "o_px_std": lambda: F.stddev_samp(p),
+        "o_px_skew": lambda: F.skewness(p),
+        "o_bid_depth": lambda: fsum(v, buy),
+        "o_ask_depth": lambda: fsum(v, sell),
+        "o_sv": lambda: fsum(sgn * v),
+        "o_av": lambda: fsum(act * v),
+        "o_gap_mean": lambda: F.avg("gap"),
+        "o_gap_std": lambda: F.stddev_samp("gap"),
+        "o_gap_cv": lambda: div(F.stddev_samp("gap"), F.avg("gap")),
+        "o_cancel_new_ratio": lambda: div(fcnt(gone), fcnt(new) + 1),
+        "o_firsthalf_price": lambda: div(favg(p, half), favg(p, ~half)) - 1,
+        "o_firstthird_vol": lambda: div(fsum(v, third), fsum(v, last_third)),
+        "o_pxdiff1_mean": lambda: F.avg("dp1"),
+        "o_pxdiff1_std": lambda: F.stddev_samp("dp1"),
+        "o_pxdiff7_std": lambda: F.stddev_samp("dp7"),
+        "o_voldiff1_mean": lambda: F.avg("dv1"),
         # third extension
-        "o_sv_ewm15": fsum(sgn * v * decay(s, 15)),
-        "o_av_ewm45": fsum(act * v * decay(s, 45)),
-        "o_add_ratio": F.avg(new.cast("double")),
-        "o_pxdiff14_std": F.stddev_samp("dp14"),
-        "o_voldiff14_mean": F.avg("dv14"),
+        "o_sv_ewm15": lambda: fsum(sgn * v * decay(s, 15)),
+        "o_av_ewm45": lambda: fsum(act * v * decay(s, 45)),
+        "o_add_ratio": lambda: F.avg(new.cast("double")),
+        "o_pxdiff14_std": lambda: F.stddev_samp("dp14"),
+        "o_voldiff14_mean": lambda: F.avg("dv14"),
     }
 
 
 def factors(tape: Tape, names: Sequence[str]) -> DataFrame:
     exprs, k = aggregates(), tape.key
     plain = [n for n in names if n in exprs]
-    parts = [rows(tape).groupBy(k).agg(*[exprs[n].alias(n) for n in plain])] if plain else []
+    parts = [rows(tape).groupBy(k).agg(*[exprs[n]().alias(n) for n in plain])] if plain else []
     if any(n in PER_SECOND for n in names):
         parts.append(per_second(tape, "o").select(k, *[n for n in names if n in PER_SECOND]))
     return reduce(lambda a, b: a.join(b, k, "left"), parts).select(k, *names)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Callable, Sequence
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,30 +42,41 @@ def rows(tape: Tape) -> DataFrame:
     )
 
 
+def recent_imbalance(w: float) -> Column:
+    """Volume imbalance of the last w seconds."""
+    recent = F.col("s") <= w
+    return imbalance(fsum("volume", (F.col("side") == 0) & recent), fsum("volume", (F.col("side") == 1) & recent))
+
+
+def decayed_imbalance(tau: float) -> Column:
+    v = F.col("volume") * decay("s", tau)
+    return imbalance(fsum(v, F.col("side") == 0), fsum(v, F.col("side") == 1))
+
+
 def window_imbalances(windows: Sequence[int] = (2, 5, 10, 15, 30, 60), taus: Sequence[int] = (10, 20, 60)) -> dict[str, Column]:
     """Parameter scan: imbalance by look-back window and by decay constant, and the count imbalance."""
-    buy, sell, s, v = F.col("side") == 0, F.col("side") == 1, F.col("s"), F.col("volume")
-    out = {f"t_imb_{w}s": imbalance(fsum(v, buy & (s <= w)), fsum(v, sell & (s <= w))) for w in windows}
-    out |= {f"t_imb_w{t}": imbalance(fsum(v * decay(s, t), buy), fsum(v * decay(s, t), sell)) for t in taus}
-    out["t_count_imb"] = imbalance(fcnt(buy), fcnt(sell))
+    out = {f"t_imb_{w}s": recent_imbalance(w) for w in windows}
+    out |= {f"t_imb_w{t}": decayed_imbalance(t) for t in taus}
+    out["t_count_imb"] = imbalance(fcnt(F.col("side") == 0), fcnt(F.col("side") == 1))
     return out
 
 
-def near_far(prefix: str, kinds: Sequence[str]) -> dict[str, Column]:
+def near_far(prefix: str, kinds: Sequence[str]) -> dict[str, Callable[[], Column]]:
     """Nearer half of the last w seconds against the farther half, on whole seconds."""
-    sec, out = F.col("sec"), {}
-    for w in HALF_WINDOWS:
-        near, far = (sec <= w / 2), (sec > w / 2) & (sec <= w)
-        if "price" in kinds:
-            out[f"{prefix}_price_nf_{w}"] = div(favg("price", near), favg("price", far)) - 1
-        if "vol" in kinds:
-            out[f"{prefix}_vol_nf_{w}"] = div(fsum("volume", near), fsum("volume", far))
-        if "rc" in kinds:
-            out[f"{prefix}_rc_nf_{w}"] = div(fcnt(near), fcnt(far))
-        if "cancel" in kinds:
-            gone = F.col("order_action") == 1
-            out[f"{prefix}_cancel_nf_{w}"] = div(fcnt(near & gone), fcnt(far & gone))
-    return out
+
+    def ratio(kind: str, w: int) -> Column:
+        sec = F.col("sec")
+        near, far = sec <= w / 2, (sec > w / 2) & (sec <= w)
+        if kind == "price":
+            return div(favg("price", near), favg("price", far)) - 1
+        if kind == "vol":
+            return div(fsum("volume", near), fsum("volume", far))
+        if kind == "rc":
+            return div(fcnt(near), fcnt(far))
+        gone = F.col("order_action") == 1
+        return div(fcnt(near & gone), fcnt(far & gone))
+
+    return {f"{prefix}_{kind}_nf_{w}": partial(ratio, kind, w) for kind in kinds for w in HALF_WINDOWS}
 
 
 def thirds() -> tuple[Column, Column, Column]:
@@ -74,14 +85,13 @@ def thirds() -> tuple[Column, Column, Column]:
     return i * 2 < n, i * 3 < n, i * 3 >= n * 2
 
 
-def aggregates() -> dict[str, Column]:
+def aggregates() -> dict[str, Callable[[], Column]]:
     buy, sell = F.col("side") == 0, F.col("side") == 1
     s, sec, v, p, sgn = F.col("s"), F.col("sec"), F.col("volume"), F.col("price"), F.col("sgn")
     half, third, last_third = thirds()
     pv = sgn * p * v
     near15 = sec <= 15
     big_buy, big_sell = buy & (v > F.col("q90")), sell & (v > F.col("q95"))
-    scan = window_imbalances((2, 5), (10, 30))
     bought, sold = fsum(v, buy), fsum(v, sell)
     buy_size = div(bought, fcnt(buy & (v > 0)))
     sell_size = div(sold, fcnt(sell & (v > 0)))
@@ -90,69 +100,69 @@ def aggregates() -> dict[str, Column]:
     w15 = decay(s, 15)
     return {
         # base
-        "t_imb": imbalance(bought, sold),
-        "t_imb_w30": scan["t_imb_w30"],
-        "t_imb_w10": scan["t_imb_w10"],
-        "t_imb_2s": scan["t_imb_2s"],
-        "t_imb_5s": scan["t_imb_5s"],
-        "t_size_imb": imbalance(buy_size, sell_size),
-        "t_vol": fsum(v),
-        "t_n": F.count(F.lit(1)),
-        "sig_txn": F.stddev_samp("dp1"),
-        "last_gap": F.min(s),
-        "accel": F.when((recent > 0) & (distant > 0), imbalance(recent, distant)),
-        "t_vwap": vwap(),
+        "t_imb": lambda: imbalance(bought, sold),
+        "t_imb_w30": lambda: decayed_imbalance(30),
+        "t_imb_w10": lambda: decayed_imbalance(10),
+        "t_imb_2s": lambda: recent_imbalance(2),
+        "t_imb_5s": lambda: recent_imbalance(5),
+        "t_size_imb": lambda: imbalance(buy_size, sell_size),
+        "t_vol": lambda: fsum(v),
+        "t_n": lambda: F.count(F.lit(1)),
+        "sig_txn": lambda: F.stddev_samp("dp1"),
+        "last_gap": lambda: F.min(s),
+        "accel": lambda: F.when((recent > 0) & (distant > 0), imbalance(recent, distant)),
+        "t_vwap": lambda: vwap(),
         # first extension
-        "t_buy_ratio": F.avg(buy.cast("double")),
-        "t_buy_ratio_15": favg(buy.cast("double"), near15),
-        "t_n_15": fcnt(near15),
-        "t_large_buy": fcnt(big_buy),
-        "t_large_sell": fcnt(big_sell),
-        "x_large_imb": div(fcnt(big_buy) - fcnt(big_sell), fcnt(near15) + 1),
+        "t_buy_ratio": lambda: F.avg(buy.cast("double")),
+        "t_buy_ratio_15": lambda: favg(buy.cast("double"), near15),
+        "t_n_15": lambda: fcnt(near15),
+        "t_large_buy": lambda: fcnt(big_buy),
+        "t_large_sell": lambda: fcnt(big_sell),
+        "x_large_imb": lambda: div(fcnt(big_buy) - fcnt(big_sell), fcnt(near15) + 1),
         **near_far("t", ("price", "vol", "rc")),
         # second extension
-        "t_sd": fsum(pv),
-        "t_sd_15": fsum(pv, near15),
-        "t_sd_45": fsum(pv, sec <= 45),
-        "t_px_std": F.stddev_samp(p),
-        "t_px_skew": F.skewness(p),
-        "t_px_last": newest,
-        "t_lv_mean": F.avg(F.log1p(v)),
-        "t_gap_mean": F.avg("gap"),
-        "t_gap_std": F.stddev_samp("gap"),
-        "t_gap_max": F.max("gap"),
-        "t_gap_cv": div(F.stddev_samp("gap"), F.avg("gap")),
-        "t_firsthalf_price": div(favg(p, half), favg(p, ~half)) - 1,
-        "t_firsthalf_buyratio": favg(buy.cast("double"), half) - favg(buy.cast("double"), ~half),
-        "t_firstthird_vol": div(fsum(v, third), fsum(v, last_third)),
-        "t_firstlast_px": newest - oldest,
-        "x_t_signed_ratio": F.avg(sgn),
-        "x_t_signed_w15_diff": div(fsum(sgn * v * w15, near15), fsum(v * w15, near15)) - favg(sgn, near15),
-        "t_pxdiff1_mean": F.avg("dp1"),
-        "t_pxdiff1_std": F.stddev_samp("dp1"),
-        "t_pxdiff7_mean": F.avg("dp7"),
-        "t_pxdiff7_std": F.stddev_samp("dp7"),
-        "t_voldiff1_mean": F.avg("dv1"),
-        "t_voldiff7_mean": F.avg("dv7"),
+        "t_sd": lambda: fsum(pv),
+        "t_sd_15": lambda: fsum(pv, near15),
+        "t_sd_45": lambda: fsum(pv, sec <= 45),
+        "t_px_std": lambda: F.stddev_samp(p),
+        "t_px_skew": lambda: F.skewness(p),
+        "t_px_last": lambda: newest,
+        "t_lv_mean": lambda: F.avg(F.log1p(v)),
+        "t_gap_mean": lambda: F.avg("gap"),
+        "t_gap_std": lambda: F.stddev_samp("gap"),
+        "t_gap_max": lambda: F.max("gap"),
+        "t_gap_cv": lambda: div(F.stddev_samp("gap"), F.avg("gap")),
+        "t_firsthalf_price": lambda: div(favg(p, half), favg(p, ~half)) - 1,
+        "t_firsthalf_buyratio": lambda: favg(buy.cast("double"), half) - favg(buy.cast("double"), ~half),
+        "t_firstthird_vol": lambda: div(fsum(v, third), fsum(v, last_third)),
+        "t_firstlast_px": lambda: newest - oldest,
+        "x_t_signed_ratio": lambda: F.avg(sgn),
+        "x_t_signed_w15_diff": lambda: div(fsum(sgn * v * w15, near15), fsum(v * w15, near15)) - favg(sgn, near15),
+        "t_pxdiff1_mean": lambda: F.avg("dp1"),
+        "t_pxdiff1_std": lambda: F.stddev_samp("dp1"),
+        "t_pxdiff7_mean": lambda: F.avg("dp7"),
+        "t_pxdiff7_std": lambda: F.stddev_samp("dp7"),
+        "t_voldiff1_mean": lambda: F.avg("dv1"),
+        "t_voldiff7_mean": lambda: F.avg("dv7"),
         # third extension; the names say 5, the window is 15 s
-        "t_sv_5": fsum(sgn * v, s <= 15),
-        "t_sv_60": fsum(sgn * v),
-        "x_t_sv_5_60": div(fsum(sgn * v, s <= 15), fsum(sgn * v)),
-        "t_vol_5": fsum(v, s <= 15),
-        "x_t_vol_5_60": div(fsum(v, s <= 15), fsum(v)),
-        "t_n_60": F.count(F.lit(1)),
-        "x_tn_15_60": div(fcnt(s <= 15), F.count(F.lit(1))),
-        "t_sd_ewm45": fsum(pv * decay(s, 45)),
-        "t_buy_sell_vol_ratio": div(bought, sold + 1),
-        "t_large_buy_15": fcnt(big_buy & (s <= 15)),
-        "t_large_sell_15": fcnt(big_sell & (s <= 15)),
-        "x_large_imb_15": div(fcnt(big_buy & (s <= 15)) - fcnt(big_sell & (s <= 15)), fcnt(s <= 15) + 1),
-        "t_pxdiff14_mean": F.avg("dp14"),
-        "t_pxdiff14_std": F.stddev_samp("dp14"),
-        "t_pxdiff21_std": F.stddev_samp("dp21"),
-        "t_pxdiff30_std": F.stddev_samp("dp30"),
-        "t_voldiff14_mean": F.avg("dv14"),
-        "t_voldiff21_mean": F.avg("dv21"),
+        "t_sv_5": lambda: fsum(sgn * v, s <= 15),
+        "t_sv_60": lambda: fsum(sgn * v),
+        "x_t_sv_5_60": lambda: div(fsum(sgn * v, s <= 15), fsum(sgn * v)),
+        "t_vol_5": lambda: fsum(v, s <= 15),
+        "x_t_vol_5_60": lambda: div(fsum(v, s <= 15), fsum(v)),
+        "t_n_60": lambda: F.count(F.lit(1)),
+        "x_tn_15_60": lambda: div(fcnt(s <= 15), F.count(F.lit(1))),
+        "t_sd_ewm45": lambda: fsum(pv * decay(s, 45)),
+        "t_buy_sell_vol_ratio": lambda: div(bought, sold + 1),
+        "t_large_buy_15": lambda: fcnt(big_buy & (s <= 15)),
+        "t_large_sell_15": lambda: fcnt(big_sell & (s <= 15)),
+        "x_large_imb_15": lambda: div(fcnt(big_buy & (s <= 15)) - fcnt(big_sell & (s <= 15)), fcnt(s <= 15) + 1),
+        "t_pxdiff14_mean": lambda: F.avg("dp14"),
+        "t_pxdiff14_std": lambda: F.stddev_samp("dp14"),
+        "t_pxdiff21_std": lambda: F.stddev_samp("dp21"),
+        "t_pxdiff30_std": lambda: F.stddev_samp("dp30"),
+        "t_voldiff14_mean": lambda: F.avg("dv14"),
+        "t_voldiff21_mean": lambda: F.avg("dv21"),
     }
 
 
@@ -204,7 +214,7 @@ def factors(tape: Tape, names: Sequence[str]) -> DataFrame:
     threshold columns q90, q95 on the tape (see cross.with_size_thresholds)."""
     exprs, k = aggregates(), tape.key
     plain = [n for n in names if n in exprs]
-    parts = [rows(tape).groupBy(k).agg(*[exprs[n].alias(n) for n in plain])] if plain else []
+    parts = [rows(tape).groupBy(k).agg(*[exprs[n]().alias(n) for n in plain])] if plain else []
     if any(n in PER_SECOND for n in names):
         parts.append(per_second(tape, "t").select(k, *[n for n in names if n in PER_SECOND]))
     if "burst5" in names:
