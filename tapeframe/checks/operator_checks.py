@@ -341,7 +341,7 @@ def table_quantile(e: Episodes):
 
 @check("a9_two_level", views="trade", ctes="c as (select sample_id, floor(s/5) as b, count(*) as n from trade group by 1,2)", select="select sample_id, r6(max(n)/cast(sum(n) as double)) as burst5 from c group by 1")
 def two_level(e: Episodes):
-    return round6_all(trade.burst(e.trade))
+    return round6_all(trade.per_second(e.trade, "t").select("sample_id", "burst5"))
 
 
 @check("a10_decayed_mean", views="bk0", select="select sample_id, r6(sum(mid_v*ew(30))/sum(ew(30))) as m30, r6(sum(mid_v*ew(120))/sum(ew(120))) as m120 from bk0 group by 1")

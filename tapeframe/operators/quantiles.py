@@ -33,8 +33,11 @@ def quantiles(
     marked = F.broadcast(hot.keys.select(*keys))
     long_rows = df.join(marked, keys, "left_semi")
     groups = hot.keys.select(*keys)
-    picked = [_by_counts(long_rows, keys, o, spec, hot, limit) for o, spec in specs.items()]
-    warm = reduce(lambda a, b: a.join(b, keys, "left"), picked, groups)
+    by_column: dict[str, dict[str, Spec]] = {}
+    for out, spec in specs.items():
+        by_column.setdefault(spec[0], {})[out] = spec
+    picked = [_by_counts(long_rows, keys, c, some, hot, limit) for c, some in by_column.items()]
+    warm = reduce(lambda a, b: a.join(b, keys, "left"), picked, groups).select(*keys, *specs)
     return short(df.join(marked, keys, "left_anti")).unionByName(warm)
 
 
@@ -45,22 +48,28 @@ def _short_expr(column: str, q: float, method: str) -> Column:
     return F.when(F.count(column) > 0, F.get(F.sort_array(F.collect_list(column)), rank))
 
 
-def _by_counts(df, keys, out, spec, hot, limit) -> DataFrame:
-    column, q, method = spec
+def _by_counts(df, keys, column, specs: Mapping[str, Spec], hot, limit) -> DataFrame:
+    """All quantiles of one column from one running total over its value counts."""
     counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_c"))
     ranked = running_total(counts, keys, column, {"_before": "_c"}, hot=hot, limit=limit)
     sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    pos = (F.col("_n") - 1) * F.lit(q)
-    pos = F.floor(pos + 0.5).cast("double") if method == "nearest" else pos
-    lo, hi = F.floor(pos), F.ceil(pos)
+
+    def position(q: float, method: str) -> Column:
+        pos = (F.col("_n") - 1) * F.lit(q)
+        return F.floor(pos + 0.5).cast("double") if method == "nearest" else pos
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_c")), F.col(column)))
 
-    picked = ranked.join(F.broadcast(sizes), keys).groupBy(*keys).agg(
-        at(lo).alias("_lo"), at(hi).alias("_hi"), F.max(pos - lo).alias("_w")
-    )
-    return picked.select(*keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_w")).alias(out))
+    found, out = [], []
+    for i, (name, (_, q, method)) in enumerate(specs.items()):
+        pos = position(q, method)
+        found += [at(F.floor(pos)).alias(f"_l{i}"), at(F.ceil(pos)).alias(f"_h{i}"), F.max(pos - F.floor(pos)).alias(f"_w{i}")]
+        lo, hi, w = F.col(f"_l{i}"), F.col(f"_h{i}"), F.col(f"_w{i}")
+        value = lo if method == "nearest" else lo + (hi - lo) * w
+        out.append(value.alias(name))
+    # one row per hot group
+    return ranked.join(F.broadcast(sizes), keys).groupBy(*keys).agg(*found).select(*keys, *out)
 
 
 def value_ranks(

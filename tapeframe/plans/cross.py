@@ -78,7 +78,7 @@ def _definitions():
 
 def catalogue(market: Tape, orders: Tape, trades: Tape, wanted: Sequence[str] = tuple(names.ALL)) -> DataFrame:
     """One row per episode with snapshots and one column per wanted factor. Each table is aggregated
-    to one row per episode before any join, so the joins see a third of nothing but equal keys.
+    to one row per episode before any join, so no join side has a hot key.
     Large-trade factors need the thresholds on `trades`."""
     pairs = dict(zip(names.PAIR_NAMES, names.PAIRS))
     need = list(dict.fromkeys(x for w in wanted for x in pairs.get(w, (w,))))
@@ -88,7 +88,7 @@ def catalogue(market: Tape, orders: Tape, trades: Tape, wanted: Sequence[str] =
         for p, known in enumerate(
             (
                 {*book.aggregates(), *book.QUANTILES},
-                {*trade.aggregates(), *trade.PER_SECOND, "burst5"},
+                {*trade.aggregates(), *trade.PER_SECOND},
                 {*order.aggregates(), *order.PER_SECOND},
             )
         )

@@ -184,6 +184,7 @@ def per_second(tape: Tape, prefix: str) -> DataFrame:
         F.lag("px", 1).over(w).alias("px1"),
         F.lag("px", 5).over(w).alias("px5"),
         (F.col("sec") - F.lag("sec").over(w) - 1).alias("silent"),
+        F.sum("cnt").over(Window.partitionBy(k, F.floor(F.col("sec") / 5))).alias("cnt5"),
     )
     dev = F.col("px") - F.col("pxm")
 
@@ -197,16 +198,11 @@ def per_second(tape: Tape, prefix: str) -> DataFrame:
     }
     if prefix == "t":
         out |= {"t_autocorr_lag1": autocorr("px1"), "t_autocorr_lag5": autocorr("px5")}
+        out["burst5"] = div(F.max("cnt5"), F.sum("cnt"))  # largest share of trades in one 5 s bucket
     return grid.groupBy(k).agg(*[e.alias(c) for c, e in out.items()])
 
 
-def burst(tape: Tape) -> DataFrame:
-    """Largest share of an episode's trades that falls into one 5 s bucket."""
-    buckets = tape.df.groupBy(tape.key, F.floor(F.col(tape.clock) / 5).alias("b5")).agg(F.count(F.lit(1)).alias("c"))
-    return buckets.groupBy(tape.key).agg(div(F.max("c"), F.sum("c")).alias("burst5"))
-
-
-PER_SECOND = {"t_has_data_15", "t_miss_max", "t_vol_max30", "t_autocorr_lag1", "t_autocorr_lag5"}
+PER_SECOND = {"t_has_data_15", "t_miss_max", "t_vol_max30", "t_autocorr_lag1", "t_autocorr_lag5", "burst5"}
 
 
 def factors(tape: Tape, names: Sequence[str]) -> DataFrame:
@@ -217,6 +213,4 @@ def factors(tape: Tape, names: Sequence[str]) -> DataFrame:
     parts = [rows(tape).groupBy(k).agg(*[exprs[n]().alias(n) for n in plain])] if plain else []
     if any(n in PER_SECOND for n in names):
         parts.append(per_second(tape, "t").select(k, *[n for n in names if n in PER_SECOND]))
-    if "burst5" in names:
-        parts.append(burst(tape))
     return reduce(lambda a, b: a.join(b, k, "left"), parts).select(k, *names)

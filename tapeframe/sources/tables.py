@@ -46,9 +46,10 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_periods(df: DataFrame, path: str, period: str = "month") -> None:
-    """One directory per period. A re-run replaces the periods it holds and leaves the others."""
+    """One directory per period. A re-run replaces the periods it holds and leaves the others. The
+    rebalance hint lets adaptive execution split a large period over as many files as its size asks for."""
     (
-        df.repartition(period, F.pmod(F.xxhash64("sample_id"), F.lit(64)))
+        df.hint("rebalance", period)
         .sortWithinPartitions(period, "sample_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
