@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, div, imbalance
@@ -69,18 +69,35 @@ def with_snapshot_base(filled: Tape) -> Tape:
     )
 
 
+def _scale_exprs() -> dict[str, Column]:
+    return {
+        "n_valid": F.count(F.lit(1)),
+        "U_s": F.percentile("pos_spread", F.lit(0.5)),
+        "mid0": F.max(F.when(F.col("pos") == 0, F.col("mid"))),
+        "med_depth": F.percentile("depth", F.lit(0.5)),
+        "mean_vol": F.avg("txn_vol"),
+    }
+
+
 def scale_constants(base: Tape) -> DataFrame:
     """Per episode: n_valid (rows), U_s (median positive spread, may be null), mid0 (oldest mid),
     med_depth, mean_vol. `base` comes from with_snapshot_base."""
-    k = base.key
-    sums = base.df.groupBy(k).agg(
-        F.count(F.lit(1)).alias("n_valid"),
-        F.max(F.when(F.col("pos") == 0, F.col("mid"))).alias("mid0"),
-        F.avg("txn_vol").alias("mean_vol"),
-    )
+    k, exprs = base.key, _scale_exprs()
+    if base.hot is None:
+        return base.df.groupBy(k).agg(*[x.alias(c) for c, x in exprs.items()])
+    sums = base.df.groupBy(k).agg(*[exprs[c].alias(c) for c in ("n_valid", "mid0", "mean_vol")])
     specs = {"U_s": ("pos_spread", 0.5, "linear"), "med_depth": ("depth", 0.5, "linear")}
     med = quantiles(base.df.select(k, "pos_spread", "depth"), [k], specs, hot=base.hot, limit=base.limit)
-    return sums.join(med, k).select(k, "n_valid", "U_s", "mid0", "med_depth", "mean_vol")
+    return sums.join(med, k).select(k, *exprs)
+
+
+def with_scale(base: Tape) -> DataFrame:
+    """The scale constants on every snapshot. Without hot episodes they are windows over the partitioning
+    the rows already have; with them, a join of one row per episode."""
+    if base.hot is None:
+        w = Window.partitionBy(base.key)
+        return base.df.select("*", *[x.over(w).alias(c) for c, x in _scale_exprs().items() if c != "n_valid"])
+    return base.df.join(scale_constants(base).drop("n_valid"), base.key)
 
 
 def snapshot_index(market: Tape, split: str = "train") -> DataFrame:
@@ -93,16 +110,11 @@ def snapshot_sequence(market: Tape, split: str = "train") -> DataFrame:
     """Long table (episode, pos, n, 15 channels)."""
     base = with_snapshot_base(filled_book(market))
     k, s = base.key, F.col(base.clock)
-    scale = scale_constants(base).select(
-        k,
-        F.coalesce("U_s", F.lit(TICK_FALLBACK[split])).alias("U_s"),
-        F.coalesce("med_depth", F.lit(1.0)).alias("med_depth"),
-        F.coalesce("mean_vol", F.lit(0.0)).alias("mean_vol"),
-        "mid0",
-    )
+    rows = base.map(lambda df: with_scale(base))
     df = ordered(
-        base.df, [k], [F.col("pos").asc()], hot=base.hot, limit=base.limit, idx=None, total=None, lags={"_m1": ("mid", 1)}
-    ).join(scale, k)
+        rows.df, [k], [F.col("pos").asc()], hot=base.hot, limit=base.limit, idx=None, total=None, lags={"_m1": ("mid", 1)}
+    )
+    df = df.na.fill({"U_s": TICK_FALLBACK[split], "med_depth": 1.0, "mean_vol": 0.0})
     av1, bv1, av2, bv2 = (F.col(c) for c in ("ask_volume_1", "bid_volume_1", "ask_volume_2", "bid_volume_2"))
     mid, u, vol, px = F.col("mid"), F.col("U_s"), F.col("txn_vol"), F.col("txn_px")
     zero = F.lit(0.0)
