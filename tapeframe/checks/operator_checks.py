@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -15,6 +12,7 @@ from ..operators.ordered import oldest_row, ordered, with_group_values
 from ..plans import book, cross, trade
 from ..sources import tables
 from ..sources.adapters import Episodes
+from ..sources.shared import scratch_path
 from .registry import check
 from .factor_checks import ASOF
 from .screening_checks import PR, fx, pr, FACTORS, FV
@@ -25,15 +23,7 @@ from .sql import TIES
 
 
 def scratch(e: Episodes, name: str) -> str:
-    """A fresh folder for tables that a check writes: in the cluster's shared checkpoint folder where one is
-    named, else on this machine."""
-    shared = e.spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        return os.path.join(tempfile.mkdtemp(prefix="tapeframe-"), name)
-    return f"{shared.rstrip('/')}/tapeframe-{os.urandom(8).hex()}/{name}"
-
-
-PLAIN = ["sample_id", "s", "price", "volume", "side"]
+    return scratch_path(e.spark, name)
 
 
 def as_event_table(e: Episodes):

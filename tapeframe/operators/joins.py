@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import div
-from .ordered import Hot, Tape, newest_rows, ordered
 from ..sources.shared import settle
+from .ordered import Hot, Tape, find_hot, ordered
 
 
 def asof_forward(left: Tape, right: Tape, columns: Sequence[str]) -> DataFrame:
@@ -175,7 +175,10 @@ def state_match(a: Tape, b: Tape, columns: Sequence[str], shifts: Sequence[float
         k, s, *a.ties, F.struct(*columns).alias("_state"), shift_list.alias("d")
     ).withColumn("_own", F.col(s)).withColumn(s, F.col(s) + F.col("d"))
     target = target.join(span, k).where(F.col(s).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
-    probes = Tape(target, k, s, ("d", "_own", *a.ties), a.limit, a.hot)
+    # every row is looked up once per shift, so a group counts as hot that much earlier
+    hot = find_hot(a.df.select(k), [k], max(1, a.limit // len(shifts)))
+    hot = None if hot is None else replace(hot, rows=hot.rows * len(shifts))
+    probes = Tape(target, k, s, ("d", "_own", *a.ties), a.limit, hot)
     states = b.map(lambda df: df.select(k, b.clock, *b.ties, F.struct(*columns).alias("_other")))
     above = asof_forward(probes, states, ["_other"])
     above = above.withColumnRenamed("_matched_at", "_above_at").withColumnRenamed("_other", "_above")

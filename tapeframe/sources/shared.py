@@ -3,25 +3,32 @@ executors cost a re-read and not a re-computation with other block numbers."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+SETTING = "spark.checkpoint.dir"
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses spark.checkpoint.dir of the session; sets a folder of its own only where none is named
-    and the session runs on one machine."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("name a shared folder in spark.checkpoint.dir")
-        folder = tempfile.mkdtemp(prefix="tapeframe-checkpoint-")
-    sc.setCheckpointDir(folder)
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir. Only a session on one machine may go without it and
+    gets a new temporary one."""
+    folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"name a shared folder in {SETTING}")
+    return tempfile.mkdtemp(prefix="tapeframe-")
 
 
 def settle(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path nobody has used, for tables a job writes and reads back."""
+    return f"{shared_folder(spark).rstrip('/')}/run-{os.urandom(8).hex()}/{name}"
