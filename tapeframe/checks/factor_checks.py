@@ -348,7 +348,7 @@ def ext1_book(e: Episodes):
 
 
 def ewm(x: str, t: int) -> str:
-    return f"(sum(({x})*ew({t}))/sum(ew({t})))"
+    return f"(fsum(({x})*ew({t}))/sum(ew({t})))"
 
 
 LAST_V = at(0, "mid_v")
@@ -513,10 +513,8 @@ def full_catalogue(e: Episodes, wanted=tuple(names.ALL)):
     return cross.catalogue(e.market, e.order, cross.with_size_thresholds(e.trade, e.months, th), wanted)
 
 
-@check(
-    "f_catalogue_196",
-    views="tr orr bk months",
-    ctes=ASOF + ", " + CROSS_CTES.replace("b as (", "cb as (", 1).replace("\n    t as (", "\n    ct as (").replace("\n    o as (", "\n    co as (")
+CATALOGUE = (
+    ASOF + ", " + CROSS_CTES.replace("b as (", "cb as (", 1).replace("\n    t as (", "\n    ct as (").replace("\n    o as (", "\n    co as (")
     + ", " + RANKED.format(key="month", src="trade join months using (sample_id)")
     + ", w as (select tr.*, q90, q95 from tr join months using (sample_id) join th using (month))"
     + ", fb as (select sample_id, " + rounded({**BASE_BOOK, **EXT1_BOOK, **EXT2_BOOK, **EXT3_BOOK}) + " from bk group by sample_id)"
@@ -540,13 +538,27 @@ def full_catalogue(e: Episodes, wanted=tuple(names.ALL)):
     pb as """ + raw("bk", PAIR_INPUTS) + ", pt as " + raw("tr", PAIR_INPUTS, f", favg({BUYF}, sec<=15) as t_br15")
     + ", po as " + raw("orr", PAIR_INPUTS, f", favg({BUYF}, sec<=15) as o_br15")
     + ", pj as (select *, t_br15 - o_br15 as x_to_buy_diff_15 from pb left join pt using (sample_id) left join po using (sample_id))"
-    + ", pp as (select sample_id, " + ", ".join(f"r6({a}*{b}) as xp_{a}__{b}" for a, b in names.PAIRS) + " from pj)",
-    select="select sample_id, "
-    + ", ".join({"t_vol_max30": "r6(pkt.v) as t_vol_max30", "o_vol_max30": "r6(pko.v) as o_vol_max30"}.get(c, c) for c in names.ALL)
-    + """ from fb left join ft using (sample_id) left join fo using (sample_id) left join gt using (sample_id)
+    + ", pp as (select sample_id, " + ", ".join(f"r6({a}*{b}) as xp_{a}__{b}" for a, b in names.PAIRS) + " from pj)"
+)
+
+
+def catalogue_sql(columns) -> str:
+    peaks = {"t_vol_max30": "r6(pkt.v) as t_vol_max30", "o_vol_max30": "r6(pko.v) as o_vol_max30"}
+    return (
+        "select sample_id, "
+        + ", ".join(peaks.get(c, c) for c in columns)
+        + """ from fb left join ft using (sample_id) left join fo using (sample_id) left join gt using (sample_id)
       left join go using (sample_id) left join pkt using (sample_id) left join pko using (sample_id)
       left join ac using (sample_id) left join b5 using (sample_id) left join di using (sample_id)
-      left join cr using (sample_id) left join pp using (sample_id)""",
-)
+      left join cr using (sample_id) left join pp using (sample_id)"""
+    )
+
+
+@check("f_catalogue_196", views="tr orr bk months", ctes=CATALOGUE, select=catalogue_sql(names.ALL))
 def catalogue_196(e: Episodes):
     return round6_all(full_catalogue(e))
+
+
+@check("f_base_47", views="tr orr bk months", ctes=CATALOGUE, select=catalogue_sql(names.BASE))
+def base_47(e: Episodes):
+    return round6_all(cross.catalogue(e.market, e.order, e.trade, names.BASE))

@@ -296,7 +296,7 @@ def spearman(e: Episodes):
 @check("e11_cause_table", views="pred",
        ctes=PR + ", s as (select *, abs(target) as ay, abs(p_b) as ap, month % 3 = 0 as zz from pr), " + ", ".join(
            f"c{i} as (select target=0 as z, {avg_rank(c)} as rv, {avg_rank('ay')} as ry, {avg_rank('ap')} as rp from s)" for i, c in enumerate(CAND)),
-       select=" union all ".join(f"select '{c}' as candidate, r6({AUC}) as auc, r6(corr(rv,ry)) as rho_target, r6(corr(rv,rp)) as rho_pred from c{i}" for i, c in enumerate(CAND)))
+       select=" union all ".join(f"select '{c}' as candidate, r6({AUC}) as auc, r6(coalesce(corr(rv,ry),0)) as rho_target, r6(coalesce(corr(rv,rp),0)) as rho_pred from c{i}" for i, c in enumerate(CAND)))
 def causes(e: Episodes):
     return round6_all(D.cause_table(pr(e), CAND, p="p_b", hot=e.hot_all, limit=e.limit))
 

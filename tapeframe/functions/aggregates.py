@@ -28,9 +28,9 @@ def fstd(x, cond: Column) -> Column:
 
 
 def decayed_mean(x, clock, tau: float) -> Column:
-    """sum(x·w)/sum(w); rows with null x stay in the denominator."""
+    """sum(x·w)/sum(w); rows with null x stay in the denominator, so all null gives 0."""
     w = decay(clock, tau)
-    return div(F.sum(col(x) * w), F.sum(w))
+    return div(fsum(col(x) * w), F.sum(w))
 
 
 def vwap(price="price", volume="volume") -> Column:

@@ -88,15 +88,22 @@ def zero_share_by_bin(df: DataFrame, value: str, bins: int, *, y="target", hot:
 
 
 def cause_table(df: DataFrame, candidates: Sequence[str], *, p="pred", y="target", hot: Hot | None, limit=DEFAULT_LIMIT) -> DataFrame:
-    """(candidate, auc of a zero target, rho with |target|, rho with |prediction|). Each candidate is one
-    small distributed job over two columns; ranks of |target| and |prediction| are shared."""
+    """(candidate, auc of a zero target, rho with |target|, rho with |prediction|), missing candidate values
+    at their median. Ranks of |target| and |prediction| are shared by all candidates."""
+    medians = quantiles(as_one_group(df), [ALL], {f"_q_{c}": (c, 0.5, "linear") for c in candidates}, hot=hot, limit=limit)
+    df = df.crossJoin(F.broadcast(medians.drop(ALL)))
+    df = df.select(
+        *[F.col(c) for c in df.columns if c not in candidates and not c.startswith("_q_")],
+        *[F.coalesce(F.col(c).cast("double"), F.col(f"_q_{c}")).alias(c) for c in candidates],
+    )
     base = as_one_group(df).withColumn("_ay", F.abs(y)).withColumn("_ap", F.abs(p)).withColumn("_z", F.col(y) == 0)
     base = with_rank(with_rank(base, [ALL], "_ay", "_ry", hot=hot, limit=limit), [ALL], "_ap", "_rp", hot=hot, limit=limit)
     parts = []
     for c in candidates:
-        a = auc(base.where(F.col(c).isNotNull()), c, "_z", hot=hot, keys=[ALL], limit=limit)
+        a = auc(base, c, "_z", hot=hot, keys=[ALL], limit=limit)
         r = with_rank(base, [ALL], c, "_rc", hot=hot, limit=limit).groupBy(ALL).agg(
-            pearson("_rc", "_ry", 0).alias("rho_target"), pearson("_rc", "_rp", 0).alias("rho_pred")
+            F.coalesce(pearson("_rc", "_ry", 0), F.lit(0.0)).alias("rho_target"),
+            F.coalesce(pearson("_rc", "_rp", 0), F.lit(0.0)).alias("rho_pred"),
         )
         parts.append(a.join(r, ALL).select(F.lit(c).alias("candidate"), "auc", "rho_target", "rho_pred"))
     return reduce(DataFrame.unionByName, parts)

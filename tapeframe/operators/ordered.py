@@ -50,7 +50,9 @@ class Tape:
 
     @staticmethod
     def of(df: DataFrame, *, key="sample_id", clock="s", ties=(), limit=DEFAULT_LIMIT) -> "Tape":
-        return Tape(df, key, clock, tuple(ties), limit, find_hot(df.select(key), [key], limit))
+        """Counts rows per episode once and calls the clock `s`."""
+        hot = find_hot(df.select(key), [key], limit)
+        return Tape(df.withColumnRenamed(clock, "s"), key, "s", tuple(ties), limit, hot)
 
     def newest_first(self) -> list[Column]:
         return [F.col(self.clock).asc(), *[F.col(t).asc() for t in self.ties]]
