@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..functions.scalars import round6_all
 from ..plans import book, cross, names, order, trade
 from ..sources.adapters import Episodes

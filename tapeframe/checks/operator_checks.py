@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import aggregates as A
 from ..functions.scalars import clip, decay, div, imbalance, nullify_nonfinite, round6_all, signed
-from ..operators import grid, joins as J, quality as Q, quantiles, screening, sequences as S
-from ..operators.ordered import oldest_row, ordered, with_group_values
+from ..operators import grid, joins as J, quality as Q, quantiles, sequences as S
+from ..operators.folds import top_k
+from ..operators.ordered import newest_rows, oldest_row, ordered, with_group_values
 from ..plans import book, cross, trade
+from ..plans.order import flow_sign
 from ..sources import tables
 from ..sources.adapters import Episodes
 from ..sources.shared import scratch_path
 from .registry import check
 from .factor_checks import ASOF
 from .screening_checks import PR, fx, pr, FACTORS, FV
-from .sequence_checks import CELLS, FILL
+from .sequence_checks import FILL
 from .sql import TIES
 
 # ---- sources and sinks --------------------------------------------------------------------------
@@ -58,7 +60,7 @@ def period_union(e: Episodes):
     path = scratch(e, "labels")
     tables.write_periods(e.label, path)
     # one folder per period, read as separate files and put together by name
-    periods = [f"{path}/month={m}" for m in range(12)]
+    periods = [f"{path}/month={r.month}" for r in e.months.select("month").distinct().collect()]
     frames = [e.spark.read.option("basePath", path).parquet(p) for p in periods]
     both = frames[0]
     for f in frames[1:]:
@@ -125,8 +127,6 @@ def period_filter(e: Episodes):
 
 @check("f5_conditional", views="ord", select="select sample_id, r6(sum(case when side=0 and order_action=0 then volume when side=0 then -volume when order_action=0 then -volume else volume end)) as flow from ord group by 1")
 def conditional(e: Episodes):
-    from ..plans.order import flow_sign
-
     return round6_all(e.order.df.groupBy("sample_id").agg(F.sum(flow_sign() * F.col("volume")).alias("flow")))
 
 
@@ -421,8 +421,6 @@ def thirds(e: Episodes):
        ctes=f"r as (select *, row_number() over (partition by sample_id order by s, {TIES}) - 1 as idx from trade)",
        select="select sample_id, idx, r6(s) as s, volume from r where idx < 3")
 def episode_order(e: Episodes):
-    from ..operators.ordered import newest_rows
-
     return round6_all(newest_rows(e.trade, 3).select("sample_id", "idx", "s", "volume"), "volume")
 
 
@@ -434,8 +432,6 @@ def stable_order(e: Episodes):
 @check("s4_top_k_features", views=FV, ctes=FACTORS + ", g as (select unnest(['t_imb','t_n','spread0','patience_diff']) as feature, unnest([avg(abs(t_imb)), avg(t_n), avg(spread0), avg(abs(patience_diff))]) as gain, unnest([0,1,2,3]) as ordinal from fx)",
        select="select feature, r6(gain) as gain, ordinal from (select * from g order by gain desc, feature limit 3)")
 def top_k_features(e: Episodes):
-    from ..operators.folds import top_k
-
     cols = ["t_imb", "t_n", "spread0", "patience_diff"]
     wide = fx(e).agg(*[F.avg(F.abs(c)).alias(c) for c in cols])
     gains = wide.unpivot([], cols, "feature", "gain")

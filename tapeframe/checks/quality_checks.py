@@ -11,7 +11,7 @@ from ..operators.ordered import find_hot
 from ..plans import book
 from ..sources.adapters import Episodes
 from .registry import check
-from .sequence_checks import ALL_DERIVED, CELLS, FILL, FLOW, SNAP, TOT
+from .sequence_checks import CELLS, FILL, FLOW, SNAP, TOT
 from .factor_checks import EXT3_BOOK, rounded
 from .sql import TIES
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.aggregates import cosine
 from ..functions.scalars import round6_all
 from ..operators import diagnostics as D, joins as J, regression as R, screening as S
 from ..operators.ordered import newest_rows
+from ..operators.quantiles import auc as auc_of, with_rank
 from ..plans import book, cross
 from ..sources.adapters import Episodes
 from .factor_checks import BASE_BOOK, BASE_ORDER, BASE_TRADE
@@ -117,8 +119,6 @@ def residual_cosine(e: Episodes):
          when greatest(abs(cos_last),abs(cos_full))<0.05 then 'weak' else 'keep' end as verdict from g join p using (factor)""")
 def keep_or_drop(e: Episodes):
     df = fx(e)
-    from ..functions.aggregates import cosine
-
     wide = df.agg(*[F.struct(F.lit(f).alias("factor"), cosine(f, "target").alias("cos_full"), cosine(F.col(f) * F.col(f), F.col("target")).alias("cos_last")).alias(f) for f in FX])
     scores = wide.select(F.explode(F.array(*FX)).alias("r")).select("r.*")
     return S.keep_or_drop(scores.join(S.period_stability(df, FX), "factor"), dead=0.02).select("factor", "verdict")
@@ -151,8 +151,6 @@ def ranked(e: Episodes, cols):
 @check("w12_rank_global", views=FV, ctes=FACTORS,
        select=f"select sample_id, r6({rank_sql('t_imb_2s')[0]}) as r_t_imb_2s, r6({rank_sql('patience_diff')[1]}) as n_patience_diff from fx")
 def rank_global(e: Episodes):
-    from ..operators.quantiles import with_rank
-
     df = D.as_one_group(fx(e))
     df = with_rank(df, ["_all"], "t_imb_2s", "r_t_imb_2s", hot=e.hot_all, limit=e.limit)
     df = with_rank(df, ["_all"], "patience_diff", "n_patience_diff", hot=e.hot_all, limit=e.limit, normalised=True)
@@ -162,8 +160,6 @@ def rank_global(e: Episodes):
 @check("w12_rank_by_period", views=FV, ctes=FACTORS,
        select=f"select sample_id, r6({rank_sql('t_imb_2s', 'month')[0]}) as r_t_imb_2s, r6({rank_sql('ofi_norm', 'month')[1]}) as n_ofi_norm from fx")
 def rank_by_period(e: Episodes):
-    from ..operators.quantiles import with_rank
-
     df = with_rank(fx(e), ["month"], "t_imb_2s", "r_t_imb_2s", hot=e.hot_months, limit=e.limit)
     df = with_rank(df, ["month"], "ofi_norm", "n_ofi_norm", hot=e.hot_months, limit=e.limit, normalised=True)
     return round6_all(df.select("sample_id", "r_t_imb_2s", "n_ofi_norm"))
@@ -211,8 +207,6 @@ RM = f"rm as (select month, target, t_n, {rank_sql('t_imb_w10', 'month')[0]} as
 
 
 def rank_only(e: Episodes):
-    from ..operators.quantiles import with_rank
-
     df = with_rank(fx(e), ["month"], "t_imb_w10", "a", hot=e.hot_months, limit=e.limit)
     return with_rank(df, ["month"], "patience_diff", "b", hot=e.hot_months, limit=e.limit)
 
@@ -282,8 +276,6 @@ CAND = ["p_a", "p_c", "fold"]
 
 @check("a18_auc", views="pred", ctes=PR + f", r as (select target>0 as z, {avg_rank('p_b')} as rv from pr)", select=f"select r6({AUC}) as auc from r")
 def auc(e: Episodes):
-    from ..operators.quantiles import auc as auc_of
-
     df = D.as_one_group(pr(e)).withColumn("z", F.col("target") > 0)
     return round6_all(auc_of(df, "p_b", "z", hot=e.hot_all, limit=e.limit, keys=["_all"]).select("auc"))
 

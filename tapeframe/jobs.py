@@ -63,8 +63,8 @@ def factor_table(data: Data, wanted: Sequence[str] = tuple(names.ALL)) -> DataFr
     return factors if data.label is None else factors.join(data.label, "sample_id", "left")
 
 
-def build_factors(data: Data, out: str) -> None:
-    df = factor_table(data)
+def build_factors(data: Data, out: str, wanted: Sequence[str] = tuple(names.ALL)) -> None:
+    df = factor_table(data, wanted)
     if data.label is None:
         df.write.mode("overwrite").option("compression", "zstd").parquet(out)
     else:

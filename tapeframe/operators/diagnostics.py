@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import bias_corrected_kurtosis, bias_corrected_skew, cosine, pearson
 from ..functions.scalars import div
 from .ordered import DEFAULT_LIMIT, Hot
 from .quantiles import auc, bin_of, cut_points, quantiles, with_rank
-from .regression import fitted, least_squares
+from .regression import design, fitted, solve_normal
 
 # fixed values: strata of |target|
 STRATA = (0.0, 1e-4, 1e-3, 3e-3, 1e-2, float("inf"))
@@ -125,8 +125,6 @@ def out_of_fold_linear(df: DataFrame, xs: Sequence[str], y: str, fold: str, *, o
 
 def complement_least_squares(df: DataFrame, xs: Sequence[str], y: str, fold: str) -> DataFrame:
     """(fold, coef): least squares with intercept over the rows of all other folds."""
-    from .regression import design, solve_normal
-
     cols = design(xs, True)
     p = len(cols)
     names = [f"g{i}_{j}" for i in range(p) for j in range(i, p)] + [f"b{i}" for i in range(p)]
@@ -215,7 +213,3 @@ def shape(df: DataFrame, value: str, *, hot: Hot | None, limit: int = DEFAULT_LI
     q = quantiles(d, [ALL], {"q99": ("_abs", 0.99, "linear"), "q999": ("_abs", 0.999, "linear")}, hot=hot, limit=limit)
     m = d.groupBy(ALL).agg(bias_corrected_kurtosis(value).alias("kurt"), bias_corrected_skew(value).alias("skew"))
     return m.join(q, ALL).drop(ALL)
-
-
-def newest_value(df: DataFrame, key: str, value: str, order: Sequence[Column]) -> DataFrame:
-    return df.groupBy(key).agg(F.min_by(value, F.struct(*order)).alias("now"))

@@ -197,3 +197,15 @@ def top_k(gains: DataFrame, order: DataFrame, k: int) -> DataFrame:
     """The k features with the highest gain in canonical order. `order` is (feature, ordinal)."""
     best = gains.orderBy(F.desc("gain"), F.asc("feature")).limit(k)
     return best.join(order, "feature").orderBy("ordinal")
+
+
+def top_k_curve(df: DataFrame, gains: DataFrame, order: DataFrame, ks: Sequence[int], folds: Sequence[int], *, fold: str = "fold", **params) -> DataFrame:
+    """(k, mean, std): out-of-fold cosine of models refitted on the k best features. The feature list is
+    the only thing that comes to the driver."""
+    spark, rows = df.sparkSession, []
+    for k in ks:
+        kept = [r.feature for r in top_k(gains, order, k).collect()]
+        oof, _ = fit_folds(df, kept, folds, fold=fold, **params)
+        s = oof_summary(fold_scores(oof, fold=fold)).first()
+        rows.append((k, s["mean"], s["std"]))
+    return spark.createDataFrame(rows, "k int, mean double, std double")
