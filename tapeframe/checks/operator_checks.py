@@ -17,7 +17,7 @@ from ..sources.adapters import Episodes
 from ..sources.shared import scratch_path
 from .registry import check
 from .factor_checks import ASOF
-from .screening_checks import PR, fx, pr, FACTORS, FV
+from .screening_checks import ARMS, FACTORS, FV, PR, arms, fx, pr
 from .sequence_checks import FILL
 from .sql import TIES
 
@@ -93,6 +93,16 @@ def oof_source(e: Episodes):
     return round6_all(tables.read_oof(e.spark, folder))
 
 
+@check("io7_oof_sink", views="pred", ctes=ARMS.replace("as arm, fold", "as arm, sample_id, fold").replace("'b', fold", "'b', sample_id, fold").replace("'c', fold", "'c', sample_id, fold"),
+       select="select arm, cast(fold as int) as fold, count(*) as rows, r6(sum(pred)) as pred from arms group by 1,2")
+def oof_sink(e: Episodes):
+    path = scratch(e, "oof")
+    tables.write_oof(arms(e).select("arm", "fold", "sample_id", "pred"), path)
+    tables.write_oof(arms(e).where("arm = 'b'").select("arm", "fold", "sample_id", "pred"), path)  # one arm again
+    back = e.spark.read.parquet(path)
+    return round6_all(back.groupBy("arm", "fold").agg(F.count(F.lit(1)).alias("rows"), F.sum("pred").alias("pred")))
+
+
 # ---- filters and projections --------------------------------------------------------------------
 
 

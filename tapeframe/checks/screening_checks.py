@@ -11,6 +11,8 @@ from ..operators.ordered import newest_rows
 from ..operators.quantiles import auc as auc_of, with_rank
 from ..plans import book, cross
 from ..sources.adapters import Episodes
+from ..sources.shared import scratch_path
+from ..sources.tables import write_predictions
 from .factor_checks import BASE_BOOK, BASE_ORDER, BASE_TRADE
 from .registry import check
 
@@ -198,7 +200,9 @@ def modulation(e: Episodes):
 def formula(e: Episodes):
     df = ranked(e, [*DIR, "t_vol"])
     combo = F.coalesce(S.weighted_mean({f"r_{c}": w for c, w in DIR.items()}), F.lit(0.0))
-    return round6_all(df.select("sample_id", (combo * (1 + F.lit(0.5) * F.col("r_t_vol"))).alias("prediction")))
+    path = scratch_path(e.spark, "submission.parquet")
+    write_predictions(df.select("sample_id", (combo * (1 + F.lit(0.5) * F.col("r_t_vol"))).alias("prediction")), path)
+    return round6_all(e.spark.read.parquet(path))
 
 
 OLS2 = """n as (select month, sum(a*a) as aa, sum(a*b) as ab, sum(b*b) as bb, sum(a*target) as ay, sum(b*target) as bt from rm where a is not null and b is not null group by month),

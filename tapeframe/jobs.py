@@ -19,6 +19,7 @@ from . import schema
 from .operators import grid, sequences
 from .operators.ordered import DEFAULT_LIMIT, Tape, find_hot
 from .plans import cross, names
+from .session import builder
 from .sources import tables
 
 CLOCK = "seconds_before_predict"
@@ -100,7 +101,7 @@ def main() -> None:
     p.add_argument("--out", required=True)
     p.add_argument("--months", help="comma-separated periods; all by default")
     a = p.parse_args()
-    spark = SparkSession.builder.appName(f"tapeframe-{a.what}").getOrCreate()
+    spark = builder(f"tapeframe-{a.what}").getOrCreate()
     months = None if a.months is None else [int(m) for m in a.months.split(",")]
     data = Data(spark, a.root, a.split, months)
     (build_factors if a.what == "factors" else build_sequences)(data, a.out)
