@@ -50,11 +50,11 @@ def round6(x) -> Column:
 
 def round6_all(df: DataFrame, *keep: str) -> DataFrame:
     """round6 on every double column except the named ones."""
-    return df.select(
+    return df.selectExpr(
         *[
-            round6(f"`{f.name}`").alias(f.name)
+            f"cast(floor(`{f.name}` * 1e6D + 0.4871D) as double) / 1e6D as `{f.name}`"
             if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and f.name not in keep
-            else F.col(f"`{f.name}`")
+            else f"`{f.name}`"
             for f in df.schema.fields
         ]
     )
@@ -62,12 +62,11 @@ def round6_all(df: DataFrame, *keep: str) -> DataFrame:
 
 def nullify_nonfinite(df: DataFrame) -> DataFrame:
     """NaN and infinities of every floating column become null."""
-    inf = F.lit(float("inf"))
-    return df.select(
+    return df.selectExpr(
         *[
-            F.when(~F.isnan(f.name) & (F.abs(F.col(f.name)) != inf), F.col(f.name)).alias(f.name)
+            f"case when not isnan(`{f.name}`) and abs(`{f.name}`) <> double('infinity') then `{f.name}` end as `{f.name}`"
             if isinstance(f.dataType, (T.DoubleType, T.FloatType))
-            else F.col(f.name)
+            else f"`{f.name}`"
             for f in df.schema.fields
         ]
     )
