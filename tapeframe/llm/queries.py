@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, line_runs, packing, parity_join, quality, warc, wavelet
+from . import bpe, language, line_runs, lm, near_vectors, packing, parity_join, quality, warc, wavelet
 from .storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,6 +113,22 @@ def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     return found
 
 
+@query("op8_lm")
+def op8_lm(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of all texts under a model of the texts that are not held out."""
+    docs = table(spark, folder, "documents")
+    held_out = F.crc32(docs["doc_id"].cast("string")) % 7 == 2
+    model, counts = lm.train(docs, ~held_out)
+    return lm.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model, counts, keep=["doc_id", "held_out"])
+
+
+@query("op9_near_vectors")
+def op9_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Links of vectors with one label at a cosine of 0.98, and their components."""
+    found = near_vectors.links(table(spark, folder, "embeddings"), least=0.98)
+    return found.select("vec_id", "n_links", "component_id", "kept")
+
+
 @query(
     "op10_quality",
     r"""with w as (select doc_id, coalesce(text, '') as t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as a,
