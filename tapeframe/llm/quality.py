@@ -85,7 +85,7 @@ class Rule:
 
 
 # The thresholds are parameters of the rules; a rule named here is one that `cascade` may put in any order.
-def default_rules(*, least_words: int = 10, repeat_percent: int = 20, symbol_percent: int = 10, dup_line_percent: int = 30, least_mean: float = 2.0, most_mean: float = 15.0) -> list[Rule]:
+def default_rules(*, least_words: int = 10, repeat_percent: int = 20, symbol_percent: int = 10, dup_line_percent: int = 40, least_mean: float = 2.0, most_mean: float = 15.0) -> list[Rule]:
     def mean_length(text: Column) -> Column:
         chars, words_in = word_chars(text), n_words(text)
         return let(F.struct(chars.alias("c"), words_in.alias("n")), lambda x: (x.n > 0) & ((x.c < least_mean * x.n) | (x.c > most_mean * x.n)))

@@ -140,7 +140,7 @@ m as (select w.doc_id, cast(len(a) as bigint) as n_words, cast(length(array_to_s
 cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines, len(l) as lines,
 coalesce(p.n_repeat_words, 0) as n_repeat_words from w left join p using (doc_id))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
-not (n_words < 10 or 100 * n_repeat_words > 20 * n_words or 100 * n_symbols > 10 * n_words or 100 * n_dup_lines > 30 * lines
+not (n_words < 10 or 100 * n_repeat_words > 20 * n_words or 100 * n_symbols > 10 * n_words or 100 * n_dup_lines > 40 * lines
 or (n_words > 0 and (word_chars < 2 * n_words or word_chars > 15 * n_words))) as kept from m""",
 )
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
