@@ -6,7 +6,7 @@ outside. A run is repeated if it also stands at an earlier place. A line is dele
 
 The suffix array comes from distributed prefix doubling. Suffixes are ranked by their first line; in every round
 the pair (own rank, rank of the suffix h lines on) ranks them by 2h lines, until no class of equal prefixes
-splits any more. Ranks are running counts over range-partitioned distinct pairs, so no task sees more than its
+splits any more. Ranks number the distinct pairs, dealt by ranges and sorted, so no task sees more than its
 range. The suffixes of one rank after a round are the interval of the array whose longest common prefix
 reaches 2h lines (or its members' ends): each but the first in the text is a later copy of that many lines, and the union of those stretches
 is the union of the maximal repeated runs. Lines that occur once can't lie in a repeated run; they are dropped before the first round and bound
@@ -41,69 +41,72 @@ def _identity(docs: DataFrame, key: str, text: str) -> list[Column]:
     return [F.coalesce(docs[key].cast("long"), F.lit(-(2**63))).alias("d"), F.xxhash64(docs[text]).alias("t")]
 
 
-def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(d, t, j, i, h1, h2, words): every line with a word, j among them, i among all lines."""
+def lines_of(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
+    """(d, t, j, i, h1, h2, long): every line with a word, j among them, i among all lines; long: it has min_words words."""
     rows = docs.select(*_identity(docs, key, text), F.posexplode(_worded(docs[text])).alias("j", "x"))
     line = F.col("x")["line"]
-    words = F.size(F.filter(F.split(line, SPACE), lambda w: w != ""))
-    return rows.select(*AT, F.col("x")["i"].alias("i"), F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"), words.alias("words"))
+    return rows.select(*AT, F.col("x")["i"].alias("i"), F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"), line.rlike(f"(?:{WORD}+{SPACE}){{{min_words - 1}}}{WORD}").alias("long"))
 
 
-def ranked(counts: DataFrame, keys: list[str], size: str, name: str) -> DataFrame:
-    """counts with the rank of each row: the sum of `size` over all rows with smaller keys. Rows are dealt by ranges of the
-    keys; running sums stay within a range, and one number per range is carried on."""
-    n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = stored(counts.repartitionByRange(n, *keys).withColumn("range", F.spark_partition_id()), name)
-    sums = dealt.groupBy("range").agg(F.sum(size).alias("s"))
-    before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select("range", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))  # one row per range
-    inner = W.partitionBy("range").orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)
-    rank = F.col("base") + F.coalesce(F.sum(size).over(inner), F.lit(0))
-    return dealt.join(F.broadcast(sums), "range").withColumn("rank", rank).drop("range", "base")
+ROUND = 1 << 54  # ranks of different rounds never meet: partition and row take less
+
+
+def ranked(classes: DataFrame, keys: list[str], turn: int, name: str) -> DataFrame:
+    """classes with their rank in the order of the keys: they are dealt by ranges and sorted, and a row's number within its
+    range, behind the range's own, orders all of them. Stored, as another sampling of the ranges would number anew."""
+    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = classes.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    return stored(dealt.withColumn("rank", F.monotonically_increasing_id() + F.lit(turn * ROUND)), name)
 
 
 def suffix_array(names: DataFrame, label: str = "suffixes") -> DataFrame:
-    """names: (d, t, j, left, r), r the rank of the line, left the lines up to the sequence's end. Returns (d, t, j, rank,
-    copied): the rank of the suffix, and how many lines of it stand at an earlier place, resolved to powers of two
-    and the sequence's end. The driver sees one count per round."""
+    """names: (d, t, j, left, r, size, first), r the rank of the line, size and first its class, left the lines up to the
+    sequence's end. Returns (d, t, j, ranks, copied): the ranks of the suffix by its first line, first two lines, and so on,
+    and how many lines of it stand at an earlier place, resolved to powers of two and the sequence's end. Sorted by ranks, suffixes with
+    equal prefixes lie side by side: that is the array, and the suffixes with an equal rank are its intervals.
+
+    A suffix takes part in a round while its class has others and it has lines beyond the prefix compared so far, so rounds
+    shrink with the repeated runs that are left. The driver sees one test for emptiness per round.
+    """
     place = F.struct(*AT)
-    current = names.withColumn("copied", F.lit(0))
-    h, classes = 0, -1
+    current = names.withColumn("copied", F.when(place != F.col("first"), 1).otherwise(0)).withColumn("ranks", F.array("r"))
+    columns = [*AT, "left", "r", "copied", "ranks"]
+    settled, h, turn = None, 1, 1
     while True:
-        if h == 0:
-            paired, keys = current.withColumn("r2", F.lit(0).cast("long")), ["r", "r2"]
-        else:
-            ahead = current.select("d", "t", (F.col("j") - h).alias("j"), F.col("r").alias("r2"))
-            paired = current.join(ahead, AT, "left").withColumn("r2", F.coalesce("r2", F.lit(-1).cast("long")))
-            keys = ["r", "r2"]
-        counts = paired.groupBy(*keys).agg(F.count("*").alias("size"), F.min(place).alias("first"))
-        numbered = stored(ranked(counts, keys, "size", f"{label}-classes"), f"{label}-ranks")
-        now = numbered.count()
-        reach = F.least("left", F.lit(max(1, 2 * h)))
-        later = paired.join(numbered, keys).withColumn("copied", F.when(place != F.col("first"), reach).otherwise(F.col("copied")))
-        current = stored(later.select(*AT, "left", F.col("rank").alias("r"), "copied"), f"{label}-{h}")
-        if now == classes or now == 0:
-            return current.select(*AT, F.col("r").alias("rank"), "copied")
-        classes, h = now, max(1, 2 * h)
+        current = stored(current.select(*columns, "size"), f"{label}-{turn}")
+        going = (F.col("size") > 1) & (F.col("left") > h)
+        ended = current.where(~going).select(*columns)
+        settled = ended if settled is None else settled.unionByName(ended)
+        active = current.where(going).select(*columns)
+        if active.isEmpty():
+            return settled.select(*AT, "ranks", "copied")
+        ahead = settled.unionByName(active).select("d", "t", (F.col("j") - h).alias("j"), F.col("r").alias("r2"))
+        paired = stored(active.join(ahead, AT, "left").withColumn("r2", F.coalesce("r2", F.lit(-1).cast("long"))), f"{label}-pairs")
+        classes = paired.groupBy("r", "r2").agg(F.count("*").alias("size"), F.min(place).alias("first"))
+        later = paired.join(ranked(classes, ["r", "r2"], turn, f"{label}-classes"), ["r", "r2"])
+        copied = F.when(place != F.col("first"), F.least("left", F.lit(2 * h))).otherwise(F.col("copied")).alias("copied")
+        current = later.select(*AT, "left", F.col("rank").alias("r"), copied, F.concat("ranks", F.array("rank")).alias("ranks"), "size")
+        h, turn = 2 * h, turn + 1
 
 
 def repeated_lines(docs: DataFrame, *, min_lines: int = 2, min_words: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(d, t, i): the lines to delete, i their places in the text, each once."""
     if min_lines < 1 or min_lines & (min_lines - 1):
         raise ValueError("min_lines is a power of two")
-    lines = lines_of(docs, key, text)
-    often = lines.groupBy("h1", "h2").agg(F.count("*").alias("size")).where("size > 1")
-    named = ranked(often, ["h1", "h2"], "size", "lines").select("h1", "h2", F.col("rank").alias("r"))
-    seen = lines.join(named, ["h1", "h2"]).select(*AT, "i", "words", "r").distinct()
+    lines = lines_of(docs, key, text, max(1, min_words))
+    often = lines.groupBy("h1", "h2").agg(F.count("*").alias("size"), F.min(F.struct(*AT)).alias("first")).where("size > 1")
+    named = ranked(often, ["h1", "h2"], 0, "lines").withColumnRenamed("rank", "r")
+    # rows that are there twice count as one here; their lines are compared with themselves, which deletes nothing
+    seen = lines.join(named, ["h1", "h2"]).select(*AT, "i", "long", "r", "size", "first").distinct()
     # sequences end where a line occurs once: stretches of consecutive j
     own = W.partitionBy("d", "t").orderBy("j")
     seen = seen.withColumn("stretch", F.col("j") - F.row_number().over(own))
     seen = seen.withColumn("left", F.max("j").over(W.partitionBy("d", "t", "stretch")) - F.col("j") + 1).drop("stretch")
     seen = stored(seen, "repeated")
-    found = suffix_array(seen.select(*AT, "left", "r"))
+    found = suffix_array(seen.select(*AT, "left", "r", "size", "first"))
     starts = seen.join(found, AT).where("copied > 0")
     runs = starts.where(F.col("copied") >= min_lines).select("d", "t", F.explode(F.sequence(F.col("j"), F.col("j") + F.col("copied") - 1)).alias("j"))
-    alone = starts.where(F.col("words") >= min_words).select(*AT)
+    alone = starts.where("long").select(*AT)
     return seen.join(runs.unionByName(alone).distinct(), AT, "left_semi").select("d", "t", "i")
 
 
