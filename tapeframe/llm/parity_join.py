@@ -250,8 +250,9 @@ def classes(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, key:
     """Per row of docs: id, n (size of its set) and component, the smallest id that links lead to."""
     signed = stored(signatures(docs, k=k, num=num, den=den, key=key, text=text), "signatures")
     members = _members(signed)
-    seen = members.groupBy("class").agg(F.sum("size").alias("shared"))
+    seen = stored(members.groupBy("class").agg(F.sum("size").alias("shared")), "shared")
     wanted = signed.where("id is not null").join(seen.select("class"), "class", "left_semi").groupBy("class").agg(F.min("id").alias("id"))
+    wanted = stored(wanted, "wanted")
     held = _held(docs, wanted, k=k, key=key, text=text)
 
     placed = members.join(seen, "class")
@@ -259,7 +260,7 @@ def classes(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, key:
     led = stored(members.join(leaders, "key").select(F.col("leader").alias("cluster"), "class").distinct(), "clusters")
     pairs = led.select(F.least("cluster", "class").alias("a"), F.greatest("cluster", "class").alias("b")).where("a < b").distinct()
     links = stored(_verified(pairs, held, num, den), "links")
-    joined = components(links)
+    joined = stored(components(links), "joined")
 
     # what a leader doesn't connect: classes of one cluster in different components
     now = led.join(joined.withColumnRenamed("id", "class"), "class", "left").select("cluster", "class", F.coalesce("component", "class").alias("component"))
@@ -267,7 +268,8 @@ def classes(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, key:
     # the leader itself has been compared with all
     open_ = stored(now.join(mixed, "cluster").where("class <> cluster"), "open")
     more = stored(_across(open_, held, num, den), "links")
-    joined = components(links.unionByName(more))
+    if not more.isEmpty():
+        joined = components(links.unionByName(more))
 
     named = signed.select("id", "n", "class").join(joined.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     named = stored(named, "named")
