@@ -190,7 +190,7 @@ def normalise(archives: DataFrame) -> DataFrame:
                 done = one(row["uri"], {x["page_id"]: x["refers_to"] for x in row["again"] or []})
                 yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (row["uri"], *done)], ["source", "uri", "index_uri", "records"])
 
-    listed = archives.select("uri", "again").repartition(_tasks(archives), "uri")
+    listed = archives.select("uri", "again").repartition(_tasks(archives))
     return stored(listed.mapInArrow(run, "source string, uri string, index_uri string, records long"), "warc-archives")
 
 
@@ -245,7 +245,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
-    listed = archives.select("uri", "index_uri").repartition(_tasks(archives), "uri")
+    listed = archives.select("uri", "index_uri").repartition(_tasks(archives))
     return listed.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
