@@ -232,7 +232,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, *, key: str = "doc_i
                 place = np.minimum(np.searchsorted(m.head, h), max(0, len(m.head) - 1))
                 common = m.head[place] == h if len(m.head) else np.zeros(len(h), bool)
                 c = m.head_counts[place[common]]
-                base = np.bincount(row[common], np.log10(c + 1) - scale, n)
+                base = np.bincount(row[common], np.log10(c + 1) - scale, n).astype(np.float64)
                 known = np.bincount(row[common], minlength=n)
                 # every other word of a row once, with how often it comes
                 order = np.lexsort((h[~common], row[~common]))
