@@ -93,7 +93,7 @@ def unit_classes(e: Episodes):
     return round6_all(out.select("sample_id", *UC))
 
 
-EDGE = 12
+EDGE = 48
 
 
 def edge_sql(c: str) -> str:
@@ -258,8 +258,8 @@ def sensitivity(e: Episodes):
 
 
 POW = PR + f", {FILL}, us as (select sample_id, r6(med_depth) as U_s from sc), lm as (select avg(ln(U_s)) as m from pr join us using (sample_id)), lu as (select pr.*, U_s, ln(U_s)-m as lu from pr join us using (sample_id) cross join lm)"
-WGRID = "(select i as o, (i-40)*0.025e0 as w from (select unnest(range(0,81)) as i))"
-EXPONENTS = [(i - 40) * 0.025 for i in range(81)]
+WGRID = "(select i as o, (i-200)*0.005e0 as w from (select unnest(range(0,401)) as i))"
+EXPONENTS = [(i - 200) * 0.005 for i in range(401)]
 
 
 def depth_unit(e: Episodes):

@@ -183,14 +183,14 @@ def order_contract(e: Episodes):
     views="trade months",
     ctes=f"""e as (select sample_id, volume, row_number() over (partition by sample_id order by s desc, {TIES}) - 1 as pos,
       count(*) over (partition by sample_id) as n from trade)""",
-    select="""select sample_id, cast(least(max(n),64) as bigint) as length, cast(64 as bigint) as padded,
-      r6(sum(volume) filter (where pos>=n-64)) as vol, r6(arg_min(volume, pos) filter (where pos>=n-64)) as first_vol from e group by sample_id""",
+    select="""select sample_id, cast(max(n) as bigint) as length, (select cast(max(n) as bigint) from e) as padded,
+      r6(sum(volume)) as vol, r6(arg_min(volume, pos)) as first_vol from e group by sample_id""",
 )
 def right_padded(e: Episodes):
-    seq = e.trade.ordered(newest=False, idx="pos", total="n").where(F.col("pos") >= F.col("n") - 64)
+    seq = e.trade.ordered(newest=False, idx="pos")
     vec = F.struct(F.col("pos"), F.array(F.col("volume")).alias("v"))
     arrays = seq.groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(vec)), lambda r: r["v"]).alias("x"))
-    p = S.right_pad(arrays, "x", 64, 1)
+    p = S.right_pad(arrays, "x", None, 1)
     total = F.aggregate("x", F.lit(0.0), lambda acc, r: acc + r[0])
     return round6_all(
         p.select("sample_id", F.col("length").cast("long"), F.size("x").cast("long").alias("padded"), total.alias("vol"), F.col("x")[0][0].alias("first_vol"))

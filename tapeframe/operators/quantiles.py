@@ -25,14 +25,24 @@ def quantiles(
     """
     keys = list(keys)
 
+    # one buffer per column, whatever the number of its quantiles
+    shares: dict[str, list[float]] = {}
+    for column, q, method in specs.values():
+        if method == "linear" and q not in shares.setdefault(column, []):
+            shares[column].append(q)
+    linear = {c: f"_linear{i}" for i, c in enumerate(c for c, qs in shares.items() if qs)}
+
     def short(part: DataFrame) -> DataFrame:
-        return part.groupBy(*keys).agg(*[_short_expr(*spec).alias(o) for o, spec in specs.items()])
+        buffers = [F.percentile(c, F.array(*map(F.lit, shares[c]))).alias(name) for c, name in linear.items()]
+        nearest = [_nearest(c, q).alias(o) for o, (c, q, method) in specs.items() if method == "nearest"]
+        pick = [F.col(linear[c])[shares[c].index(q)].alias(o) if method == "linear" else F.col(o) for o, (c, q, method) in specs.items()]
+        return part.groupBy(*keys).agg(*buffers, *nearest).select(*keys, *pick)
 
     if hot is None:
         return short(df)
     marked = F.broadcast(hot.keys.select(*keys))
     long_rows = df.join(marked, keys, "left_semi")
-    groups = hot.keys.select(*keys)
+    groups = long_rows.select(*keys).distinct()  # hot groups of another table need not be in this one
     by_column: dict[str, dict[str, Spec]] = {}
     for out, spec in specs.items():
         by_column.setdefault(spec[0], {})[out] = spec
@@ -41,9 +51,7 @@ def quantiles(
     return short(df.join(marked, keys, "left_anti")).unionByName(warm)
 
 
-def _short_expr(column: str, q: float, method: str) -> Column:
-    if method == "linear":
-        return F.percentile(column, F.lit(q))
+def _nearest(column: str, q: float) -> Column:
     rank = F.floor((F.count(column) - 1) * F.lit(q) + F.lit(0.5)).cast("int")
     return F.when(F.count(column) > 0, F.get(F.sort_array(F.collect_list(column)), rank))
 

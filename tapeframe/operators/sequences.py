@@ -189,8 +189,11 @@ def newest_array(
 ) -> DataFrame:
     """(episode, x: array of `size` channel vectors, mask: array of booleans) from the newest `size`
     rows. Below `full` they end at the last position with zeros on the old side; from `full` on they
-    start at position 0 with zeros at the end."""
-    kept = long.where(F.col(pos) >= F.col(n) - F.lit(size))
+    start at position 0 with zeros at the end, and an episode that doesn't fit is an error, as nothing may be cut then."""
+    fits = F.col(pos) >= F.col(n) - F.lit(size)
+    if size >= full:
+        fits = F.when(F.col(n) > size, F.raise_error(F.concat(F.lit(f"more than {size} rows in episode "), F.col(key).cast("string"))).cast("boolean")).otherwise(fits)
+    kept = long.where(fits)
     vec = F.array(*[F.col(c).cast("double") for c in channels])
     arr = F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), vec.alias("v")))), lambda r: r["v"])
     packed = kept.groupBy(key).agg(arr.alias("_a"))
@@ -208,10 +211,16 @@ def _padded(size: int, left: bool, width: int) -> list[Column]:
     ]
 
 
-def right_pad(arrays: DataFrame, column: str, size: int, width: int, *, length: str = "length") -> DataFrame:
-    """Pads an array of vectors with zero vectors at the end, keeping the true length."""
-    zeros = F.array_repeat(F.array_repeat(F.lit(0.0), width), F.lit(size) - F.size(column))
-    return arrays.withColumn(length, F.size(column)).withColumn(column, F.concat(F.col(column), zeros))
+def right_pad(arrays: DataFrame, column: str, size: int | None, width: int, *, length: str = "length") -> DataFrame:
+    """Pads an array of vectors with zero vectors at the end, keeping the true length. Without a size, up to
+    the longest array there is; an array longer than the size is an error."""
+    if size is None:
+        arrays = arrays.crossJoin(F.broadcast(arrays.agg(F.max(F.size(column)).alias("_size"))))
+        missing = F.col("_size") - F.size(column)
+    else:
+        missing = F.when(F.size(column) > size, F.raise_error(F.lit(f"an array has more than {size} vectors")).cast("int")).otherwise(F.lit(size) - F.size(column))
+    zeros = F.array_repeat(F.array_repeat(F.lit(0.0), width), missing)
+    return arrays.withColumn(length, F.size(column)).withColumn(column, F.concat(F.col(column), zeros)).drop("_size")
 
 
 def zero_channels(df: DataFrame, channels: Sequence[str]) -> DataFrame:

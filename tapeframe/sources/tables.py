@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -34,9 +33,8 @@ def with_file_order(df: DataFrame, name: str = "seq") -> DataFrame:
 
 
 def read_periods(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Union of per-period files by column name; columns a file lacks are null."""
-    frames = [spark.read.parquet(p) for p in paths]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    """Per-period files as one scan, columns by name; columns a file lacks are null."""
+    return spark.read.option("mergeSchema", True).parquet(*paths)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
