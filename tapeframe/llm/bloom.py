@@ -48,7 +48,8 @@ def build(keys: DataFrame, column: str, *, bits: int = 1 << 26) -> np.ndarray:
     listed = keys.select(F.col(column).cast("long").alias("k")).where("k is not null")
     dealt = listed.repartition(SEGMENTS, F.shiftrightunsigned("k", 58))
     out = np.zeros(bits // 8, np.uint8)
-    for row in dealt.mapInArrow(run, "segment int, bits binary").toLocalIterator():
+    # one job; what it returns is at most one part of the fixed size per segment
+    for row in dealt.mapInArrow(run, "segment int, bits binary").collect():
         at = row["segment"] * inside // 8
         out[at : at + inside // 8] |= np.frombuffer(row["bits"], np.uint8)
     return out

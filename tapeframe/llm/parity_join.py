@@ -250,12 +250,11 @@ def classes(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, key:
     """Per row of docs: id, n (size of its set) and component, the smallest id that links lead to."""
     signed = stored(signatures(docs, k=k, num=num, den=den, key=key, text=text), "signatures")
     members = _members(signed)
-    seen = stored(members.groupBy("class").agg(F.sum("size").alias("shared")), "shared")
-    wanted = signed.where("id is not null").join(seen.select("class"), "class", "left_semi").groupBy("class").agg(F.min("id").alias("id"))
-    wanted = stored(wanted, "wanted")
-    held = _held(docs, wanted, k=k, key=key, text=text)
+    ids = signed.where("id is not null and class is not null").groupBy("class").agg(F.min("id").alias("id"))
+    seen = stored(members.groupBy("class").agg(F.sum("size").alias("shared")).join(ids, "class", "left"), "shared")
+    held = _held(docs, seen.where("id is not null").select("class", "id"), k=k, key=key, text=text)
 
-    placed = members.join(seen, "class")
+    placed = members.join(seen.select("class", "shared"), "class")
     leaders = placed.groupBy("key").agg(F.max(F.struct("shared", "class"))["class"].alias("leader"))
     led = stored(members.join(leaders, "key").select(F.col("leader").alias("cluster"), "class").distinct(), "clusters")
     pairs = led.select(F.least("cluster", "class").alias("a"), F.greatest("cluster", "class").alias("b")).where("a < b").distinct()
