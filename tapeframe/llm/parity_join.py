@@ -193,8 +193,9 @@ def _held(docs: DataFrame, wanted: DataFrame, *, k: int, key: str, text: str) ->
 
     picked = docs.where(docs[key].isNotNull()).select(docs[key].cast("long").alias("id"), docs[text].alias("text"), F.xxhash64(docs[key].cast("long")).alias("h"))
     rows = picked.mapInArrow(run, "id long, class long, n long, hashes binary")
-    # an id may be there twice with other texts: the class says which row is meant
-    return stored(rows.join(wanted, ["id", "class"]).dropDuplicates(["class"]).select("class", "n", "hashes"), "sets")
+    # an id may be there twice with other texts: the class says which sets are meant; one shuffle serves the join and the copies
+    needed = rows.select("class", "n", "hashes").join(wanted.select("class"), "class", "left_semi")
+    return stored(needed.dropDuplicates(["class"]), "sets")
 
 
 def _across(open_: DataFrame, held: DataFrame, num: int, den: int, block_bytes: int = 1 << 20) -> DataFrame:
