@@ -8,7 +8,7 @@ from ..functions.aggregates import cosine
 from ..functions.scalars import round6_all
 from ..operators import diagnostics as D, joins as J, regression as R, screening as S
 from ..operators.ordered import newest_rows
-from ..operators.quantiles import auc as auc_of, with_rank
+from ..operators.quantiles import auc as auc_of, with_ranks
 from ..plans import book, cross
 from ..sources.adapters import Episodes
 from ..sources.shared import scratch_path
@@ -154,16 +154,14 @@ def ranked(e: Episodes, cols):
        select=f"select sample_id, r6({rank_sql('t_imb_2s')[0]}) as r_t_imb_2s, r6({rank_sql('patience_diff')[1]}) as n_patience_diff from fx")
 def rank_global(e: Episodes):
     df = D.as_one_group(fx(e))
-    df = with_rank(df, ["_all"], "t_imb_2s", "r_t_imb_2s", hot=e.hot_all, limit=e.limit)
-    df = with_rank(df, ["_all"], "patience_diff", "n_patience_diff", hot=e.hot_all, limit=e.limit, normalised=True)
+    df = with_ranks(df, ["_all"], {"r_t_imb_2s": ("t_imb_2s", False), "n_patience_diff": ("patience_diff", True)}, hot=e.hot_all, limit=e.limit)
     return round6_all(df.select("sample_id", "r_t_imb_2s", "n_patience_diff"))
 
 
 @check("w12_rank_by_period", views=FV, ctes=FACTORS,
        select=f"select sample_id, r6({rank_sql('t_imb_2s', 'month')[0]}) as r_t_imb_2s, r6({rank_sql('ofi_norm', 'month')[1]}) as n_ofi_norm from fx")
 def rank_by_period(e: Episodes):
-    df = with_rank(fx(e), ["month"], "t_imb_2s", "r_t_imb_2s", hot=e.hot_months, limit=e.limit)
-    df = with_rank(df, ["month"], "ofi_norm", "n_ofi_norm", hot=e.hot_months, limit=e.limit, normalised=True)
+    df = with_ranks(fx(e), ["month"], {"r_t_imb_2s": ("t_imb_2s", False), "n_ofi_norm": ("ofi_norm", True)}, hot=e.hot_months, limit=e.limit)
     return round6_all(df.select("sample_id", "r_t_imb_2s", "n_ofi_norm"))
 
 
@@ -211,8 +209,7 @@ RM = f"rm as (select month, target, t_n, {rank_sql('t_imb_w10', 'month')[0]} as
 
 
 def rank_only(e: Episodes):
-    df = with_rank(fx(e), ["month"], "t_imb_w10", "a", hot=e.hot_months, limit=e.limit)
-    return with_rank(df, ["month"], "patience_diff", "b", hot=e.hot_months, limit=e.limit)
+    return with_ranks(fx(e), ["month"], {"a": ("t_imb_w10", False), "b": ("patience_diff", False)}, hot=e.hot_months, limit=e.limit)
 
 
 @check("a17_least_squares", views=FV, ctes=f"{FACTORS}, {RM}, {OLS2}",

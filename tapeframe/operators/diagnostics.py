@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import bias_corrected_kurtosis, bias_corrected_skew, cosine, pearson
 from ..functions.scalars import div
 from .ordered import DEFAULT_LIMIT, Hot
-from .quantiles import auc, bin_of, cut_points, quantiles, with_rank
+from .quantiles import bin_of, cut_points, quantiles, with_ranks
 from .regression import design, fitted, solve_normal
 
 # fixed values: strata of |target|
@@ -31,8 +31,7 @@ def with_bin(df: DataFrame, value: str, bins: int, out: str, *, hot: Hot | None,
 
 def spearman(df: DataFrame, a: str, b: str, *, hot: Hot | None, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """One row (rho); 0 where a side is constant."""
-    ranked = with_rank(as_one_group(df.select(a, b)), [ALL], a, "_ra", hot=hot, limit=limit)
-    ranked = with_rank(ranked, [ALL], b, "_rb", hot=hot, limit=limit)
+    ranked = with_ranks(as_one_group(df.select(a, b)), [ALL], {"_ra": (a, False), "_rb": (b, False)}, hot=hot, limit=limit)
     return ranked.agg(F.coalesce(pearson("_ra", "_rb", 0), F.lit(0.0)).alias("rho"))
 
 
@@ -89,7 +88,8 @@ def zero_share_by_bin(df: DataFrame, value: str, bins: int, *, y="target", hot:
 
 def cause_table(df: DataFrame, candidates: Sequence[str], *, p="pred", y="target", hot: Hot | None, limit=DEFAULT_LIMIT) -> DataFrame:
     """(candidate, auc of a zero target, rho with |target|, rho with |prediction|), missing candidate values
-    at their median. Ranks of |target| and |prediction| are shared by all candidates."""
+    at their median. All ranks come from one pass, and the AUC from the ranks; rows without a target take no part."""
+    df = df.where(F.col(y).isNotNull())
     medians = quantiles(as_one_group(df), [ALL], {f"_q_{c}": (c, 0.5, "linear") for c in candidates}, hot=hot, limit=limit)
     df = df.crossJoin(F.broadcast(medians.drop(ALL)))
     df = df.select(
@@ -97,16 +97,17 @@ def cause_table(df: DataFrame, candidates: Sequence[str], *, p="pred", y="target
         *[F.coalesce(F.col(c).cast("double"), F.col(f"_q_{c}")).alias(c) for c in candidates],
     )
     base = as_one_group(df).withColumn("_ay", F.abs(y)).withColumn("_ap", F.abs(p)).withColumn("_z", F.col(y) == 0)
-    base = with_rank(with_rank(base, [ALL], "_ay", "_ry", hot=hot, limit=limit), [ALL], "_ap", "_rp", hot=hot, limit=limit)
-    parts = []
-    for c in candidates:
-        a = auc(base, c, "_z", hot=hot, keys=[ALL], limit=limit)
-        r = with_rank(base, [ALL], c, "_rc", hot=hot, limit=limit).groupBy(ALL).agg(
-            F.coalesce(pearson("_rc", "_ry", 0), F.lit(0.0)).alias("rho_target"),
-            F.coalesce(pearson("_rc", "_rp", 0), F.lit(0.0)).alias("rho_pred"),
-        )
-        parts.append(a.join(r, ALL).select(F.lit(c).alias("candidate"), "auc", "rho_target", "rho_pred"))
-    return reduce(DataFrame.unionByName, parts)
+    specs = {"_ry": ("_ay", False), "_rp": ("_ap", False), **{f"_r{i}": (c, False) for i, c in enumerate(candidates)}}
+    ranked = with_ranks(base, [ALL], specs, hot=hot, limit=limit)
+    zeros, others = F.count_if("_z").cast("double"), F.count_if(~F.col("_z"))
+
+    def one(i: int, c: str) -> Column:
+        wins = F.sum(F.when(F.col("_z"), F.col(f"_r{i}"))) - zeros * (zeros + 1) / F.lit(2.0)
+        rho = lambda other: F.coalesce(pearson(f"_r{i}", other, 0), F.lit(0.0))
+        return F.struct(F.lit(c).alias("candidate"), div(wins, zeros * others).alias("auc"), rho("_ry").alias("rho_target"), rho("_rp").alias("rho_pred")).alias(f"_s{i}")
+
+    wide = ranked.groupBy(ALL).agg(*[one(i, c) for i, c in enumerate(candidates)])
+    return wide.select(F.explode(F.array(*[f"_s{i}" for i in range(len(candidates))])).alias("_s")).select("_s.*")
 
 
 def out_of_fold_linear(df: DataFrame, xs: Sequence[str], y: str, fold: str, *, out: str = "score") -> DataFrame:

@@ -4,12 +4,12 @@ counts, whose running total says which value holds a given rank."""
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import div
+from ..sources.shared import settle
 from .ordered import DEFAULT_LIMIT, Hot, running_total
 
 Spec = tuple[str, float, str]  # column, q, "linear" or "nearest"
@@ -43,75 +43,103 @@ def quantiles(
     marked = F.broadcast(hot.keys.select(*keys))
     long_rows = df.join(marked, keys, "left_semi")
     groups = long_rows.select(*keys).distinct()  # hot groups of another table need not be in this one
-    by_column: dict[str, dict[str, Spec]] = {}
-    for out, spec in specs.items():
-        by_column.setdefault(spec[0], {})[out] = spec
-    picked = [_by_counts(long_rows, keys, c, some, hot, limit) for c, some in by_column.items()]
-    warm = reduce(lambda a, b: a.join(b, keys, "left"), picked, groups).select(*keys, *specs)
+    warm = groups.join(_by_counts(long_rows, keys, specs, hot, limit), keys, "left").select(*keys, *specs)
     return short(df.join(marked, keys, "left_anti")).unionByName(warm)
 
 
+def _cells(df: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """One row per row and column (`_c` its number, `_v` its value as double), nulls left out."""
+    cell = F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)]))
+    return df.select(*keep, cell.alias("_x")).select(*keep, "_x._c", "_x._v").where(F.col("_v").isNotNull())
+
+
+def _value_counts(cells: DataFrame, keys: list[str], columns: int, hot: Hot, limit: int) -> DataFrame:
+    """(keys, _c, _v, _m rows of the value, _before, _n rows of the group) for all columns in one running total.
+    `cells` has hot groups only."""
+    each = [*keys, "_c"]
+    counts = cells.groupBy(*each, "_v").agg(F.count(F.lit(1)).alias("_m"))
+    numbers = cells.sparkSession.range(columns).select(F.col("id").cast("int").alias("_c"))
+    wide = Hot(hot.keys.select(*keys).crossJoin(numbers), hot.rows * columns)
+    total = running_total(counts, each, "_v", {"_before": "_m"}, hot=wide, limit=limit)
+    # a row per hot group and column
+    return total.join(F.broadcast(counts.groupBy(*each).agg(F.sum("_m").alias("_n"))), each)
+
+
 def _nearest(column: str, q: float) -> Column:
     rank = F.floor((F.count(column) - 1) * F.lit(q) + F.lit(0.5)).cast("int")
     return F.when(F.count(column) > 0, F.get(F.sort_array(F.collect_list(column)), rank))
 
 
-def _by_counts(df, keys, column, specs: Mapping[str, Spec], hot, limit) -> DataFrame:
-    """All quantiles of one column from one running total over its value counts."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_c"))
-    ranked = running_total(counts, keys, column, {"_before": "_c"}, hot=hot, limit=limit)
-    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-
-    def position(q: float, method: str) -> Column:
+def _by_counts(df: DataFrame, keys: list[str], specs: Mapping[str, Spec], hot: Hot, limit: int) -> DataFrame:
+    """All quantiles of all columns from one running total over their value counts."""
+    columns = list(dict.fromkeys(c for c, _, _ in specs.values()))
+    ranked = _value_counts(_cells(df, columns, keys), keys, len(columns), hot, limit)
+    found, out = [], []
+    for i, (name, (column, q, method)) in enumerate(specs.items()):
+        mine = F.col("_c") == columns.index(column)
         pos = (F.col("_n") - 1) * F.lit(q)
-        return F.floor(pos + 0.5).cast("double") if method == "nearest" else pos
+        if method == "nearest":
+            pos = F.floor(pos + 0.5).cast("double")
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_c")), F.col(column)))
+        def at(rank: Column, mine=mine) -> Column:
+            return F.max(F.when(mine & (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_m")), F.col("_v")))
 
-    found, out = [], []
-    for i, (name, (_, q, method)) in enumerate(specs.items()):
-        pos = position(q, method)
-        found += [at(F.floor(pos)).alias(f"_l{i}"), at(F.ceil(pos)).alias(f"_h{i}"), F.max(pos - F.floor(pos)).alias(f"_w{i}")]
+        found += [at(F.floor(pos)).alias(f"_l{i}"), at(F.ceil(pos)).alias(f"_h{i}"), F.max(F.when(mine, pos - F.floor(pos))).alias(f"_w{i}")]
         lo, hi, w = F.col(f"_l{i}"), F.col(f"_h{i}"), F.col(f"_w{i}")
-        value = lo if method == "nearest" else lo + (hi - lo) * w
-        out.append(value.alias(name))
-    # one row per hot group
-    return ranked.join(F.broadcast(sizes), keys).groupBy(*keys).agg(*found).select(*keys, *out)
+        out.append((lo.cast(df.schema[column].dataType) if method == "nearest" else lo + (hi - lo) * w).alias(name))
+    return ranked.groupBy(*keys).agg(*found).select(*keys, *out)
 
 
-def value_ranks(
-    df: DataFrame, keys: Sequence[str], value: str, *, hot: Hot | None, limit: int = DEFAULT_LIMIT
+def with_ranks(
+    df: DataFrame, keys: Sequence[str], specs: Mapping[str, tuple[str, bool]], *, hot: Hot | None, limit: int = DEFAULT_LIMIT,
+    min_rows: int = 2,
 ) -> DataFrame:
-    """One row per (keys, value) of the non-null values: `count`, rows `before` it, group size `n`,
-    and the average 1-based rank `rank` that all its rows share."""
+    """Adds one column per spec: name -> (numeric column, normalised), the average 1-based rank within `keys`.
+    normalised maps it to [-1, 1] and gives null in groups below `min_rows`. Null values keep a null rank.
+
+    Hot groups take all columns at once: rows are settled with a number, their cells counted by value, ranked by one
+    running total, joined back by value and gathered by row; the plan has as many joins for one column as for many.
+    """
     keys = list(keys)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("count"))
-    ranked = running_total(counts, keys, value, {"before": "count"}, hot=hot, limit=limit)
-    sizes = counts.groupBy(*keys).agg(F.sum("count").alias("n"))
-    return ranked.join(sizes, keys).withColumn("rank", F.col("before") + (F.col("count") + 1) / F.lit(2.0))
+
+    def scaled(rank: Column, n: Column, normalised: bool) -> Column:
+        return F.when(n >= min_rows, div(2 * (rank - 1), n - 1) - 1) if normalised else rank
+
+    def short(part: DataFrame) -> DataFrame:
+        w, out = Window.partitionBy(*keys), {}
+        for name, (value, normalised) in specs.items():
+            x = F.col(value)
+            ties = F.count(x).over(Window.partitionBy(*keys, value))
+            rank = F.rank().over(w.orderBy(x.asc_nulls_last())) + (ties - 1) / F.lit(2.0)
+            out[name] = F.when(x.isNotNull(), scaled(rank, F.count(x).over(w), normalised))
+        return part.withColumns(out)
+
+    if hot is None:
+        return short(df)
+    marked = F.broadcast(hot.keys.select(*keys))
+    columns = list(dict.fromkeys(value for value, _ in specs.values()))
+    warm = settle(df.join(marked, keys, "left_semi").withColumn("_row", F.monotonically_increasing_id()))
+    cells, on = _cells(warm, columns, ["_row", *keys]), [*keys, "_c", "_v"]
+    rank = (F.col("_before") + (F.col("_m") + 1) / F.lit(2.0)).alias("_r")
+    table = settle(_value_counts(cells, keys, len(columns), hot, limit).select(*on, "_m", "_n", rank))
+    # values that more than `limit` rows share are few: at most cells / limit
+    often, rare = table.where(F.col("_m") > limit).drop("_m"), table.where(F.col("_m") <= limit).drop("_m")
+    rest = cells.join(F.broadcast(often.select(*on)), on, "left_anti")
+    found = cells.join(F.broadcast(often), on).unionByName(rest.join(rare, on))
+    gathered = found.groupBy("_row").agg(*[
+        F.max(F.when(F.col("_c") == columns.index(value), scaled(F.col("_r"), F.col("_n"), normalised))).alias(name)
+        for name, (value, normalised) in specs.items()
+    ])
+    ranked = warm.drop(*specs).join(gathered, "_row", "left").drop("_row")
+    return short(df.join(marked, keys, "left_anti")).unionByName(ranked)
 
 
 def with_rank(
     df: DataFrame, keys: Sequence[str], value: str, out: str, *, hot: Hot | None, limit: int = DEFAULT_LIMIT,
     normalised: bool = False, min_rows: int = 2,
 ) -> DataFrame:
-    """Average rank of `value` within `keys`; normalised maps it to [-1, 1] and gives null in groups
-    below `min_rows`. Null values keep a null rank."""
-    if hot is None:
-        w, x = Window.partitionBy(*keys), F.col(value)
-        ties = F.count(x).over(Window.partitionBy(*keys, value))
-        first = F.rank().over(w.orderBy(x.asc_nulls_last()))
-        n, rank = F.count(x).over(w), first + (ties - 1) / F.lit(2.0)
-        if normalised:
-            rank = F.when(n >= min_rows, div(2 * (rank - 1), n - 1) - 1)
-        return df.withColumn(out, F.when(x.isNotNull(), rank))
-    table = value_ranks(df, keys, value, hot=hot, limit=limit)
-    rank = F.col("rank")
-    if normalised:
-        rank = F.when(F.col("n") >= min_rows, div(2 * (rank - 1), F.col("n") - 1) - 1)
-    table = table.select(*keys, value, rank.alias(out))
-    return df.join(table, [*keys, value], "left")
+    """`with_ranks` for one column."""
+    return with_ranks(df, keys, {out: (value, normalised)}, hot=hot, limit=limit, min_rows=min_rows)
 
 
 def cut_points(df: DataFrame, value: str, bins: int, *, keys: Sequence[str] = (), hot=None, limit=DEFAULT_LIMIT) -> DataFrame:

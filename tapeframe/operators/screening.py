@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.aggregates import cosine, pearson
 from ..functions.scalars import div
 from .ordered import Hot
-from .quantiles import with_rank
+from .quantiles import with_ranks
 from .regression import least_squares
 
 MIN_ROWS = 100
@@ -96,9 +96,7 @@ def rank_columns(
     df: DataFrame, factors: Sequence[str], *, keys: Sequence[str], hot: Hot | None, limit: int, prefix: str = "r_", min_rows: int = 2
 ) -> DataFrame:
     """Adds r_<factor>, the rank within `keys` mapped to [-1, 1]."""
-    for f in factors:
-        df = with_rank(df, keys, f, f"{prefix}{f}", hot=hot, limit=limit, normalised=True, min_rows=min_rows)
-    return df
+    return with_ranks(df, keys, {f"{prefix}{f}": (f, True) for f in factors}, hot=hot, limit=limit, min_rows=min_rows)
 
 
 def row_mean(columns: Sequence[Column]) -> Column:

@@ -87,6 +87,30 @@ def test_average_rank_and_auc_against_naive(spark):
             assert got[k] is None
 
 
+def test_ranks_of_many_columns_in_one_pass(spark):
+    df = tape_frame(spark, 12).withColumn("y", F.when(F.col("v") > 1, F.col("v"))).withColumn("one", F.lit(1))
+    df = df.withColumn("sample_id", F.when(F.col("sample_id") != 2, F.col("sample_id")))
+    hot = find_hot(df.where("sample_id is not null"), ["sample_id"], LIMIT)
+    specs = {"rx": ("x", False), "nx": ("x", True), "ry": ("y", True), "rs": ("s", False), "r1": ("one", True)}
+    split = Q.with_ranks(df, ["sample_id"], specs, hot=hot, limit=LIMIT, min_rows=6)
+    plain = Q.with_ranks(df, ["sample_id"], specs, hot=None, min_rows=6)
+    assert as_rows(split, "seq") == as_rows(plain, "seq")
+    joins = lambda out: str(out._jdf.queryExecution().optimizedPlan()).count("Join ")
+    few = Q.with_ranks(df, ["sample_id"], {"rx": ("x", False)}, hot=hot, limit=LIMIT)
+    assert joins(split) == joins(few)
+
+
+def test_quantiles_of_many_columns_with_a_hot_list_of_another_table(spark):
+    df = tape_frame(spark, 13).withColumn("none", F.lit(None).cast("double"))
+    hot = find_hot(df.unionByName(df.withColumn("sample_id", F.lit(99).cast("long"))), ["sample_id"], LIMIT)
+    specs = {"a": ("x", 0.3, "linear"), "b": ("seq", 0.5, "nearest"), "c": ("none", 0.5, "linear"), "d": ("v", 0.9, "linear"), "e": ("x", 0.8, "nearest")}
+    got = Q.quantiles(df, ["sample_id"], specs, hot=hot, limit=LIMIT)
+    want = Q.quantiles(df, ["sample_id"], specs, hot=None)
+    assert got.schema == want.schema
+    for g, w in zip(got.orderBy("sample_id").collect(), want.orderBy("sample_id").collect(), strict=True):
+        assert list(g) == pytest.approx(list(w))
+
+
 def test_asof_forward_against_brute_force(spark):
     trades = tape_frame(spark, 4).withColumn("s", F.col("s") + F.col("seq") % 3)
     snaps = tape_frame(spark, 5, (3, 2, 30, 1, 60, 90)).withColumn("book", F.col("seq").cast("double"))

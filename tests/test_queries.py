@@ -9,7 +9,7 @@ from tapeframe.sources.adapters import Episodes
 
 FOLDER = "/root/testdata/sf0.001"
 LIMITED = ["f_base_trade", "f_ext3_book", "f_base_depth", "q7_trade_events", "q5_second_aggregates", "j7_nearest_present",
-           "a18_auc", "dq3_gap_report", "w13_equal_frequency_bins", "w7_fill"]
+           "a18_auc", "dq3_gap_report", "w13_equal_frequency_bins", "w7_fill", "w12_rank_by_period", "e6_composites", "e7_modulation", "e11_cause_table", "p3_fold_statistics"]
 
 
 @pytest.fixture(scope="session")
