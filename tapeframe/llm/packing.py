@@ -2,9 +2,10 @@
 
 A document's ids, with the end id behind, are cut from the end into pieces of `capacity`; only the first may
 be shorter. Full pieces are sequences already. The shorter ones are dealt to partitions and packed there by
-best-fit decreasing; nearly full bins are sequences, the others go as items of their summed length to the
-next round, on fewer partitions, and so on up the tree. No task gets more than about `task_items` items, also at the
-root: rounds go on until they stop closing bins, and then all that is left is emitted.
+best-fit decreasing; nearly full bins are sequences, the pieces of the others are dealt anew in the next round,
+on fewer partitions, and so on up the tree (one by one, as of two underfull bins hardly ever one is at most half full).
+No task gets more than about `task_items` items, also at the root: a round on one task closes all that is left, and so
+does a round after one that hardly closed bins, if there can't be fewer partitions.
 
 A bin carries its members (at most `capacity` of them, as each has an id at least), so no row is looked up
 again. Null and empty texts have one piece, the end id. Equal documents are packed each on their own. An empty table gives no
@@ -112,21 +113,20 @@ def pack(pieces: DataFrame, *, capacity: int = 1024, nearly_full: float = 0.995,
     spark = pieces.sparkSession
     member = F.struct("doc_id", "piece", "start", "length", "ids_crc32").cast(PIECE).alias("m")
     items = pieces.where(F.col("length") < capacity).select(F.col("length").alias("total"), F.array(member).alias("members"))
-    count = items.count()
-    parts, closed, before = max(1, -(-count // task_items)), [], count + 1
+    count, closed, rounds, before, was = items.count(), [], 0, None, None
+    parts = max(1, -(-count // task_items))
     parts = max(parts, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // 2_000)))
     while count:
-        # a round on one task, or one that hardly closed bins, is the last
-        last = parts == 1 or count > 0.98 * before
-        dealt = items.repartition(parts, F.xxhash64(F.col("members")[0], F.lit(parts)))
+        last = parts == 1 or (parts == was and count > 0.98 * before)
+        dealt = items.repartition(parts, F.xxhash64(F.col("members")[0], F.lit(rounds)))
         enough = int(capacity * nearly_full)
         packed = stored(dealt.mapInArrow(_round(capacity, enough, last), f"total long, members array<{PIECE}>, done boolean"), "bins")
         closed.append(packed.where("done").select("members"))
-        items = packed.where("not done").select("total", "members")
         if last:
             break
-        before, count = count, items.count()
-        parts = max(1, -(-count // task_items), -(-parts // fan_in) if count < task_items * parts else parts)
+        items = packed.where("not done").select(F.explode("members").alias("m")).select(F.col("m.length").alias("total"), F.array("m").alias("members"))
+        rounds, before, was, count = rounds + 1, count, parts, items.count()
+        parts = min(was, max(1, -(-count // task_items), -(-was // fan_in)))
     full = pieces.where(F.col("length") == capacity).select(F.array(member).alias("members"))
     bins = full
     for b in closed:

@@ -161,6 +161,18 @@ def test_best_fit_is_tight():
     assert len(bins) <= 1.02 * -(-lengths.sum() // 1024)
 
 
+def test_packing_goes_up_the_tree(spark, monkeypatch):
+    lengths = np.minimum(1023, np.random.default_rng(0).lognormal(5.5, 0.8, 20_000).astype(int) + 1)
+    pieces = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(lengths.tolist())], "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(4).cache()
+    rounds, stored = [], packing.stored
+    monkeypatch.setattr(packing, "stored", lambda df, name: rounds.append(df) or stored(df, name))
+    got = packing.pack(pieces, task_items=1000).cache()
+    assert len(rounds) > 1
+    assert got.count() == got.select("doc_id").distinct().count() == len(lengths)
+    assert got.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 1024
+    assert got.select("sequence_id").distinct().count() <= 1.001 * len(packing.best_fit(lengths, 1024))
+
+
 # --- archives
 
 
