@@ -21,11 +21,11 @@ PROBES = 3
 
 
 def places(keys: np.ndarray, bits: int, probe: int) -> np.ndarray:
-    """The place of each key for a probe, within a filter of this many bits (a power of two): the segment's bits come
-    from the key, those inside it from a hash."""
+    """The place of each key for a probe, within a filter of this many bits (a multiple of 8 x SEGMENTS): the segment comes
+    from the key, the place inside it from a hash."""
     inside = bits // SEGMENTS
     h = mix(keys + np.uint64((0x9E3779B97F4A7C15 * (probe + 1)) % (1 << 64)))
-    return ((keys >> np.uint64(58)) * np.uint64(inside) + (h & np.uint64(inside - 1))).astype(np.int64)
+    return ((keys >> np.uint64(58)) * np.uint64(inside) + ((h >> np.uint64(32)) * np.uint64(inside) >> np.uint64(32))).astype(np.int64)
 
 
 def build(keys: DataFrame, column: str, *, bits: int = 1 << 26) -> np.ndarray:

@@ -1,17 +1,18 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-The filter holds n-gram counts of the training texts in quantised form: an n-gram with level q (two levels per doubling) is
-entered once per level 0..q, under keys made of its hash and the level, so a count is read by probing level after level until one is
-missing. The filter's size is a parameter, and so is the bound of what is broadcast; if the n-grams of the corpus would
-fill it beyond `fill`, the least count of a bigram that is entered rises, found from the exact distribution of counts.
+The filter holds the counts of all words and bigrams of the training texts in quantised form: an n-gram with level q (two levels per
+doubling) is entered once per level 0..q, under keys made of its hash and the level, so a count is read by probing level after level
+until one is missing. It is cut by ranges of the n-gram's hash. Each range's filter is as large as its exact level totals need for the
+share `fill` of set bits, so it grows with the corpus and errs as often at any size; the number of ranges grows too, which bounds one.
+Nothing of it is broadcast: the different n-grams of every chunk of texts go to their ranges, and their levels come back to the chunk.
 
 Tokens are words (A-Z as a-z) and one end per text. The model mixes a bigram and a unigram estimate,
-p = w c(v,t)/c(v) + (1-w) (c(t)+1)/(N+V+1), counts as the filter gives them; w is chosen from a grid by the likelihood of a bounded sample
-of training texts, each text's own counts taken off. The base score beside it uses exact counts c(t): those of the `head` most
+p = w c(v,t)/c(v) + (1-w) (c(t)+1)/(N+V+1), counts as the filter gives them; w is chosen from a grid by the likelihood of all
+training texts, each token's own occurrence taken off. The base score beside it uses exact counts c(t): those of the `head` most
 frequent words go to every task (a bounded table), those of all other words are joined by hash.
 
 Null texts are empty; an empty text has its end only. Nothing to train on gives N = V = 0 and the uniform estimate. Equal texts get
-equal scores; repeated and null ids are rows of their own. Words and n-grams are compared by 64-bit hashes. An empty table gives no
+equal scores; repeated and null ids are rows of their own. Words are compared by 64-bit hashes, bigrams by 48 bits of one. An empty table gives no
 rows. Other columns are not looked at.
 """
 
@@ -19,10 +20,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,7 +62,7 @@ def contexts(h: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def bigrams(before: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return mix(before * np.uint64(3) + h)
+    return mix(before * np.uint64(3) + h) & ~np.uint64(0xFFFF)
 
 
 def level(n: np.ndarray) -> np.ndarray:
@@ -109,11 +111,34 @@ def _totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def count_ngrams(docs: DataFrame, training: Column, *, text: str = "text", bucket_tokens: int = 2_000_000) -> DataFrame:
-    """(kind, h, n): exact counts over all training texts of every word and of every bigram that comes twice or more. Counts are summed
-    within a chunk, then by ranges of the hash; the number of ranges follows the input's size, so each is bounded."""
+def filled_by(h: np.ndarray, n: np.ndarray, fill: float) -> np.ndarray:
+    """The filter of n-grams and their counts, of the size at which a share `fill` of its bits is set."""
+    top = level(n)
+    unit = 8 * bloom.SEGMENTS
+    bits = unit * max(1, math.ceil(bloom.PROBES * int((top + 1).sum()) / -math.log(1 - fill) / unit))
+    out = np.zeros(bits, bool)
+    for j in range(int(top.max(initial=-1)) + 1):
+        keys = level_keys(h[top >= j], j)
+        for probe in range(bloom.PROBES):
+            out[bloom.places(keys, bits, probe)] = True
+    return np.packbits(out)
+
+
+def range_bits(docs: DataFrame, *, text: str = "text", bits: int = 1 << 28, range_tokens: int = 2_000_000) -> int:
+    """How many leading bits of an n-gram's hash name its range: so many that a range's filter stays under `bits`."""
     chars = docs.agg(F.sum(F.octet_length(docs[text]))).first()[0] or 0
-    bits = max(6, math.ceil(math.log2(max(1, chars / 6 / bucket_tokens))))
+    return max(6, math.ceil(math.log2(max(1, chars / 6 / min(range_tokens, bits // 32)))))
+
+
+def _cut(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ranges that sorted keys lie in, where each range's begin)."""
+    ends = np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(keys))
+    return np.flatnonzero(np.diff(ends)), ends
+
+
+def count_ngrams(docs: DataFrame, training: Column, bits: int, *, text: str = "text", fill: float = 0.2) -> DataFrame:
+    """Over all training texts: (kind, bucket, filled), the filter of each range of words and of bigrams, and (h, n), the exact count of
+    every word. Counts are summed within a chunk, then by range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,136 +147,184 @@ def count_ngrams(docs: DataFrame, training: Column, *, text: str = "text", bucke
                 h, row = tokens(part, at)
                 for kind, keys in ((UNI, h), (BI, bigrams(contexts(h, row), h))):
                     keys, n = np.unique(keys, return_counts=True)
-                    ends = np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(keys))
-                    some = np.flatnonzero(np.diff(ends))
+                    some, ends = _cut(keys, bits)
                     data = [_packed(keys[ends[b] : ends[b + 1]], n[ends[b] : ends[b + 1]]) for b in some]
                     yield pa.RecordBatch.from_arrays([pa.array([kind] * len(some), pa.int32()), pa.array(some), pa.array(np.diff(ends)[some]), pa.array(data, pa.binary())], ["kind", "bucket", "size", "data"])
 
     def merge(table: pa.Table) -> pa.Table:
-        kind = table.column("kind")[0].as_py()
+        kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
         parts = [_unpacked(d, s) for d, s in zip(table.column("data").to_pylist(), table.column("size").to_pylist(), strict=True)]
         keys, n = _totals(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        filled = pa.array([filled_by(keys, n, fill).tobytes()], pa.binary())
         if kind == BI:
-            keys, n = keys[n > 1], n[n > 1]
-        return pa.table({"kind": pa.array([kind] * len(keys), pa.int32()), "h": pa.array(keys.view(np.int64)), "n": pa.array(n)})
+            keys, n = keys[:0], n[:0]
+        m = len(keys)
+        h, n = (pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(x.astype(np.int64))]) for x in (keys.view(np.int64), n))
+        return pa.table({"kind": pa.array([kind] * (m + 1), pa.int32()), "bucket": pa.array([bucket] * (m + 1), pa.int64()), "filled": pa.concat_arrays([filled, pa.nulls(m, pa.binary())]), "h": h, "n": n})
 
     parts = docs.where(training).select(docs[text].alias("text")).mapInArrow(run, "kind int, bucket long, size long, data binary")
-    return stored(parts.groupBy("kind", "bucket").applyInArrow(merge, "kind int, h long, n long"), "ngrams")
+    return stored(parts.groupBy("kind", "bucket").applyInArrow(merge, "kind int, bucket long, filled binary, h long, n long"), "ngrams")
 
 
 @dataclass(frozen=True)
 class Model:
-    """What goes to every task; all sizes are parameters."""
-
-    filled: np.ndarray
+    filters: DataFrame  # kind, bucket, filled
+    bits: int  # of a hash that name its range
     total: int  # N
     distinct: int  # V
     weight: float
     head: np.ndarray  # hashes of the most frequent words, sorted
     head_counts: np.ndarray
 
-    def estimates(self, h: np.ndarray, before: np.ndarray, own: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """(bigram, unigram) estimates per token; `own` is taken off all counts."""
-        seen, at = np.unique(np.concatenate([h, before]), return_inverse=True)
-        c = np.maximum(_COUNTS[probed(self.filled, seen) + 1] - own, 0)[at]
-        pairs, where = np.unique(bigrams(before, h), return_inverse=True)
-        # a bigram is entered from count 2, so levels 0 to 2 are there; fewer are a false hit
-        q = probed(self.filled, pairs)
-        both = np.maximum(np.where(q >= 2, _COUNTS[q + 1], 0) - own, 0)[where]
-        context = np.maximum(c[len(h) :], both)
-        return np.divide(both, context, out=np.zeros(len(h)), where=context > 0), (c[: len(h)] + 1) / (self.total + self.distinct + 1)
 
-    def log10(self, h: np.ndarray, before: np.ndarray) -> np.ndarray:
-        pair, one = self.estimates(h, before)
-        return np.log10(self.weight * pair + (1 - self.weight) * one)
+def _estimates(c: np.ndarray, before: np.ndarray, both: np.ndarray, total: int, distinct: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bigram, unigram) estimates per token from the counts of it, of the token before it, and of both."""
+    context = np.maximum(before, both)
+    return np.divide(both, context, out=np.zeros(len(c)), where=context > 0), (c + 1) / (total + distinct + 1)
 
 
-def train(docs: DataFrame, training: Column, *, text: str = "text", bits: int = 1 << 28, fill: float = 0.5, head: int = 1 << 17, tune_rows: int = 500) -> tuple[Model, DataFrame]:
-    """The model and the exact word counts (h, n)."""
+def _fit(docs: DataFrame, training: Column, *, text: str, bits: int, fill: float, head: int) -> tuple[Model, DataFrame]:
+    """A model that has no weight yet, and the exact word counts (h, n)."""
+    by = range_bits(docs, text=text, bits=bits)
+    grams = count_ngrams(docs, training, by, text=text, fill=fill)
+    counts = grams.where("h is not null").select("h", "n")
+    all_ = counts.agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).first()
+    most = sorted((r["h"], r["n"]) for r in counts.orderBy(F.desc("n"), "h").limit(head).collect())
+    h = np.array([x for x, _ in most], np.int64).view(np.uint64)
+    order = np.argsort(h)
+    filters = grams.where("filled is not null").select("kind", "bucket", "filled")
+    return Model(filters, by, all_["total"] or 0, all_["distinct"], 0.0, h[order], np.array([n for _, n in most], np.int64)[order]), counts
+
+
+def _measured(docs: DataFrame, model: Model, weights: tuple[float, ...], training: Column, *, text: str, keep: list[str]) -> DataFrame:
+    """Per row: the columns in `keep`, row, n_tokens, known, base (over the most frequent words), scores (by weight), rare and times (all
+    other words), and fits: by weight of the grid, the likelihood of a training text without its own counts, else null."""
     spark = docs.sparkSession
-    grams = count_ngrams(docs, training, text=text)
-    q = F.least(F.floor(2 * F.log2("n") + 1e-9), F.lit(LEVELS - 1)).cast("long")
-    by_level = grams.groupBy("kind", q.alias("q")).agg(F.count("*").alias("m"), F.sum("n").alias("s")).collect()  # 2 x LEVELS rows at most
-    total = sum(r["s"] for r in by_level if r["kind"] == UNI)
-    distinct = sum(r["m"] for r in by_level if r["kind"] == UNI)
-    room = -math.log(1 - fill) * bits - bloom.PROBES * sum((r["q"] + 1) * r["m"] for r in by_level if r["kind"] == UNI)
-    least = LEVELS
-    for r in sorted((r for r in by_level if r["kind"] == BI), key=lambda r: -r["q"]):
-        room -= bloom.PROBES * (r["q"] + 1) * r["m"]
-        if room < 0:
-            break
-        least = r["q"]
+    by = model.bits
+    carried = [*keep, "__training"]
+    picked = docs.select(*[docs[c] for c in keep], training.alias("__training"), docs[text].alias("__text"))
 
-    def entered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 20
         for batch in batches:
-            h, top = batch.column(0).to_numpy().view(np.uint64), level(batch.column(1).to_numpy())
-            for j in range(int(top.max(initial=-1)) + 1):
-                yield pa.RecordBatch.from_arrays([pa.array(level_keys(h[top >= j], j).view(np.int64))], ["key"])
+            raw, offsets = buffers(batch.column(len(carried)))
+            for lo, hi, part, at in chunks(raw, offsets, CHUNK):
+                h, row = tokens(part, at)
+                u, of = np.unique(h, return_inverse=True)
+                sink = pa.BufferOutputStream()
+                rows = pa.RecordBatch.from_arrays([batch.column(i)[lo:hi] for i in range(len(carried))], carried)
+                with pa.ipc.new_stream(sink, rows.schema) as out:
+                    out.write_batch(rows)
+                planes = np.ascontiguousarray(of.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+                flat = np.array([len(u), len(h)], "<i8").tobytes() + u.astype("<u8").tobytes() + planes.tobytes() + np.bincount(row, minlength=hi - lo).astype("<i8").tobytes()
+                made = [(-1, 0, 0, zstandard.ZstdCompressor(level=1).compress(flat), sink.getvalue().to_pybytes())]
+                for kind, keys in ((UNI, u), (BI, np.unique(bigrams(contexts(h, row), h)))):
+                    some, ends = _cut(keys, by)
+                    made += [(kind, b, int(ends[b + 1] - ends[b]), _packed(k := keys[ends[b] : ends[b + 1]], np.zeros(len(k))), None) for b in some.tolist()]
+                kinds, buckets, sizes, data, more = zip(*made, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(made), pa.int64()), pa.array(kinds, pa.int32()), pa.array(buckets, pa.int64()), pa.array(sizes, pa.int64()), pa.array(data, pa.binary()), pa.array(more, pa.binary())], ["chunk", "kind", "bucket", "size", "data", "rows"])
+                chunk += 1
+
+    def answer(asked: pa.Table, filters: pa.Table) -> pa.Table:
+        sizes = asked.column("size").to_pylist()
+        keys = [_unpacked(d, s)[0] for d, s in zip(asked.column("data").to_pylist(), sizes, strict=True)]
+        found = np.full(sum(sizes), -1, np.int8)
+        if len(filters) and keys:
+            found = probed(np.frombuffer(filters.column("filled")[0].as_py(), np.uint8), np.concatenate(keys)).astype(np.int8)
+        levels = [zstandard.ZstdCompressor(level=1).compress(x.tobytes()) for x in np.split(found, np.cumsum(sizes)[:-1])] if keys else []
+        return pa.table({"chunk": asked.column("chunk"), "kind": asked.column("kind"), "bucket": asked.column("bucket"), "levels": pa.array(levels, pa.binary())})
+
+    total, distinct = model.total, model.distinct
+    shared = spark.sparkContext.broadcast((model.head, model.head_counts))
+    names = ["row", "n_tokens", "known", "base", "scores", "fits", "rare", "times"]
+
+    def measure(asked: pa.Table, answers: pa.Table) -> pa.Table:
+        raw = zstandard.ZstdDecompressor().decompress(asked.column("data")[0].as_py())
+        n_words, n_tokens = np.frombuffer(raw, "<i8", 2).tolist()
+        u = np.frombuffer(raw, "<u8", n_words, 16)
+        of = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n_tokens, 16 + 8 * n_words).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+        lengths = np.frombuffer(raw, "<i8", -1, 16 + 8 * n_words + 4 * n_tokens)
+        n, h = len(lengths), u[of]
+        row = np.repeat(np.arange(n), lengths)
+        _, pair = np.unique(bigrams(contexts(h, row), h), return_inverse=True)
+        answers = answers.sort_by([("kind", "ascending"), ("bucket", "ascending")])
+        kinds = answers.column("kind").to_pylist()
+        levels = [zstandard.ZstdDecompressor().decompress(x) for x in answers.column("levels").to_pylist()]
+        q, q_pair = (np.frombuffer(b"".join(x for x, k in zip(levels, kinds, strict=True) if k == kind), np.int8).astype(np.int64) for kind in (UNI, BI))
+        starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
+
+        def sums(c: np.ndarray, both: np.ndarray, ws: tuple[float, ...]) -> pa.Array:
+            before = np.concatenate([[0], c[:-1]])
+            before[starts] = 0  # the context that begins a text isn't counted
+            pairs, one = _estimates(c, before, both, total, distinct)
+            by_weight = np.zeros((n, 0)) if not ws else np.stack([np.bincount(row, np.log10(np.maximum(w * pairs + (1 - w) * one, 1e-300)), n) for w in ws], 1)
+            return pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * len(ws)).astype(np.int32)), pa.array(by_weight.ravel()))
+
+        c, both = _COUNTS[q + 1][of], _COUNTS[q_pair + 1][pair]
+        scores = sums(c, both, weights)
+        rows = pa.ipc.open_stream(asked.column("rows")[0].as_py()).read_all().combine_chunks()
+        trained = rows.column("__training").combine_chunks().fill_null(False)
+        fits = pa.nulls(n, pa.list_(pa.float64()))
+        if pa.compute.any(trained).as_py():
+            fits = pa.compute.if_else(trained, sums(np.maximum(c - 1, 0), np.maximum(both - 1, 0), WEIGHTS), pa.scalar(None, pa.list_(pa.float64())))
+
+        head, head_counts = shared.value
+        scale = math.log10(total + distinct + 1)
+        place = np.minimum(np.searchsorted(head, h), max(0, len(head) - 1))
+        common = head[place] == h if len(head) else np.zeros(len(h), bool)
+        base = np.bincount(row[common], np.log10(head_counts[place[common]] + 1) - scale, n).astype(np.float64)
+        known = np.bincount(row[common], minlength=n)
+        # every other word of a row once, with how often it comes
+        order = np.lexsort((h[~common], row[~common]))
+        r, w = row[~common][order], h[~common][order]
+        new = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (w[1:] != w[:-1])])[: len(w)])
+        times = np.diff(np.append(new, len(w)))
+        ends = pa.array(np.searchsorted(r[new], np.arange(n + 1)).astype(np.int32))
+        ids = (asked.column("chunk")[0].as_py() << 22) + np.arange(n)
+        columns = [pa.array(ids), pa.array(lengths), pa.array(known), pa.array(base), scores, fits, pa.ListArray.from_arrays(ends, pa.array(w[new].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int32)))]
+        return pa.table([*[rows.column(x) for x in keep], *columns], [*keep, *names])
+
+    asked = stored(picked.mapInArrow(ask, "chunk long, kind int, bucket long, size long, data binary, rows binary"), "asked")
+    wanted = asked.where("kind >= 0").select("chunk", "kind", "bucket", "size", "data").groupBy("kind", "bucket")
+    answers = wanted.cogroup(model.filters.groupBy("kind", "bucket")).applyInArrow(answer, "chunk long, kind int, bucket long, levels binary")
+    own = T.StructType.fromDDL("row long, n_tokens long, known long, base double, scores array<double>, fits array<double>, rare array<long>, times array<int>")
+    schema = T.StructType([*picked.select(*keep).schema, *own])
+    texts = asked.where("kind < 0").select("chunk", "data", "rows").groupBy("chunk")
+    return stored(texts.cogroup(answers.groupBy("chunk")).applyInArrow(measure, schema), "scored")
 
-    chosen = grams.where((F.col("kind") == UNI) | (q >= least)).select("h", "n")
-    filled = bloom.build(chosen.mapInArrow(entered, "key long"), "key", bits=bits)
-    counts = grams.where(F.col("kind") == UNI).select("h", "n")
-    most = sorted((r["h"], r["n"]) for r in counts.orderBy(F.desc("n"), "h").limit(head).collect())
-    h = np.array([x for x, _ in most], np.int64).view(np.uint64)
-    by = np.argsort(h)
-    model = Model(filled, total, distinct, 0.0, h[by], np.array([n for _, n in most], np.int64)[by])
-    shared = spark.sparkContext.broadcast(model)
 
-    def tune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(len(WEIGHTS))
-        for batch in batches:
-            raw, offsets = buffers(batch.column(0))
-            for _, _, part, at in chunks(raw, offsets, CHUNK):
-                t, row = tokens(part, at)
-                pair, one = shared.value.estimates(t, contexts(t, row), own=1)
-                sums += [np.log10(np.maximum(w * pair + (1 - w) * one, 1e-300)).sum() for w in WEIGHTS]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(WEIGHTS)), pa.int32()), pa.array(sums)], ["i", "s"])
+def _weight(measured: DataFrame, model: Model) -> int:
+    """The place in WEIGHTS of the weight that fits all training texts best, the smallest of equal ones."""
+    best = measured.where("fits is not null").select(F.posexplode("fits").alias("i", "s")).groupBy("i").agg(F.sum("s").alias("s")).orderBy(F.desc("s"), "i").first()
+    return best["i"] if best and model.total else 0
+
 
-    some = docs.where(training & docs[text].isNotNull()).select(docs[text].alias("text")).limit(tune_rows)
-    scores = some.mapInArrow(tune, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).orderBy(F.desc("s"), "i").first()
-    weight = WEIGHTS[scores["i"]] if scores and total else 0.0
-    return Model(filled, total, distinct, weight, model.head, model.head_counts), counts
+def train(docs: DataFrame, training: Column, *, text: str = "text", bits: int = 1 << 28, fill: float = 0.2, head: int = 1 << 17) -> tuple[Model, DataFrame]:
+    """The model and the exact word counts (h, n). `bits` bounds the filter of one range of n-grams."""
+    model, counts = _fit(docs, training, text=text, bits=bits, fill=fill, head=head)
+    measured = _measured(docs.where(training), model, (), F.lit(True), text=text, keep=[])
+    return replace(model, weight=WEIGHTS[_weight(measured, model)]), counts
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, *, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Per row: the columns in `keep` (the key by default), n_tokens, n_known, train_tokens, base_score, score."""
     keep = keep or [key]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = ["row", "n_tokens", "known", "base", "score", "rare", "times"]
+    return _finished(_measured(docs, model, (model.weight,), F.lit(False), text=text, keep=keep), model, counts, 0, keep)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        first, done = TaskContext.get().partitionId() << 40, 0
-        scale = math.log10(m.total + m.distinct + 1)
-        for batch in batches:
-            raw, offsets = buffers(batch.column(len(keep)))
-            for lo, hi, part, at in chunks(raw, offsets, CHUNK):
-                h, row = tokens(part, at)
-                n = hi - lo
-                total = np.bincount(row, m.log10(h, contexts(h, row)), n)
-                place = np.minimum(np.searchsorted(m.head, h), max(0, len(m.head) - 1))
-                common = m.head[place] == h if len(m.head) else np.zeros(len(h), bool)
-                c = m.head_counts[place[common]]
-                base = np.bincount(row[common], np.log10(c + 1) - scale, n).astype(np.float64)
-                known = np.bincount(row[common], minlength=n)
-                # every other word of a row once, with how often it comes
-                order = np.lexsort((h[~common], row[~common]))
-                r, w = row[~common][order], h[~common][order]
-                new = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (w[1:] != w[:-1])])[: len(w)])
-                times = np.diff(np.append(new, len(w)))
-                ends = pa.array(np.searchsorted(r[new], np.arange(n + 1)).astype(np.int32))
-                columns = [batch.column(i)[lo:hi] for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(first + done + np.arange(n)), pa.array(np.bincount(row, minlength=n)), pa.array(known), pa.array(base), pa.array(total), pa.ListArray.from_arrays(ends, pa.array(w[new].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int32)))], [*keep, *names])
-                done += n
-
-    picked = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
-    own = T.StructType.fromDDL("row long, n_tokens long, known long, base double, score double, rare array<long>, times array<int>")
-    schema = T.StructType([*picked.select(*keep).schema, *own])
-    rows = stored(picked.mapInArrow(run, schema), "scored")
+
+def train_and_score(docs: DataFrame, training: Column, *, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, bits: int = 1 << 28, fill: float = 0.2, head: int = 1 << 17) -> DataFrame:
+    """score() of the texts that contain those the model is of, which are looked up once for both."""
+    keep = keep or [key]
+    model, counts = _fit(docs, training, text=text, bits=bits, fill=fill, head=head)
+    measured = _measured(docs, model, WEIGHTS, training, text=text, keep=keep)
+    return _finished(measured, model, counts, _weight(measured, model), keep)
+
+
+def _finished(rows: DataFrame, model: Model, counts: DataFrame, at: int, keep: list[str]) -> DataFrame:
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
     c = F.coalesce("n", F.lit(0))
     scale = math.log10(model.total + model.distinct + 1)
     found = rare.join(counts, "h", "left").groupBy("row").agg(F.sum(F.col("times") * (F.log10(c + 1) - scale)).alias("more"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"))
-    out = rows.drop("rare", "times").join(found, "row", "left")
+    out = rows.drop("rare", "times", "fits").join(found, "row", "left")
     none = F.lit(0)
-    return out.select(*keep, "n_tokens", (F.col("known") + F.coalesce("more_known", none)).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+    return out.select(*keep, "n_tokens", (F.col("known") + F.coalesce("more_known", none)).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), F.col("scores")[at].alias("score"))

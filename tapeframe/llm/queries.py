@@ -118,8 +118,8 @@ def op8_lm(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of all texts under a model of the texts that are not held out."""
     docs = table(spark, folder, "documents")
     held_out = F.crc32(docs["doc_id"].cast("string")) % 7 == 2
-    model, counts = lm.train(docs, ~held_out)
-    return lm.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model, counts, keep=["doc_id", "held_out"])
+    marked = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return lm.train_and_score(marked, ~marked["held_out"], keep=["doc_id", "held_out"])
 
 
 @query("op9_near_vectors")

@@ -388,6 +388,24 @@ def test_lm_scores(spark, docs, nothing):
     assert lm.score(docs, none, no_counts).count() == len(rows)
 
 
+def test_lm_filter_grows_with_the_corpus(spark):
+    rnd = random.Random(5)
+    rows = [(i, " ".join(str(rnd.randrange(10**6)) for _ in range(200))) for i in range(200)]
+    rows += [(1000 + i, t) for i, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = []
+    for bits in (1 << 13, 1 << 28):
+        model, counts = lm.train(df, F.lit(True), bits=bits)
+        assert model.filters.where(F.length("filled") * 8 > bits).count() == 0
+        assert model.weight > 0
+        got.append({r["doc_id"]: r["score"] for r in lm.score(df, model, counts).collect()})
+    # the size of one filter doesn't decide what is entered: scores differ by false hits only
+    assert all(abs(got[0][d] - got[1][d]) < 0.1 * abs(got[1][d]) for d in got[0])
+    assert abs(sum(got[0].values()) - sum(got[1].values())) < 0.02 * abs(sum(got[1].values()))
+    both = {r["doc_id"]: r["score"] for r in lm.train_and_score(df, F.lit(True)).collect()}
+    assert all(abs(both[d] - got[1][d]) < 1e-9 * abs(got[1][d]) for d in both)
+
+
 def test_counts_come_back_from_the_filter():
     from tapeframe.llm import bloom
 
