@@ -8,7 +8,7 @@ Nothing of it is broadcast: the different n-grams of every chunk of texts go to
 
 Tokens are words (A-Z as a-z) and one end per text. The model mixes a bigram and a unigram estimate,
 p = w c(v,t)/c(v) + (1-w) (c(t)+1)/(N+V+1), counts as the filter gives them; w is chosen from a grid by the likelihood of all
-training texts, each token's own occurrence taken off. The base score beside it uses exact counts c(t): those of the `head` most
+training texts, each text's own counts taken off. The base score beside it uses exact counts c(t): those of the `head` most
 frequent words go to every task (a bounded table), those of all other words are joined by hash.
 
 Null texts are empty; an empty text has its end only. Nothing to train on gives N = V = 0 and the uniform estimate. Equal texts get
@@ -177,12 +177,23 @@ class Model:
     head_counts: np.ndarray
 
 
-def _estimates(c: np.ndarray, before: np.ndarray, both: np.ndarray, total: int, distinct: int) -> tuple[np.ndarray, np.ndarray]:
+def _estimates(c: np.ndarray, before: np.ndarray, both: np.ndarray, total: np.ndarray | int, distinct: int) -> tuple[np.ndarray, np.ndarray]:
     """(bigram, unigram) estimates per token from the counts of it, of the token before it, and of both."""
     context = np.maximum(before, both)
     return np.divide(both, context, out=np.zeros(len(c)), where=context > 0), (c + 1) / (total + distinct + 1)
 
 
+def _rest(q: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """What is left of a count of level q without a text's own: nothing if the text's own is of that level already."""
+    return np.where(level(own) >= q, 0, np.maximum(_COUNTS[q + 1] - own, 0))
+
+
+def _own(row: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """How often each token's n-gram comes in the token's row."""
+    _, at, n = np.unique(row * (int(of.max(initial=0)) + 1) + of, return_inverse=True, return_counts=True)
+    return n[at]
+
+
 def _fit(docs: DataFrame, training: Column, *, text: str, bits: int, fill: float, head: int) -> tuple[Model, DataFrame]:
     """A model that has no weight yet, and the exact word counts (h, n)."""
     by = range_bits(docs, text=text, bits=bits)
@@ -253,10 +264,10 @@ def _measured(docs: DataFrame, model: Model, weights: tuple[float, ...], trainin
         q, q_pair = (np.frombuffer(b"".join(x for x, k in zip(levels, kinds, strict=True) if k == kind), np.int8).astype(np.int64) for kind in (UNI, BI))
         starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
 
-        def sums(c: np.ndarray, both: np.ndarray, ws: tuple[float, ...]) -> pa.Array:
+        def sums(c: np.ndarray, both: np.ndarray, ws: tuple[float, ...], own: np.ndarray | int = 0) -> pa.Array:
             before = np.concatenate([[0], c[:-1]])
             before[starts] = 0  # the context that begins a text isn't counted
-            pairs, one = _estimates(c, before, both, total, distinct)
+            pairs, one = _estimates(c, before, both, total - own, distinct)
             by_weight = np.zeros((n, 0)) if not ws else np.stack([np.bincount(row, np.log10(np.maximum(w * pairs + (1 - w) * one, 1e-300)), n) for w in ws], 1)
             return pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * len(ws)).astype(np.int32)), pa.array(by_weight.ravel()))
 
@@ -266,7 +277,7 @@ def _measured(docs: DataFrame, model: Model, weights: tuple[float, ...], trainin
         trained = rows.column("__training").combine_chunks().fill_null(False)
         fits = pa.nulls(n, pa.list_(pa.float64()))
         if pa.compute.any(trained).as_py():
-            fits = pa.compute.if_else(trained, sums(np.maximum(c - 1, 0), np.maximum(both - 1, 0), WEIGHTS), pa.scalar(None, pa.list_(pa.float64())))
+            fits = pa.compute.if_else(trained, sums(_rest(q[of], _own(row, of)), _rest(q_pair[pair], _own(row, pair)), WEIGHTS, lengths[row]), pa.scalar(None, pa.list_(pa.float64())))
 
         head, head_counts = shared.value
         scale = math.log10(total + distinct + 1)

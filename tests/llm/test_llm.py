@@ -406,6 +406,20 @@ def test_lm_filter_grows_with_the_corpus(spark):
     assert all(abs(both[d] - got[1][d]) < 1e-9 * abs(got[1][d]) for d in both)
 
 
+def test_lm_weight_is_of_all_training_texts(spark):
+    rnd = random.Random(6)
+    # each text repeats bigrams of its own, which say nothing about other texts
+    alone = [(i, " ".join(" ".join(f"{i}x{rnd.randrange(30)}" for _ in range(4)) + " again" for _ in range(3)) * 9) for i in range(600)]
+    model, _ = lm.train(spark.createDataFrame(alone, "doc_id long, text string").coalesce(1), F.lit(True))
+    assert model.weight <= 0.05
+    # and the texts that come first don't choose for the others
+    phrase = [(1000 + i, " ".join(rnd.choice(["aa bb cc dd", "ee ff gg hh", "dd ii bb jj"]) for _ in range(60))) for i in range(600)]
+    weights = []
+    for rows in (alone + phrase, phrase + alone):
+        weights.append(lm.train(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), F.lit(True))[0].weight)
+    assert weights[0] == weights[1]
+
+
 def test_counts_come_back_from_the_filter():
     from tapeframe.llm import bloom
 
