@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from pyspark.taskcontext import TaskContext
 
 from . import bloom
-from .storage import stored
+from .storage import folder_uri, read_file, stored, write_file
 from .textbytes import buffers, chunks, mix, word_hashes, words
 
 END = np.uint64(0x5851F42D4C957F2D)  # the hash of the end token
@@ -200,7 +200,14 @@ def _fit(docs: DataFrame, training: Column, *, text: str, bits: int, fill: float
     grams = count_ngrams(docs, training, by, text=text, fill=fill)
     counts = grams.where("h is not null").select("h", "n")
     all_ = counts.agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).first()
-    most = sorted((r["h"], r["n"]) for r in counts.orderBy(F.desc("n"), "h").limit(head).collect())
+    q = F.floor(2 * F.log2("n") + 1e-9)
+    room, least = head, math.inf
+    for r in counts.groupBy(q.alias("q")).agg(F.count("*").alias("m")).orderBy(F.desc("q")).collect():  # LEVELS rows at most
+        room -= r["m"]
+        if room < 0:
+            break
+        least = r["q"]
+    most = sorted((r["h"], r["n"]) for r in counts.where(q >= F.lit(float(least))).collect())
     h = np.array([x for x, _ in most], np.int64).view(np.uint64)
     order = np.argsort(h)
     filters = grams.where("filled is not null").select("kind", "bucket", "filled")
@@ -215,7 +222,9 @@ def _measured(docs: DataFrame, model: Model, weights: tuple[float, ...], trainin
     carried = [*keep, "__training"]
     picked = docs.select(*[docs[c] for c in keep], training.alias("__training"), docs[text].alias("__text"))
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    folder = folder_uri(spark, "texts")
+
+    def keep_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 20
         for batch in batches:
             raw, offsets = buffers(batch.column(len(carried)))
@@ -228,14 +237,28 @@ def _measured(docs: DataFrame, model: Model, weights: tuple[float, ...], trainin
                     out.write_batch(rows)
                 planes = np.ascontiguousarray(of.astype("<u4").view(np.uint8).reshape(-1, 4).T)
                 flat = np.array([len(u), len(h)], "<i8").tobytes() + u.astype("<u8").tobytes() + planes.tobytes() + np.bincount(row, minlength=hi - lo).astype("<i8").tobytes()
-                made = [(-1, 0, 0, zstandard.ZstdCompressor(level=1).compress(flat), sink.getvalue().to_pybytes())]
-                for kind, keys in ((UNI, u), (BI, np.unique(bigrams(contexts(h, row), h)))):
-                    some, ends = _cut(keys, by)
-                    made += [(kind, b, int(ends[b + 1] - ends[b]), _packed(k := keys[ends[b] : ends[b + 1]], np.zeros(len(k))), None) for b in some.tolist()]
-                kinds, buckets, sizes, data, more = zip(*made, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(made), pa.int64()), pa.array(kinds, pa.int32()), pa.array(buckets, pa.int64()), pa.array(sizes, pa.int64()), pa.array(data, pa.binary()), pa.array(more, pa.binary())], ["chunk", "kind", "bucket", "size", "data", "rows"])
+                uri = write_file(folder, "tokens", zstandard.ZstdCompressor(level=1).compress(flat))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([uri]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "uri", "rows"])
                 chunk += 1
 
+    def kept_tokens(uri: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(different words, place of each token among them, number of tokens by row)."""
+        raw = zstandard.ZstdDecompressor().decompress(read_file(uri))
+        n_words, n_tokens = np.frombuffer(raw, "<i8", 2).tolist()
+        u = np.frombuffer(raw, "<u8", n_words, 16)
+        of = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n_tokens, 16 + 8 * n_words).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+        return u, of, np.frombuffer(raw, "<i8", -1, 16 + 8 * n_words + 4 * n_tokens)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, uri in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                u, of, lengths = kept_tokens(uri)
+                h = u[of]
+                for kind, keys in ((UNI, u), (BI, np.unique(bigrams(contexts(h, np.repeat(np.arange(len(lengths)), lengths)), h)))):
+                    some, ends = _cut(keys, by)
+                    data = [_packed(k := keys[ends[b] : ends[b + 1]], np.zeros(len(k))) for b in some]
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(some), pa.int64()), pa.array([kind] * len(some), pa.int32()), pa.array(some), pa.array(np.diff(ends)[some]), pa.array(data, pa.binary())], ["chunk", "kind", "bucket", "size", "data"])
+
     def answer(asked: pa.Table, filters: pa.Table) -> pa.Table:
         sizes = asked.column("size").to_pylist()
         keys = [_unpacked(d, s)[0] for d, s in zip(asked.column("data").to_pylist(), sizes, strict=True)]
@@ -249,12 +272,8 @@ def _measured(docs: DataFrame, model: Model, weights: tuple[float, ...], trainin
     shared = spark.sparkContext.broadcast((model.head, model.head_counts))
     names = ["row", "n_tokens", "known", "base", "scores", "fits", "rare", "times"]
 
-    def measure(asked: pa.Table, answers: pa.Table) -> pa.Table:
-        raw = zstandard.ZstdDecompressor().decompress(asked.column("data")[0].as_py())
-        n_words, n_tokens = np.frombuffer(raw, "<i8", 2).tolist()
-        u = np.frombuffer(raw, "<u8", n_words, 16)
-        of = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n_tokens, 16 + 8 * n_words).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-        lengths = np.frombuffer(raw, "<i8", -1, 16 + 8 * n_words + 4 * n_tokens)
+    def measure(text: pa.Table, answers: pa.Table) -> pa.Table:
+        u, of, lengths = kept_tokens(text.column("uri")[0].as_py())
         n, h = len(lengths), u[of]
         row = np.repeat(np.arange(n), lengths)
         _, pair = np.unique(bigrams(contexts(h, row), h), return_inverse=True)
@@ -273,7 +292,7 @@ def _measured(docs: DataFrame, model: Model, weights: tuple[float, ...], trainin
 
         c, both = _COUNTS[q + 1][of], _COUNTS[q_pair + 1][pair]
         scores = sums(c, both, weights)
-        rows = pa.ipc.open_stream(asked.column("rows")[0].as_py()).read_all().combine_chunks()
+        rows = pa.ipc.open_stream(text.column("rows")[0].as_py()).read_all().combine_chunks()
         trained = rows.column("__training").combine_chunks().fill_null(False)
         fits = pa.nulls(n, pa.list_(pa.float64()))
         if pa.compute.any(trained).as_py():
@@ -291,17 +310,19 @@ def _measured(docs: DataFrame, model: Model, weights: tuple[float, ...], trainin
         new = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (w[1:] != w[:-1])])[: len(w)])
         times = np.diff(np.append(new, len(w)))
         ends = pa.array(np.searchsorted(r[new], np.arange(n + 1)).astype(np.int32))
-        ids = (asked.column("chunk")[0].as_py() << 22) + np.arange(n)
+        ids = (text.column("chunk")[0].as_py() << 22) + np.arange(n)
         columns = [pa.array(ids), pa.array(lengths), pa.array(known), pa.array(base), scores, fits, pa.ListArray.from_arrays(ends, pa.array(w[new].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int32)))]
         return pa.table([*[rows.column(x) for x in keep], *columns], [*keep, *names])
 
-    asked = stored(picked.mapInArrow(ask, "chunk long, kind int, bucket long, size long, data binary, rows binary"), "asked")
-    wanted = asked.where("kind >= 0").select("chunk", "kind", "bucket", "size", "data").groupBy("kind", "bucket")
-    answers = wanted.cogroup(model.filters.groupBy("kind", "bucket")).applyInArrow(answer, "chunk long, kind int, bucket long, levels binary")
+    # the tokens are in files; small rows are dealt by number, not by size
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = stored(picked.mapInArrow(keep_tokens, "chunk long, uri string, rows binary"), "texts")
+    asked = texts.select("chunk", "uri").repartition(parts, "chunk").mapInArrow(ask, "chunk long, kind int, bucket long, size long, data binary")
+    answers = asked.groupBy("kind", "bucket").cogroup(model.filters.groupBy("kind", "bucket")).applyInArrow(answer, "chunk long, kind int, bucket long, levels binary")
     own = T.StructType.fromDDL("row long, n_tokens long, known long, base double, scores array<double>, fits array<double>, rare array<long>, times array<int>")
     schema = T.StructType([*picked.select(*keep).schema, *own])
-    texts = asked.where("kind < 0").select("chunk", "data", "rows").groupBy("chunk")
-    return stored(texts.cogroup(answers.groupBy("chunk")).applyInArrow(measure, schema), "scored")
+    by_chunk = texts.repartition(parts, "chunk").groupBy("chunk").cogroup(answers.repartition(parts, "chunk").groupBy("chunk"))
+    return stored(by_chunk.applyInArrow(measure, schema), "scored")
 
 
 def _weight(measured: DataFrame, model: Model) -> int:
