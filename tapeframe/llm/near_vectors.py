@@ -2,7 +2,7 @@
 
 Equal vectors of a label are one class, counted before the shuffle. The classes of a label are dealt to shards of about
 `shard_size` by hash; each shard's graph is built by one task, which also audits it: the neighbours of a sample are searched and
-compared with brute force, and the beam is widened until the recall target is met. Every class is then
+compared with brute force, by vector and by class of partner counts, and the beam is widened until each class meets the recall target. Every class is then
 searched in every shard of its label, in bounded blocks. What a search finds is verified in double precision, so no pair below the
 threshold is a link. Tasks return how many vectors each class links with and a spanning forest of its links, never all pairs;
 the forests' components are united over all shards.
@@ -34,16 +34,38 @@ def _unit(column: pa.ChunkedArray, size: int) -> np.ndarray:
 
 
 def audited(g: hnsw.Graph, least: float, target: float, sample: int, width: int) -> tuple[int, float]:
-    """The beam width at which the recall over a sample reaches the target, and that recall. Each vector's own place
-    counts too: a vector that isn't found itself is one that the graph doesn't reach."""
-    rows = np.random.default_rng(3).permutation(len(g.x))[:sample]
-    q = g.x[rows]
-    want = [set(np.flatnonzero(s >= least).tolist()) for s in q @ g.x.T]
-    total = sum(map(len, want))
+    """The beam width at which the sampled recall reaches the target, and that recall: the least of the share of vectors that
+    find themselves and, for every class of vectors with about as many partners (by powers of two), the mean over its vectors of the
+    share of partners found, self left out. Rows are drawn until `sample` of them have partners and lie outside the class with most
+    rows, or the shard is through; a class keeps `sample` of them, fewer where they have thousands of partners."""
+    order = np.random.default_rng(3).permutation(len(g.x))
+    alone: list[int] = []
+    classes: dict[int, list[tuple[int, np.ndarray]]] = {}
+    drawn: dict[int, int] = {}
+    for lo in range(0, len(order), sample):
+        some = order[lo : lo + sample]
+        if not lo:
+            alone = some.tolist()
+        for i, s in zip(some.tolist(), g.x[some] @ g.x.T, strict=True):
+            near = np.flatnonzero(s >= least)
+            near = near[near != i]
+            if not len(near):
+                continue
+            c = len(near).bit_length()
+            drawn[c] = drawn.get(c, 0) + 1
+            if drawn[c] <= max(64, min(sample, (1 << 19) >> c)):
+                classes.setdefault(c, []).append((i, near))
+        if sum(drawn.values()) - max(drawn.values(), default=0) >= sample:
+            break
+    asked = [alone, *([i for i, _ in rows] for rows in classes.values())]
+    wanted = [[np.array([i]) for i in alone], *([near for _, near in rows] for rows in classes.values())]
     while True:
-        got = sum(len(w & set(f.tolist())) for w, f in zip(want, hnsw.search(g, q, width, least), strict=True))
-        if got >= target * total or width >= len(g.x):
-            return width, got / max(1, total)
+        reached = 1.0
+        for rows, want in zip(asked, wanted, strict=True):
+            found = hnsw.search(g, g.x[rows], width, least)
+            reached = min(reached, float(np.mean([np.isin(w, f).mean() for w, f in zip(want, found, strict=True)])))
+        if reached >= target or width >= len(g.x):
+            return width, reached
         width *= 2
 
 

@@ -467,6 +467,23 @@ def test_vector_links(spark, nothing):
     assert near_vectors.links(df.limit(0)).count() == 0
 
 
+def test_a_hot_group_does_not_hide_missed_partners(monkeypatch):
+    rng = np.random.default_rng(2)
+    unit = lambda x: (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    hot = unit(rng.normal(size=(1, 32)) + rng.normal(size=(1000, 32)) * 0.01)
+    pairs = np.repeat(unit(rng.normal(size=(500, 32))), 2, 0)
+    x = np.concatenate([hot, unit(pairs + rng.normal(size=pairs.shape) * 0.005)])
+    g = near_vectors.hnsw.Graph(x)
+
+    def search(g, q, width, least):
+        near = [np.flatnonzero(s >= least) for s in q @ g.x.T]
+        # a narrow beam finds the hot group and each vector itself, but no other partner
+        return [w if width > 64 or len(w) > 2 else w[[int(np.argmax(g.x[w] @ v))]] for w, v in zip(near, q, strict=True)]
+
+    monkeypatch.setattr(near_vectors.hnsw, "search", search)
+    assert near_vectors.audited(g, 0.98, 0.998, 512, 64) == (128, 1.0)
+
+
 # --- quality
 
 
