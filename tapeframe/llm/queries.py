@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, line_runs, lm, near_vectors, packing, parity_join, quality, warc, wavelet
+from . import bpe, language, line_runs, lm, near_vectors, packing, parity_join, quality, ranked_search, warc, wavelet
 from .storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,23 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     measured = judged.select("doc_id", quality.n_words(text).alias("n_words"), quality.word_chars(text).alias("word_chars"), quality.n_symbols(text).alias("n_symbols"), quality.n_dup_lines(text).alias("n_dup_lines"), quality.n_repeat_words(text).alias("n_repeat_words"), F.col("rejected_by").isNull().alias("passed"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return measured.withColumn("base_failed", failed).withColumn("kept", ~failed & F.col("passed")).drop("passed")
+
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query(
+    "op13_ranked_search",
+    f"""with d as (select doc_id, a, len(a) as n from (select doc_id, {_TERMS} as a from documents where text is not null) where len(a) > 0),
+c as (select count(*) as nn, cast(sum(n) as bigint) as ll from d),
+p as (select doc_id, n, term, count(*) as tf from (select doc_id, n, unnest(a) as term from d) group by all),
+w as (select term, cast(floor(1000 * ln((2 * any_value(nn) + 2) / (2 * count(*) + 1))) as bigint) as w from p, c group by term),
+q as (select distinct item_id, term from (select item_id, unnest({_TERMS}) as term from benchmark where text is not null)),
+s as (select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * nn) // ll)))) as bigint) as score
+from q join p using (term) join w using (term), c group by item_id, doc_id),
+r as (select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score from s where score > 0)
+select item_id, cast(rank as int) as rank, doc_id, score from r where rank <= 50""",
+)
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 50 best documents for each benchmark item."""
+    return ranked_search.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=50)

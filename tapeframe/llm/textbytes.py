@@ -68,13 +68,13 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first byte, byte after the last, row) of every word."""
+def words(raw: np.ndarray, offsets: np.ndarray, cut: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, byte after the last, row) of every word; `cut` flags the bytes between words."""
     n = len(raw)
     if n == 0:
         none = np.zeros(0, np.int64)
         return none, none, none
-    inside = ~SPACE[raw]
+    inside = ~cut[raw]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     edges = offsets[:-1][offsets[:-1] < n]
