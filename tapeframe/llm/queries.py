@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, line_runs, lm, near_vectors, packing, parity_join, quality, ranked_search, warc, wavelet
+from . import bpe, collocations, language, line_runs, lm, near_vectors, packing, parity_join, quality, ranked_search, warc, wavelet
 from .storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,6 +153,30 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return measured.withColumn("base_failed", failed).withColumn("kept", ~failed & F.col("passed")).drop("passed")
 
 
+@query(
+    "op12_collocations",
+    r"""with p as (select lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda x: x <> '') as a from (select coalesce(lang, 'und') as lang,
+unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) as piece from documents)),
+f as (select lang, w, cast(count(*) as bigint) as f from (select lang, unnest(list_transform(range(1, len(a) + 1), lambda i: a[i:i])) as w from p
+union all select lang, unnest(list_transform(range(1, len(a)), lambda i: a[i:i + 1])) from p
+union all select lang, unnest(list_transform(range(1, len(a) - 1), lambda i: a[i:i + 2])) from p) group by lang, w),
+t as (select lang, cast(sum(f) as bigint) as n from f where len(w) = 1 group by lang),
+c as (select lang, w, f as a from f where len(w) > 1 and f >= 10),
+o as (select lang, w, max(a) as outer_a from (select lang, w[1:2] as w, a from c where len(w) = 3 union all select lang, w[2:3], a from c where len(w) = 3) group by lang, w),
+k as (select c.lang, c.w, c.a, unnest(range(1, len(c.w))) as k from c left join o on c.lang = o.lang and c.w = o.w where o.outer_a is null or 100 * o.outer_a < 50 * c.a),
+s as (select k.lang, k.w, k.a, k.k, l.f as l, r.f as r, cast((cast(1000000 as hugeint) * k.a * k.a) // (cast(l.f as hugeint) * r.f) as bigint) as score
+from k join f l on l.lang = k.lang and l.w = k.w[1:k.k] join f r on r.lang = k.lang and r.w = k.w[k.k + 1:len(k.w)]),
+b as (select *, row_number() over (partition by lang, w order by score, k) as cut from s),
+z as (select lang, array_to_string(w, ' ') as phrase, a, l, r, score from b where cut = 1),
+y as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from z)
+select y.lang, rank, phrase, a, l, r, n, score from y join t on y.lang = t.lang where rank <= 2000""",
+)
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2000 best phrases of two and three words of each language."""
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 _TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
 
