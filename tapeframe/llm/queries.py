@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, language, line_runs, lm, near_vectors, packing, parity_join, quality, ranked_search, warc, wavelet
+from . import bpe, collocations, language, line_runs, lm, near_vectors, packing, parity_join, personal, quality, ranked_search, warc, wavelet
 from .storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,11 +153,19 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return measured.withColumn("base_failed", failed).withColumn("kept", ~failed & F.col("passed")).drop("passed")
 
 
+@query("op11_personal")
+def op11_personal(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in all texts, by rules and by the field trained on them."""
+    docs = table(spark, folder, "documents")
+    return personal.scan(docs, personal.train(docs))
+
+
 @query(
     "op12_collocations",
     r"""with p as (select lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda x: x <> '') as a from (select coalesce(lang, 'und') as lang,
 unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) as piece from documents)),
+-
+]')) as piece from documents)),
 f as (select lang, w, cast(count(*) as bigint) as f from (select lang, unnest(list_transform(range(1, len(a) + 1), lambda i: a[i:i])) as w from p
 union all select lang, unnest(list_transform(range(1, len(a)), lambda i: a[i:i + 1])) from p
 union all select lang, unnest(list_transform(range(1, len(a) - 1), lambda i: a[i:i + 2])) from p) group by lang, w),
