@@ -36,7 +36,7 @@ from .textbytes import LOWER, buffers, chunks, mix
 
 CUT = separators(outside=b" \t.,;:!?\n\x0b\x0c\r")
 BREAK = separators(outside=b".,;:!?\n\x0b\x0c\r")
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 END = np.uint64(0x3C6EF372FE94F82B)  # follows the last word of a piece
 SHARES = 4096  # a prefix is heavy that has one word in so many; each chunk names its own
 UND = "und"
@@ -179,12 +179,16 @@ def stripes(texts: DataFrame, width: int, least: int, heavy: DataFrame, total: i
 
 
 def _filter(phrases: DataFrame, filter_bits: int) -> np.ndarray:
-    """A Bloom filter over phrases (lang, words), twelve bits each as long as filter_bits allows."""
+    """A Bloom filter over phrases (lang, words) of one length, twelve bits each as long as filter_bits allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for language, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(_keys(language, np.array([words], np.int64).view(np.uint64)).view(np.int64))], ["k"])
+            if len(batch):
+                languages = batch.column(0).dictionary_encode()
+                code = languages.indices.to_numpy()
+                words = batch.column(1).flatten().to_numpy().view(np.uint64).reshape(len(batch), -1)  # all of one length
+                for c, language in enumerate(languages.dictionary.to_pylist()):
+                    yield pa.RecordBatch.from_arrays([pa.array(_keys(language, words[code == c]).view(np.int64))], ["k"])
 
     bits = min(filter_bits, 1 << max(16, math.ceil(math.log2(12 * max(1, phrases.count())))))
     return bloom.build(phrases.select("lang", "words").mapInArrow(run, "k long"), "k", bits=bits)
