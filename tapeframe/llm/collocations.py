@@ -247,8 +247,13 @@ def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", lea
     inside = longer.select("lang", ends.alias("words"), F.col("a").alias("outer")).groupBy("lang", "words").agg(F.max("outer").alias("outer"))
     left = phrases.join(inside, ["lang", "words"], "left").where(F.col("outer").isNull() | (100 * F.col("outer") < subsumed_percent * F.col("a"))).drop("outer")
     all_scored = scored(left, reduce(DataFrame.unionByName, counts))
-    place = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
-    near = stored(all_scored.withColumn("place", F.rank().over(place)).where(F.col("place") <= top).drop("place"), "phrases")
+    # a language's phrases are cut in parts of it first, so that its last ranking sees at most about `top` rows a part
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = stored(all_scored.withColumn("part", F.pmod(F.xxhash64("words"), F.lit(parts))), "scored")
+    for keys in (["lang", "part"], ["lang"]):
+        place = Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("a"))
+        near = near.withColumn("place", F.rank().over(place)).where(F.col("place") <= top).drop("place")
+    near = stored(near.drop("part"), "phrases")
     spread = near.select("lang", "words", F.posexplode("words").alias("i", "word"))
     spelled = _spelled(texts, stored(spread.select("lang", "word").distinct(), "words"), filter_bits)
     named = spread.join(spelled, ["lang", "word"]).groupBy("lang", "words").agg(F.sort_array(F.collect_list(F.struct("i", "spelling"))).alias("s"))
