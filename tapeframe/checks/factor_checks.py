@@ -508,7 +508,7 @@ def scaled(e: Episodes):
 
 def full_catalogue(e: Episodes, wanted=tuple(names.ALL)):
     th = cross.size_thresholds(e.trade, e.months, e.hot_month_trades)
-    return cross.catalogue(e.market, e.order, cross.with_size_thresholds(e.trade, e.months, th), wanted)
+    return cross.catalogue(e.market, e.order, e.trade, wanted, sizes=cross.episode_thresholds(e.trade, e.months, th))
 
 
 CATALOGUE = (

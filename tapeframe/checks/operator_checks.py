@@ -389,7 +389,7 @@ def row_index(e: Episodes):
 @check("w2_nth_snapshot", views="bk", select="select sample_id, r6(max(mid) filter (where idx=0)) as m0, r6(max(mid) filter (where idx=19)) as m19, r6(max(mid) filter (where idx=39)) as m39, r6(max(mid) filter (where idx=n-1)) as m_old from bk group by 1")
 def nth(e: Episodes):
     df = e.market.map(book.with_book).ordered()
-    return round6_all(df.groupBy("sample_id").agg(book.at(0, "mid").alias("m0"), book.at(19, "mid").alias("m19"), book.at(39, "mid").alias("m39"), book.oldest("mid").alias("m_old")))
+    return round6_all(df.groupBy("sample_id").agg(book.value_at(0, "mid").alias("m0"), book.value_at(19, "mid").alias("m19"), book.value_at(39, "mid").alias("m39"), book.oldest_value("mid").alias("m_old")))
 
 
 @check("w3_first_difference", views="bk", select="select sample_id, r6(s) as s, r6(dmid) as dmid, r6(dmid_v) as dmid_v from bk")

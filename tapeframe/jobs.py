@@ -59,8 +59,8 @@ def factor_table(data: Data, wanted: Sequence[str] = tuple(names.ALL)) -> DataFr
     rows = trades.df.select("sample_id")
     group = rows.select(F.lit(0).alias("_all")) if months is None else rows.join(months, "sample_id").select("month")
     hot = find_hot(group, group.columns, data.limit)
-    sized = cross.with_size_thresholds(trades, months, cross.size_thresholds(trades, months, hot))
-    factors = cross.catalogue(market, orders, sized, wanted)
+    sizes = cross.episode_thresholds(trades, months, cross.size_thresholds(trades, months, hot))
+    factors = cross.catalogue(market, orders, trades, wanted, sizes=sizes)
     return factors if data.label is None else factors.join(data.label, "sample_id", "left")
 
 

@@ -41,12 +41,13 @@ def asof_forward(left: Tape, right: Tape, columns: Sequence[str]) -> DataFrame:
     order = [F.col(s).desc(), F.col("_who").asc(), *[F.col(f"_t{i}").desc() for i in range(len(right.ties))],
              *[F.col(t).asc() for t in left.ties]]
     res = ordered(
-        both, [k], order, hot=_either(left.hot, right.hot, k), limit=left.limit, idx=None, total=None, fills={"_hit": "_m"}
+        both, [k], order, hot=either_hot(left.hot, right.hot, k), limit=left.limit, idx=None, total=None, fills={"_hit": "_m"}
     )
     return res.where(F.col("_who") == 1).select(*left.df.columns, "_hit._matched_at", *[f"_hit.{c}" for c in columns])
 
 
-def _either(a: Hot | None, b: Hot | None, key: str) -> Hot | None:
+def either_hot(a: Hot | None, b: Hot | None, key: str) -> Hot | None:
+    """Groups that are hot in either table."""
     if a is None or b is None:
         return a or b
     both = a.keys.unionByName(b.keys).groupBy(key).agg(F.sum("_rows").alias("_rows"))

@@ -34,7 +34,7 @@ def quantiles(
 
     def short(part: DataFrame) -> DataFrame:
         buffers = [F.percentile(c, F.array(*map(F.lit, shares[c]))).alias(name) for c, name in linear.items()]
-        nearest = [_nearest(c, q).alias(o) for o, (c, q, method) in specs.items() if method == "nearest"]
+        nearest = [nearest_rank(c, q).alias(o) for o, (c, q, method) in specs.items() if method == "nearest"]
         pick = [F.col(linear[c])[shares[c].index(q)].alias(o) if method == "linear" else F.col(o) for o, (c, q, method) in specs.items()]
         return part.groupBy(*keys).agg(*buffers, *nearest).select(*keys, *pick)
 
@@ -65,7 +65,8 @@ def _value_counts(cells: DataFrame, keys: list[str], columns: int, hot: Hot, lim
     return total.join(F.broadcast(counts.groupBy(*each).agg(F.sum("_m").alias("_n"))), each)
 
 
-def _nearest(column: str, q: float) -> Column:
+def nearest_rank(column: str, q: float) -> Column:
+    """The value at rank (n-1)q rounded half up, as an aggregate that holds the group's values."""
     rank = F.floor((F.count(column) - 1) * F.lit(q) + F.lit(0.5)).cast("int")
     return F.when(F.count(column) > 0, F.get(F.sort_array(F.collect_list(column)), rank))
 

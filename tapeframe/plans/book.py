@@ -4,7 +4,7 @@ idx 19 and 39 are the 20th and 40th snapshot back."""
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,29 +39,36 @@ def with_book(df: DataFrame) -> DataFrame:
     )
 
 
+LAGS = {"_m1": ("mid", 1), "_mv1": ("mid_v", 1), "_t1": ("tilt", 1)}
+
+
+def changes() -> dict[str, Column]:
+    """Differences to the next newer snapshot, from the LAGS."""
+    return {
+        "dmid": F.col("mid") - F.col("_m1"),
+        "dmid_v": F.coalesce(F.col("mid_v") - F.col("_mv1"), F.lit(0.0)),
+        "dofi": F.coalesce(F.col("tilt") - F.col("_t1"), F.lit(0.0)),
+    }
+
+
 def rows(tape: Tape) -> DataFrame:
-    booked = tape.map(with_book)
-    df = booked.ordered(lags={"_m1": ("mid", 1), "_mv1": ("mid_v", 1), "_t1": ("tilt", 1)})
-    return df.select(
-        "*",
-        (F.col("mid") - F.col("_m1")).alias("dmid"),
-        F.coalesce(F.col("mid_v") - F.col("_mv1"), F.lit(0.0)).alias("dmid_v"),
-        F.coalesce(F.col("tilt") - F.col("_t1"), F.lit(0.0)).alias("dofi"),
-    )
+    return tape.map(with_book).ordered(lags=LAGS).select("*", *[c.alias(o) for o, c in changes().items()])
 
 
-def at(position: int, x: str | Column) -> Column:
-    return F.max(F.when(F.col("idx") == position, F.col(x) if isinstance(x, str) else x))
+def value_at(i: int, x: str | Column, position: str = "idx") -> Column:
+    return F.max(F.when(F.col(position) == i, F.col(x) if isinstance(x, str) else x))
 
 
-def oldest(x: str, within: Column | None = None) -> Column:
+def oldest_value(x: str, within: Column | None = None, position: str = "idx") -> Column:
     """Value of the oldest row (of those `within`), null kept."""
-    i = F.col("idx")
+    i = F.col(position)
     return F.max_by(x, i if within is None else F.when(within, i))
 
 
-def aggregates() -> dict[str, Callable[[], Column]]:
-    s, idx = F.col("s"), F.col("idx")
+def aggregates(clock: str = "s", position: str = "idx") -> dict[str, Callable[[], Column]]:
+    """name -> factor over an episode's snapshots; rows without clock and position are not snapshots."""
+    s, idx = F.col(clock), F.col(position)
+    at, oldest = partial(value_at, position=position), partial(oldest_value, position=position)
     a1, b1, a2, b2 = (F.col(c) for c in ("ask_price_1", "bid_price_1", "ask_price_2", "bid_price_2"))
     av1, bv1, av2, bv2 = (F.col(c) for c in ("ask_volume_1", "bid_volume_1", "ask_volume_2", "bid_volume_2"))
     valid, dmid, dofi = F.col("valid"), F.col("dmid"), F.col("dofi")
@@ -130,18 +137,18 @@ def aggregates() -> dict[str, Callable[[], Column]]:
         "m_imb2_mean60": lambda: favg(F.pow("imb", F.lit(2.0)), s60),
         "m_dofi": lambda: fsum(dofi),
         "m_dofi_60": lambda: fsum(dofi, s60),
-        "m_dofi_ewm120": lambda: decayed_mean("dofi", "s", 120),
-        "m_mid_ewm30": lambda: decayed_mean("mid_v", "s", 30),
-        "m_mid_ewm120": lambda: decayed_mean("mid_v", "s", 120),
-        "m_imb_ewm30": lambda: decayed_mean("imb", "s", 30),
-        "m_imb_ewm120": lambda: decayed_mean("imb", "s", 120),
-        "x_imb_ewm_sl": lambda: decayed_mean("imb", "s", 30) - decayed_mean("imb", "s", 120),
-        "x_dofi_ewm_sl": lambda: decayed_mean("dofi", "s", 30) - decayed_mean("dofi", "s", 120),
+        "m_dofi_ewm120": lambda: decayed_mean("dofi", clock, 120),
+        "m_mid_ewm30": lambda: decayed_mean("mid_v", clock, 30),
+        "m_mid_ewm120": lambda: decayed_mean("mid_v", clock, 120),
+        "m_imb_ewm30": lambda: decayed_mean("imb", clock, 30),
+        "m_imb_ewm120": lambda: decayed_mean("imb", clock, 120),
+        "x_imb_ewm_sl": lambda: decayed_mean("imb", clock, 30) - decayed_mean("imb", clock, 120),
+        "x_dofi_ewm_sl": lambda: decayed_mean("dofi", clock, 30) - decayed_mean("dofi", clock, 120),
         "x_mid_zscore": lambda: div(at(0, "mid_v") - F.avg("mid_v"), F.stddev_samp("mid_v") + F.lit(1e-12)),
         "x_sp_imb": lambda: F.avg("spread_v") * F.avg("imb"),
         # third extension
         "m_dofi2_sum60": lambda: fsum(dofi * dofi, s60),
-        "m_dofi2_ewm120": lambda: decayed_mean(dofi * dofi, "s", 120),
+        "m_dofi2_ewm120": lambda: decayed_mean(dofi * dofi, clock, 120),
         "m_mid_ret_abs_mean60": lambda: favg(F.abs("dmid_v"), s60),
         "m_mid_slope_180": lambda: (at(0, "mid_v") - oldest("mid_v", s <= 180)) / 180,
         "m_mid_slope_60": lambda: (at(0, "mid_v") - oldest("mid_v", s60)) / 60,

@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import fsum
 from ..functions.scalars import div, nullify_nonfinite, signed
-from ..operators.joins import asof_forward
+from ..operators.joins import asof_forward, either_hot
 from ..operators.ordered import Tape
 from ..operators.quantiles import quantiles
-from . import book, names, order, trade
-
-DEPTH = ("imp_depth_60", "imp_depth_5", "spread_cross_frac", "aggr_imb")
+from . import book, depth, names, order, shared, trade
 
 
 def size_thresholds(trades: Tape, months: DataFrame | None, hot) -> DataFrame:
@@ -26,6 +26,13 @@ def size_thresholds(trades: Tape, months: DataFrame | None, hot) -> DataFrame:
     return quantiles(rows, ["month"], specs, hot=hot, limit=trades.limit)
 
 
+def episode_thresholds(trades: Tape, months: DataFrame | None, thresholds: DataFrame) -> DataFrame:
+    """(key, q90, q95) per episode. The threshold table has one row per period (or one row), which bounds its broadcast."""
+    if months is None:
+        return trades.df.select(trades.key).distinct().crossJoin(F.broadcast(thresholds.drop("_all")))
+    return months.join(F.broadcast(thresholds), "month").select(trades.key, "q90", "q95")
+
+
 def with_size_thresholds(trades: Tape, months: DataFrame | None, thresholds: DataFrame) -> Tape:
     """Adds q90, q95 to every trade. The threshold table has one row per period (or one row), which
     bounds its broadcast."""
@@ -36,22 +43,9 @@ def with_size_thresholds(trades: Tape, months: DataFrame | None, thresholds: Dat
 
 
 def depth_impact(trades: Tape, market: Tape) -> DataFrame:
-    """Trades against the last book state at or before them. A trade over an empty book makes the
-    impact undefined for the episode."""
-    quotes = ["ask_price_1", "bid_price_1", "ask_volume_1", "bid_volume_1"]
-    j = asof_forward(trades, market, quotes)
-    depth = F.col("ask_volume_1") + F.col("bid_volume_1")
-    impact = div(signed() * F.col("volume"), depth)
-    crossed = (F.col("price") > F.col("ask_price_1")) | (F.col("price") < F.col("bid_price_1"))
-    cross = F.when(crossed, F.lit(1.0)).otherwise(F.lit(0.0))
-    recent = F.col(trades.clock) <= 5
-    empty = F.coalesce(depth == 0, F.lit(False))
-    return j.groupBy(trades.key).agg(
-        F.when(~F.bool_or(empty), fsum(impact)).alias("imp_depth_60"),
-        F.when(~F.bool_or(empty & recent), fsum(impact, recent)).alias("imp_depth_5"),
-        F.avg(cross).alias("spread_cross_frac"),
-        div(F.sum(signed() * F.col("volume") * cross), F.sum(F.col("volume") * cross)).alias("aggr_imb"),
-    )
+    """Trades against the last book state at or before them."""
+    j = asof_forward(trades, market, depth.QUOTES).withColumn("_state", F.struct(*depth.QUOTES))
+    return j.groupBy(trades.key).agg(*[c.alias(n) for n, c in depth.aggregates(trades.clock).items()])
 
 
 # what a cross factor is made of: name -> (book inputs, trade inputs, order inputs)
@@ -76,31 +70,66 @@ def _definitions():
     }
 
 
-def catalogue(market: Tape, orders: Tape, trades: Tape, wanted: Sequence[str] = tuple(names.ALL)) -> DataFrame:
-    """One row per episode with snapshots and one column per wanted factor. Each table is aggregated
-    to one row per episode before any join, so no join side has a hot key.
-    Large-trade factors need the thresholds on `trades`."""
+@cache
+def _known() -> tuple[frozenset[str], ...]:
+    """The factors of snapshots, trades and orders."""
+    return (
+        frozenset({*book.aggregates(), *book.QUANTILES}),
+        frozenset({*trade.aggregates(), *trade.PER_SECOND}),
+        frozenset({*order.aggregates(), *order.PER_SECOND}),
+    )
+
+
+def _by_table(market: Tape, orders: Tape, trades: Tape, b, t, o, d) -> DataFrame:
+    """The wide table from plans that can split an episode over tasks."""
+    k = market.key
+    df = book.factors(market, b)
+    if t:
+        df = df.join(trade.factors(trades, t), k, "left")
+    if d:
+        df = df.join(depth_impact(trades, market).select(k, *d), k, "left")
+    if o:
+        df = df.join(order.factors(orders, o), k, "left")
+    return df
+
+
+def _in_one_pass(market: Tape, orders: Tape, trades: Tape, sizes: DataFrame | None, b, t, o, d) -> DataFrame:
+    """The wide table from one exchange per source table."""
+    if t or d:
+        df = shared.episode_factors(market, trades, sizes, b, t, d)
+    else:
+        df = book.factors(market, b)
+    return df.join(shared.order_factors(orders, o), market.key, "left") if o else df
+
+
+def catalogue(market: Tape, orders: Tape, trades: Tape, wanted: Sequence[str] = tuple(names.ALL), *, sizes: DataFrame | None = None) -> DataFrame:
+    """One row per episode with snapshots and one column per wanted factor. Large-trade factors need their thresholds, as `sizes` (key, q90, q95)
+    or as columns of the trades.
+
+    Each source table is scanned and exchanged once (plans/shared.py). Hot episodes are taken out of all three tables and go through
+    plans of their own, which split an episode."""
     pairs = dict(zip(names.PAIR_NAMES, names.PAIRS))
     need = list(dict.fromkeys(x for w in wanted for x in pairs.get(w, (w,))))
     inputs = [INPUTS.get(w) for w in need]
     b, t, o = (
         list(dict.fromkeys([w for w in need if w not in INPUTS and w in known] + [x for i in inputs if i for x in i[p]]))
-        for p, known in enumerate(
-            (
-                {*book.aggregates(), *book.QUANTILES},
-                {*trade.aggregates(), *trade.PER_SECOND},
-                {*order.aggregates(), *order.PER_SECOND},
-            )
-        )
+        for p, known in enumerate(_known())
     )
+    b = b or ["mid"]
+    d = [w for w in need if w in depth.NAMES]
     k = market.key
-    df = book.factors(market, b or ["mid"])
-    if t:
-        df = df.join(trade.factors(trades, t), k, "left")
-    if o:
-        df = df.join(order.factors(orders, o), k, "left")
-    if any(w in DEPTH for w in need):
-        df = df.join(depth_impact(trades, market), k, "left")
+    hot = either_hot(either_hot(market.hot, orders.hot, k), trades.hot, k)
+    if hot is None:
+        df = _in_one_pass(market, orders, trades, sizes, b, t, o, d)
+    else:
+        marked = F.broadcast(hot.keys.select(k).distinct())
+        cold = [replace(x, df=x.df.join(marked, k, "left_anti"), hot=None) for x in (market, orders, trades)]
+        warm = [replace(x, df=x.df.join(marked, k, "left_semi")) for x in (market, orders, trades)]
+        few = None if sizes is None else sizes.join(marked, k, "left_anti")
+        if sizes is not None:
+            warm[2] = warm[2].map(lambda x: x.join(F.broadcast(sizes.join(marked, k, "left_semi")), k, "left"))
+        df = _in_one_pass(*cold, few, b, t, o, d)
+        df = df.unionByName(_by_table(*warm, b, t, o, d).select(*df.columns))
     defs = _definitions()
     df = df.select("*", *[defs[w].alias(w) for w in need if w in defs and w not in df.columns])
     df = df.select("*", *[(F.col(x) * F.col(y)).alias(p) for p, (x, y) in pairs.items() if p in wanted])

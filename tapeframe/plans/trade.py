@@ -18,13 +18,28 @@ HALF_WINDOWS = (15, 30, 60)
 SIZE_QUANTILES = {"q90": 0.90, "q95": 0.95}
 
 
+def lags(clock: str) -> dict[str, tuple[str, int]]:
+    """name -> (column, rows back) of what `changes` needs."""
+    out = {f"_p{n}": ("price", n) for n in PRICE_LAGS}
+    out |= {f"_v{n}": ("volume", n) for n in VOLUME_LAGS}
+    return out | {"_s1": (clock, 1)}
+
+
+def changes() -> list[Column]:
+    """Differences to newer rows, the gap, the whole second and, last, the sign of the side, from s and the lags."""
+    return [
+        *[(F.col("price") - F.col(f"_p{n}")).alias(f"dp{n}") for n in PRICE_LAGS],
+        *[(F.col("volume") - F.col(f"_v{n}")).alias(f"dv{n}") for n in VOLUME_LAGS],
+        (F.col("s") - F.col("_s1")).alias("gap"),
+        F.floor("s").cast("int").alias("sec"),
+        signed().alias("sgn"),
+    ]
+
+
 def rows(tape: Tape) -> DataFrame:
     """Trades with position, differences and gap. Columns nobody asks for are pruned by Catalyst,
     the window with them."""
-    lags = {f"_p{n}": ("price", n) for n in PRICE_LAGS}
-    lags |= {f"_v{n}": ("volume", n) for n in VOLUME_LAGS}
-    lags["_s1"] = (tape.clock, 1)
-    df = tape.ordered(lags=lags)
+    df = tape.ordered(lags=lags(tape.clock))
     return df.select(
         tape.key,
         F.col(tape.clock).alias("s"),
@@ -33,13 +48,9 @@ def rows(tape: Tape) -> DataFrame:
         "side",
         "idx",
         "n",
+        *[c for c in df.columns if c.startswith(("_p", "_v", "_s1"))],
         *[c for c in ("order_action", "q90", "q95") if c in tape.df.columns],
-        *[(F.col("price") - F.col(f"_p{n}")).alias(f"dp{n}") for n in PRICE_LAGS],
-        *[(F.col("volume") - F.col(f"_v{n}")).alias(f"dv{n}") for n in VOLUME_LAGS],
-        (F.col("s") - F.col("_s1")).alias("gap"),
-        F.floor("s").cast("int").alias("sec"),
-        signed().alias("sgn"),
-    )
+    ).select("*", *changes())
 
 
 def recent_imbalance(w: float) -> Column:
@@ -107,7 +118,7 @@ def aggregates() -> dict[str, Callable[[], Column]]:
         "t_imb_5s": lambda: recent_imbalance(5),
         "t_size_imb": lambda: imbalance(buy_size, sell_size),
         "t_vol": lambda: fsum(v),
-        "t_n": lambda: F.count(F.lit(1)),
+        "t_n": lambda: F.count("s"),
         "sig_txn": lambda: F.stddev_samp("dp1"),
         "last_gap": lambda: F.min(s),
         "accel": lambda: F.when((recent > 0) & (distant > 0), imbalance(recent, distant)),
@@ -150,8 +161,8 @@ def aggregates() -> dict[str, Callable[[], Column]]:
         "x_t_sv_5_60": lambda: div(fsum(sgn * v, s <= 15), fsum(sgn * v)),
         "t_vol_5": lambda: fsum(v, s <= 15),
         "x_t_vol_5_60": lambda: div(fsum(v, s <= 15), fsum(v)),
-        "t_n_60": lambda: F.count(F.lit(1)),
-        "x_tn_15_60": lambda: div(fcnt(s <= 15), F.count(F.lit(1))),
+        "t_n_60": lambda: F.count("s"),
+        "x_tn_15_60": lambda: div(fcnt(s <= 15), F.count("s")),
         "t_sd_ewm45": lambda: fsum(pv * decay(s, 45)),
         "t_buy_sell_vol_ratio": lambda: div(bought, sold + 1),
         "t_large_buy_15": lambda: fcnt(big_buy & (s <= 15)),
