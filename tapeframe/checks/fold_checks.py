@@ -11,7 +11,7 @@ from ..operators.ordered import find_hot
 from ..plans import names
 from ..sources.adapters import Episodes
 from .registry import check
-from .screening_checks import FACTORS, FV, PR, arms, fx, pr, ARMS
+from .screening_checks import ALL_FACTORS, ARMS, AV, FACTORS, FV, PR, all_factors, arms, fx, pr
 from .sequence_checks import FILL
 
 IDX = "ix as (select month, row_number() over (order by month) - 1 as idx from (select distinct month from months))"
@@ -37,12 +37,12 @@ def rows_by_fold(e: Episodes):
     return j.groupBy("fold").agg(train.alias("train"), F.sum(F.when(F.col("month") == F.col("val"), F.col("n"))).alias("valid"))
 
 
-ZC = ["t_imb_2s", "vol_skew", "t_n", "spread0"]
+ZC = names.ALL
 
 
-def fold_rows(e: Episodes, cols):
-    df = fx(e).select("sample_id", "month", "target", *cols)
-    return P.with_fold(df, P.period_folds(e.months))
+def fold_rows(e: Episodes):
+    """All factors with the fold of their period."""
+    return P.with_fold(all_factors(e).drop("fold"), P.period_folds(e.months))
 
 
 def hot_folds(e: Episodes):
@@ -56,24 +56,23 @@ FSTAT = "tr0 as (select f.vf, fx.* from fx join (select unnest(range(0,6)) as vf
     f"max({c}_med) as {c}_med, avg(coalesce({c},{c}_med)) as {c}_mu, stddev_pop(coalesce({c},{c}_med)) as {c}_sd" for c in ZC) + " from tr0 join md using (vf) group by 1)"
 
 
-@check("p3_fold_statistics", views=FV, ctes=f"{FACTORS}, {FSTAT}",
-       select="select cast(vf as int) as val_fold, " + ", ".join(f"r6({c}_{x}) as {c}_{x}" for c in ZC for x in ("med", "mu", "sd")) + " from st")
+@check("p3_fold_statistics", views=AV, ctes=f"{ALL_FACTORS}, {FSTAT}",
+       select="select cast(vf as int) as val_fold, " + ", ".join(f"r6({c}_{x}) as {c}_{x}" for c in ZC for x in ("med", "mu")) + ", " + ", ".join(f"r6(case when {c}_sd=0 then 1 else {c}_sd end) as {c}_sd" for c in ZC) + " from st")
 def fold_statistics(e: Episodes):
-    return round6_all(P.fold_statistics(fold_rows(e, ZC), ZC, 6, hot=hot_folds(e), limit=e.limit))
+    return round6_all(P.fold_statistics(fold_rows(e), ZC, 6, hot=hot_folds(e), limit=e.limit))
 
 
-@check("p3_standardised", views=FV, ctes=f"{FACTORS}, {FSTAT}",
+@check("p3_standardised", views=AV, ctes=f"{ALL_FACTORS}, {FSTAT}",
        select="select sample_id, cast(fold as int) as fold, " + ", ".join(f"r6(greatest(least((coalesce({c},{c}_med)-{c}_mu)/case when {c}_sd=0 then 1 else {c}_sd end,5e0),-5e0)) as {c}" for c in ZC)
        + " from fx join st on fx.fold=st.vf")
 def standardised(e: Episodes):
-    df = fold_rows(e, ZC)
+    df = fold_rows(e)
     stats = P.fold_statistics(df, ZC, 6, hot=hot_folds(e), limit=e.limit)
     return round6_all(P.standardise(df, stats, ZC, F.col("fold") == F.col("val_fold")).select("sample_id", "fold", *ZC))
 
 
-UC = ["spread0", "mid_vol60", "t_vol", "t_n", "t_imb_2s", "vol_skew"]
 UMED = "tr0 as (select f.vf, fx.* from fx join (select unnest(range(0,6)) as vf) f on fx.fold<>f.vf), md as (select vf, " + ", ".join(
-    f"quantile_cont({c},0.5) as {c}_med" for c in UC) + " from tr0 group by 1), us as (select sample_id, r6(U_s) as U_s from sc)"
+    f"quantile_cont({c},0.5) as {c}_med" for c in ZC) + " from tr0 group by 1), us as (select sample_id, r6(U_s) as U_s from sc)"
 
 
 def unit_sql(c: str) -> str:
@@ -83,39 +82,48 @@ def unit_sql(c: str) -> str:
     return f"r6(greatest(least({form},256e0),-256e0)) as {c}"
 
 
-@check("p4_unit_classes", views=FV, ctes=f"{FACTORS}, {FILL}, {UMED}",
-       select="select fx.sample_id, " + ", ".join(unit_sql(c) for c in UC) + " from fx join md on fx.fold=md.vf join us on us.sample_id=fx.sample_id")
+@check("p4_unit_classes", views=AV, ctes=f"{ALL_FACTORS}, {FILL}, {UMED}",
+       select="select fx.sample_id, " + ", ".join(unit_sql(c) for c in ZC) + " from fx join md on fx.fold=md.vf join us on us.sample_id=fx.sample_id")
 def unit_classes(e: Episodes):
-    df = fold_rows(e, UC)
-    med = P.fold_statistics(df, UC, 6, hot=hot_folds(e), limit=e.limit).select("val_fold", *[f"{c}_med" for c in UC])
+    df = fold_rows(e)
+    med = P.fold_statistics(df, ZC, 6, hot=hot_folds(e), limit=e.limit).select("val_fold", *[f"{c}_med" for c in ZC])
     scale = round6_all(S.snapshot_index(e.market).select("sample_id", "U_s"))
-    out = P.unit_classes(df.join(scale, "sample_id"), med, names.unit_classes_of(UC), F.col("fold") == F.col("val_fold"))
-    return round6_all(out.select("sample_id", *UC))
+    out = P.unit_classes(df.join(scale, "sample_id"), med, names.unit_classes_of(ZC), F.col("fold") == F.col("val_fold"))
+    return round6_all(out.select("sample_id", *ZC))
 
 
 EDGE = 48
+# edges are compared, and used, on six decimals: equal ones must merge alike in every engine
+EDGES = f"""tl as (select f.vf, factor, x from lx join (select unnest(range(0,6)) as vf) f on lx.fold<>f.vf),
+    q0 as (select vf, factor, list_sort(list_distinct(list_transform(quantile_cont(x, [{", ".join(f"{i}/{EDGE}::double" for i in range(EDGE + 1))}]), lambda v: r6(v)))) as ed from tl group by 1, 2),
+    q as (select vf, factor, case when len(ed)=1 then [ed[1]-1, ed[1]+1] else ed end as ed from q0)"""
 
 
-def edge_sql(c: str) -> str:
-    return "list_sort(list_distinct([" + ", ".join(f"quantile_cont({c},{i}/{EDGE}::double)" for i in range(EDGE + 1)) + "]))"
+def rounded_edges(e: Episodes):
+    """Edges of all factors over the training rows of each fold."""
+    q = P.quantile_edges(fold_rows(e), ZC, 6, bins=EDGE, hot=hot_folds(e), limit=e.limit)
+    ed = F.array_distinct(F.transform("edges", lambda x: round6(x)))
+    return q.select("val_fold", "factor", F.when(F.size(ed) == 1, F.array(ed[0] - 1, ed[0] + 1)).otherwise(ed).alias("edges"))
 
 
-@check("p5_quantile_edges", views=FV, ctes=f"{FACTORS}, q as (select " + ", ".join(f"{edge_sql(c)} as {c}" for c in ("t_imb", "spread0")) + " from fx)",
-       select=" union all ".join(f"select '{c}' as factor, cast(generate_subscripts({c},1)-1 as int) as i, r6(unnest({c})) as edge from q" for c in ("t_imb", "spread0")))
+@check("p5_quantile_edges", views=AV, ctes=f"{ALL_FACTORS}, {EDGES}",
+       select="select cast(vf as int) as val_fold, factor, cast(generate_subscripts(ed,1)-1 as int) as i, r6(unnest(ed)) as edge from q")
 def quantile_edges(e: Episodes):
-    q = P.quantile_edges(D.as_one_group(fx(e)), ["t_imb", "spread0"], ["_all"], bins=EDGE, hot=e.hot_all, limit=e.limit)
-    one = lambda c: q.select(F.lit(c).alias("factor"), F.posexplode(f"{c}_edges").alias("i", "edge"))
-    return round6_all(one("t_imb").unionByName(one("spread0")))
+    return round6_all(rounded_edges(e).select("val_fold", "factor", F.posexplode("edges").alias("i", "edge")))
 
 
-@check("p5_piecewise_linear", views=FV,
-       ctes=f"{FACTORS}, q as (select {edge_sql('t_imb')} as ed from fx), x as (select sample_id, t_imb, ed, unnest(range(1,len(ed))) as i from fx cross join q), y as (select sample_id, i, len(ed)-1 as m, (t_imb-ed[i])/(ed[i+1]-ed[i]) as t from x)",
-       select="select sample_id, cast(i-1 as int) as bin, r6(case when i=1 and i=m then t when i=1 then least(t,1e0) when i=m then greatest(t,0e0) else least(greatest(t,0e0),1e0) end) as part from y")
+@check("p5_piecewise_linear", views=AV,
+       ctes=f"""{ALL_FACTORS}, {EDGES}, y as (select sample_id, lx.factor, list_transform(range(1,len(ed)), lambda i: case when len(ed)=2 then (x-ed[i])/(ed[i+1]-ed[i])
+         when i=1 then least((x-ed[i])/(ed[i+1]-ed[i]),1e0) when i=len(ed)-1 then greatest((x-ed[i])/(ed[i+1]-ed[i]),0e0)
+         else least(greatest((x-ed[i])/(ed[i+1]-ed[i]),0e0),1e0) end) as parts from lx join q on lx.fold=q.vf and lx.factor=q.factor)""",
+       select="select sample_id, factor, cast(len(parts) as int) as bins, r6(list_sum(parts)) as total, r6(list_sum(list_transform(range(1,len(parts)+1), lambda i: i*parts[i]))) as moment from y")
 def piecewise(e: Episodes):
-    df = D.as_one_group(fx(e))
-    q = P.quantile_edges(df, ["t_imb"], ["_all"], bins=EDGE, hot=e.hot_all, limit=e.limit).drop("_all")
-    enc = df.crossJoin(F.broadcast(q)).select("sample_id", F.posexplode(P.piecewise_linear(F.col("t_imb"), F.col("t_imb_edges"))).alias("bin", "part"))
-    return round6_all(enc)
+    """Encodings of every factor by its fold's training edges, as their sum and first moment over the bins."""
+    x = P.long_factors(fold_rows(e), ZC, ["sample_id", "fold"])
+    edges = rounded_edges(e).withColumnRenamed("val_fold", "fold")
+    parts = x.join(F.broadcast(edges), ["fold", "factor"]).select("sample_id", "factor", P.piecewise_linear(F.col("x"), F.col("edges")).alias("p"))
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    return round6_all(parts.select("sample_id", "factor", F.size("p").alias("bins"), add("p").alias("total"), add(F.transform("p", lambda v, i: v * (i + 1))).alias("moment")))
 
 
 @check("p6_scaled_target", views="label", ctes="x as (select sample_id, r6(target) as target from label)",
@@ -131,7 +139,7 @@ def scaled(e: Episodes):
        select="select cast(vf as int) as val_fold, sample_id, r6(1e0/(1e0+abs(target)/tau)) as w from pr join t on pr.fold<>t.vf")
 def weights(e: Episodes):
     df = pr(e)
-    tau = P.weight_scale(df, 6, 0.9, hot=hot_folds(e), limit=e.limit)
+    tau = P.weight_scale(df, 6, 90, hot=hot_folds(e), limit=e.limit)
     train = P.training_rows(df.select("sample_id", "fold", "target"), 6).join(F.broadcast(tau), "val_fold")
     return round6_all(train.select("val_fold", "sample_id", P.sample_weight().alias("w")))
 

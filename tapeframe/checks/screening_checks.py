@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import cosine
@@ -9,11 +11,11 @@ from ..functions.scalars import round6_all
 from ..operators import diagnostics as D, joins as J, regression as R, screening as S
 from ..operators.ordered import newest_rows
 from ..operators.quantiles import auc as auc_of, with_ranks
-from ..plans import book, cross
+from ..plans import book, cross, names
 from ..sources.adapters import Episodes
-from ..sources.shared import scratch_path
+from ..sources.shared import scratch_path, settle
 from ..sources.tables import write_predictions
-from .factor_checks import BASE_BOOK, BASE_ORDER, BASE_TRADE
+from .factor_checks import BASE_BOOK, BASE_ORDER, BASE_TRADE, CATALOGUE, catalogue_sql, full_catalogue
 from .registry import check
 
 MIN = 20  # periods of the small tables have about 60 episodes
@@ -38,6 +40,23 @@ def fx(e: Episodes, cols=tuple(FX)):
     return round6_all(lab.join(df, "sample_id"))
 
 
+# all 196 factors with label, in SQL and as one settled table
+ALL_FACTORS = (
+    f"{CATALOGUE}, fa as ({catalogue_sql(names.ALL)}), fx as materialized (select label.sample_id, month, month % 6 as fold, r6(target) as target, "
+    + ", ".join(f"cast({c} as double) as {c}" for c in names.ALL)
+    + " from label join fa using (sample_id)), lx as materialized (unpivot (select * from fx) on " + ", ".join(names.ALL) + " into name factor value x)"
+)
+AV = "tr orr bk months label"
+
+
+@lru_cache(maxsize=4)
+def all_factors(e: Episodes):
+    """Rounded factors and targets of the whole catalogue, settled once for all queries that read them."""
+    df = full_catalogue(e).select("sample_id", *[F.col(c).cast("double") for c in names.ALL])
+    lab = e.label.select("sample_id", "month", (F.col("month") % 6).alias("fold"), "target")
+    return settle(round6_all(lab.join(df, "sample_id")))
+
+
 PR = """pr as (select sample_id, month, month % 6 as fold, floor(target*1e3+0.4871e0)/1e3 as target, r6(p_a) as p_a, p_b, r6(p_c) as p_c from pred)"""
 
 

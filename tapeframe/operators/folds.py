@@ -1,7 +1,8 @@
 """Period folds, training-only preparation, out-of-fold evaluation and tree models.
 
-Statistics of 'all other folds' need medians, which do not subtract; a row therefore travels once to
-every fold it trains (folds - 1 copies of the needed columns). Sums are subtracted instead."""
+Statistics of 'all other folds' come from counts that subtract: every column's values are counted once per own fold, and what trains
+a fold is all counts less its own. One running total per column then has the ranks of all training folds at once, so no row is
+copied, and plans grow neither with bins nor with columns. Moments are merged over the few rows of a fold table."""
 
 from __future__ import annotations
 
@@ -11,9 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import cosine
-from ..functions.scalars import clip, div
-from .ordered import Hot
-from .quantiles import quantiles
+from ..functions.scalars import asinh, clip, div
+from .ordered import Hot, running_total
+from .quantiles import cells
 
 FOLDS, TARGET_SCALE, Z_CLIP, TICK_CLIP, TICK_FLOOR, EDGE_BINS = 6, 1000.0, 5.0, 256.0, 1e-9, 48
 
@@ -43,25 +44,61 @@ def training_rows(df: DataFrame, folds: int, fold: str = "fold", out: str = "val
     return df.withColumn(out, F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col(fold))))
 
 
+def training_quantiles(df: DataFrame, columns: Sequence[str], folds: int, bins: int, at: Sequence[int], *, hot: Hot | None, limit: int) -> DataFrame:
+    """(val_fold, _c, i, value): for every validation fold and column (by number) the linear quantiles i/bins of its training rows, for the i in
+    `at`. Nulls are left out; a column without training values has no rows. `hot`: given when a fold has more training rows than the limit."""
+    counts = cells(df, columns, ["fold"]).groupBy("_c", "_v").agg(
+        *[F.count_if(F.col("fold") != k).alias(f"_m{k}") for k in range(folds)]
+    )
+    wide = None
+    if hot is not None:
+        numbers = df.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias("_c"))
+        wide = Hot(numbers, max(hot.rows, 1) * len(columns))
+    before = {f"_b{k}": f"_m{k}" for k in range(folds)}
+    ranked = running_total(counts, ["_c"], "_v", before, hot=wide, limit=limit)
+    sizes = counts.groupBy("_c").agg(*[F.sum(f"_m{k}").alias(f"_n{k}") for k in range(folds)])  # a row per column
+    by_fold = F.array(*[F.struct(F.lit(k).alias("val_fold"), F.col(f"_m{k}").alias("m"), F.col(f"_b{k}").alias("b"), F.col(f"_n{k}").alias("n")) for k in range(folds)])
+    each = ranked.join(F.broadcast(sizes), "_c").select("_c", "_v", F.explode(by_fold).alias("x")).select("_c", "_v", "x.*").where("m > 0")
+    # quantile i lies between ranks floor and ceil of (n-1)(i/bins); a value covers the ranks b .. b+m-1
+    per_rank = F.greatest(F.col("n") - 1, F.lit(1))
+    low = F.greatest(F.expr(f"(b - 1) * {bins}") / per_rank - 1, F.lit(0)).cast("int")
+    high = F.least(F.ceil(F.expr(f"(b + m) * {bins}") / per_rank), F.lit(bins)).cast("int")
+    place = lambda i: F.expr("n - 1") * (i / F.lit(float(bins)))
+    covered = lambda rank: (rank >= F.col("b")) & (rank < F.col("b") + F.col("m"))
+    wanted = F.array(*[F.lit(i) for i in sorted(set(at))])
+    near = F.filter(F.array_intersect(F.sequence(F.least(low, high), high), wanted), lambda i: covered(F.floor(place(i))) | covered(F.ceil(place(i))))
+    hits = each.select("_c", "val_fold", "n", "b", "m", "_v", F.explode(near).alias("i"))
+    at_i = place(F.col("i"))
+    ends = hits.groupBy("val_fold", "_c", "i").agg(
+        F.max(F.when(covered(F.floor(at_i)), F.col("_v"))).alias("lo"), F.max(F.when(covered(F.ceil(at_i)), F.col("_v"))).alias("hi"), F.max("n").alias("n")
+    )
+    return ends.select("val_fold", "_c", "i", (F.col("lo") + (F.col("hi") - F.col("lo")) * (at_i - F.floor(at_i))).alias("value"))
+
+
 def fold_statistics(df: DataFrame, columns: Sequence[str], folds: int, *, hot: Hot | None, limit: int) -> DataFrame:
     """Per validation fold, from its training rows: median, mean and population std after median fill
     (std 1 for constants). Columns <c>_med, <c>_mu, <c>_sd."""
-    train = training_rows(df.select("fold", *columns), folds)
-    med = quantiles(train, ["val_fold"], {f"{c}_med": (c, 0.5, "linear") for c in columns}, hot=hot, limit=limit)
-    mom = train.groupBy("val_fold").agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.count(c).alias(f"{c}_n") for c in columns], *[F.avg(c).alias(f"{c}_a") for c in columns],
-        *[F.var_pop(c).alias(f"{c}_v") for c in columns],
+    med = training_quantiles(df, columns, folds, 2, [1], hot=hot, limit=limit).select("val_fold", "_c", F.col("value").alias("med"))
+    # per fold and column, then merged over the folds that train: at most folds x folds x columns rows
+    own = cells(df, columns, ["fold"]).groupBy("fold", "_c").agg(F.count("_v").alias("k"), F.avg("_v").alias("a"), F.var_pop("_v").alias("v"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    rows = training_rows(df.groupBy("fold").agg(F.count(F.lit(1)).alias("rows")), folds).groupBy("val_fold").agg(F.sum("rows").alias("n"))
+    each = training_rows(own, folds)
+    group = Window.partitionBy("val_fold", "_c")
+    each = each.withColumn("mean", F.sum(F.col("k") * F.col("a")).over(group) / F.sum("k").over(group))
+    square = lambda x: F.pow(x, F.lit(2.0))
+    merged = each.groupBy("val_fold", "_c").agg(
+        F.sum("k").alias("k"), F.max("mean").alias("a"), (F.min("lo") == F.max("hi")).alias("constant"), F.sum(F.col("k") * (F.col("v") + square(F.col("a") - F.col("mean")))).alias("m2")
     )
-    out = []
-    for c in columns:
-        n, k, m = F.col("_n"), F.col(f"{c}_n"), F.col(f"{c}_med")
-        mu = (k * F.col(f"{c}_a") + (n - k) * m) / n
-        # two groups: the present values and the (n - k) copies of the median
-        var = (k * F.col(f"{c}_v") + k * (n - k) / n * F.pow(F.col(f"{c}_a") - m, F.lit(2.0))) / n
-        sd = F.sqrt(var)
-        out += [m, mu.alias(f"{c}_mu"), F.when(sd == 0, F.lit(1.0)).otherwise(sd).alias(f"{c}_sd")]
-    return mom.join(med, "val_fold").select("val_fold", *out)
+    n, k, a, m = F.col("n"), F.col("k"), F.col("a"), F.col("med")
+    # two groups: the present values and the (n - k) copies of the median
+    sd = F.sqrt((F.col("m2") + k * (n - k) / n * square(a - m)) / n)
+    long = merged.join(med, ["val_fold", "_c"]).join(F.broadcast(rows), "val_fold").select(
+        "val_fold", "_c", "med", ((k * a + (n - k) * m) / n).alias("mu"), F.when(F.col("constant"), F.lit(1.0)).otherwise(sd).alias("sd")
+    )
+    found = long.groupBy("val_fold").agg(
+        *[F.max(F.when(F.col("_c") == j, F.col(x))).alias(f"{c}_{x}") for j, c in enumerate(columns) for x in ("med", "mu", "sd")]
+    )
+    return rows.select("val_fold").join(found, "val_fold", "left")
 
 
 def standardise(df: DataFrame, stats: DataFrame, columns: Sequence[str], on: Column, bound: float = Z_CLIP) -> DataFrame:
@@ -77,7 +114,7 @@ def unit_classes(df: DataFrame, medians: DataFrame, classes: dict[str, Sequence[
     clipped at the end."""
     u = F.greatest(F.col(unit), F.lit(TICK_FLOOR))
     forms = {
-        "tick": lambda x: div(x, u), "tick_asinh": lambda x: F.asinh(div(x, u)), "asinh": F.asinh, "raw": lambda x: x,
+        "tick": lambda x: div(x, u), "tick_asinh": lambda x: asinh(div(x, u)), "asinh": asinh, "raw": lambda x: x,
     }
     names = [c for cols in classes.values() for c in cols]
     if len(set(names)) != len(names):
@@ -90,13 +127,20 @@ def unit_classes(df: DataFrame, medians: DataFrame, classes: dict[str, Sequence[
     return j.select(*[F.col(c) for c in df.columns if c not in names], *done)
 
 
-def quantile_edges(df: DataFrame, columns: Sequence[str], keys: Sequence[str], *, bins: int = EDGE_BINS, hot: Hot | None, limit: int) -> DataFrame:
-    """Distinct quantile edges per column as arrays <c>_edges; a constant column gets [x-1, x+1]."""
-    specs = {f"{c}__{i}": (c, i / bins, "linear") for c in columns for i in range(bins + 1)}
-    q = quantiles(df.select(*keys, *columns), keys, specs, hot=hot, limit=limit)
-    edges = lambda c: F.array_distinct(F.array(*[F.col(f"{c}__{i}").cast("double") for i in range(bins + 1)]))
-    fix = lambda e: F.when(F.size(e) == 1, F.array(e[0] - 1, e[0] + 1)).otherwise(e)
-    return q.select(*keys, *[fix(edges(c)).alias(f"{c}_edges") for c in columns])
+def quantile_edges(df: DataFrame, columns: Sequence[str], folds: int, *, bins: int = EDGE_BINS, hot: Hot | None, limit: int) -> DataFrame:
+    """(val_fold, factor, edges): the distinct quantile edges of each column over each fold's training rows; a constant column gets
+    [x-1, x+1]."""
+    found = training_quantiles(df, columns, folds, bins, range(bins + 1), hot=hot, limit=limit)
+    edges = found.groupBy("val_fold", "_c").agg(F.array_sort(F.collect_set("value")).alias("e"))
+    names = F.array(*[F.lit(c) for c in columns])
+    e = F.col("e")
+    return edges.select("val_fold", F.get(names, F.col("_c")).alias("factor"), F.when(F.size(e) == 1, F.array(e[0] - 1, e[0] + 1)).otherwise(e).alias("edges"))
+
+
+def long_factors(df: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """(keep, factor, x): one row per row and column with a value."""
+    names = F.array(*[F.lit(c) for c in columns])
+    return cells(df, columns, keep).select(*keep, F.get(names, F.col("_c")).alias("factor"), F.col("_v").alias("x"))
 
 
 def piecewise_linear(x: Column, edges: Column) -> Column:
@@ -119,10 +163,10 @@ def scaled_target(y: str | Column, back: bool = False) -> Column:
     return c / F.lit(TARGET_SCALE) if back else c * F.lit(TARGET_SCALE)
 
 
-def weight_scale(df: DataFrame, folds: int, q: float, *, y: str = "target", hot: Hot | None, limit: int) -> DataFrame:
+def weight_scale(df: DataFrame, folds: int, per_cent: int, *, y: str = "target", hot: Hot | None, limit: int) -> DataFrame:
     """(val_fold, tau): quantile of |y| over the training rows of each fold."""
-    rows = training_rows(df.select("fold", F.abs(y).alias("_ay")), folds)
-    return quantiles(rows, ["val_fold"], {"tau": ("_ay", q, "linear")}, hot=hot, limit=limit)
+    rows = df.select("fold", F.abs(y).alias("_ay"))
+    return training_quantiles(rows, ["_ay"], folds, 100, [per_cent], hot=hot, limit=limit).select("val_fold", F.col("value").alias("tau"))
 
 
 def sample_weight(y: str = "target", tau: str = "tau") -> Column:

@@ -47,7 +47,7 @@ def quantiles(
     return short(df.join(marked, keys, "left_anti")).unionByName(warm)
 
 
-def _cells(df: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
+def cells(df: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """One row per row and column (`_c` its number, `_v` its value as double), nulls left out."""
     cell = F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)]))
     return df.select(*keep, cell.alias("_x")).select(*keep, "_x._c", "_x._v").where(F.col("_v").isNotNull())
@@ -74,7 +74,7 @@ def nearest_rank(column: str, q: float) -> Column:
 def _by_counts(df: DataFrame, keys: list[str], specs: Mapping[str, Spec], hot: Hot, limit: int) -> DataFrame:
     """All quantiles of all columns from one running total over their value counts."""
     columns = list(dict.fromkeys(c for c, _, _ in specs.values()))
-    ranked = _value_counts(_cells(df, columns, keys), keys, len(columns), hot, limit)
+    ranked = _value_counts(cells(df, columns, keys), keys, len(columns), hot, limit)
     found, out = [], []
     for i, (name, (column, q, method)) in enumerate(specs.items()):
         mine = F.col("_c") == columns.index(column)
@@ -120,13 +120,13 @@ def with_ranks(
     marked = F.broadcast(hot.keys.select(*keys))
     columns = list(dict.fromkeys(value for value, _ in specs.values()))
     warm = settle(df.join(marked, keys, "left_semi").withColumn("_row", F.monotonically_increasing_id()))
-    cells, on = _cells(warm, columns, ["_row", *keys]), [*keys, "_c", "_v"]
+    each, on = cells(warm, columns, ["_row", *keys]), [*keys, "_c", "_v"]
     rank = (F.col("_before") + (F.col("_m") + 1) / F.lit(2.0)).alias("_r")
-    table = settle(_value_counts(cells, keys, len(columns), hot, limit).select(*on, "_m", "_n", rank))
+    table = settle(_value_counts(each, keys, len(columns), hot, limit).select(*on, "_m", "_n", rank))
     # values that more than `limit` rows share are few: at most cells / limit
     often, rare = table.where(F.col("_m") > limit).drop("_m"), table.where(F.col("_m") <= limit).drop("_m")
-    rest = cells.join(F.broadcast(often.select(*on)), on, "left_anti")
-    found = cells.join(F.broadcast(often), on).unionByName(rest.join(rare, on))
+    rest = each.join(F.broadcast(often.select(*on)), on, "left_anti")
+    found = each.join(F.broadcast(often), on).unionByName(rest.join(rare, on))
     gathered = found.groupBy("_row").agg(*[
         F.max(F.when(F.col("_c") == columns.index(value), scaled(F.col("_r"), F.col("_n"), normalised))).alias(name)
         for name, (value, normalised) in specs.items()
