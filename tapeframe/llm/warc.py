@@ -154,30 +154,30 @@ def write_monolithic(pages: DataFrame, *, key: str = "page_id", url: str = "url"
 
 
 def revisits(written: DataFrame, *, least_bytes: int = 0) -> DataFrame:
-    """Per archive that has any: uri, and its records that repeat a payload as (page_id, refers_to). Only digests and ids
+    """Per archive that has any: uri, and its records that repeat a payload as (page_id, digest, refers_to). Only digests and ids
     are shuffled, and they are counted before; a digest that a third of all rows share is split in the join."""
     known = written.where(F.col("page_id").isNotNull() & (F.col("bytes") >= least_bytes))
     first = known.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
     again = known.join(first, "digest").where("page_id > refers_to")
-    return again.groupBy("uri").agg(F.collect_list(F.struct("page_id", "refers_to")).alias("again"))
+    return again.groupBy("uri").agg(F.collect_set(F.struct("page_id", "digest", "refers_to")).alias("again"))
 
 
 def normalise(archives: DataFrame) -> DataFrame:
     """Rewrites whole-file archives with a member per record. archives: uri, and again, the records to turn
-    into revisits, or null. An archive is one task's work, as its stream can't be entered in the middle; two equal ids in
-    an archive are both turned. Returns a committed row per archive: source, uri, index_uri, records."""
+    into revisits, or null. An archive is one task's work, as its stream can't be entered in the middle; records are known
+    by id and payload, so one that shares an id only keeps its payload. Returns a committed row per archive: source, uri, index_uri, records."""
     folder = folder_uri(archives.sparkSession, "warc-normalised")
 
-    def one(source: str, again: dict[int, int]) -> tuple[str, str, int]:
+    def one(source: str, again: dict[tuple[int, str], int]) -> tuple[str, str, int]:
         uri = f"{folder}/{os.urandom(12).hex()}.warc.gz"
         where, path = fs.FileSystem.from_uri(uri)
         where.create_dir(os.path.dirname(path), recursive=True)
         at, n = 0, 0
         with open_file(source) as src, where.open_output_stream(path, compression=None) as out, where.open_output_stream(f"{path}.idx", compression=None) as index:
             for headers, block, whole in records(inflated(src)):
-                page = _page(headers.get("WARC-Record-ID"))
-                if page in again and headers.get("WARC-Type") == "response":
-                    whole = as_revisit(headers, block, again[page])
+                known = (_page(headers.get("WARC-Record-ID")), headers.get("WARC-Payload-Digest", "").removeprefix("sha1:"))
+                if known in again and headers.get("WARC-Type") == "response":
+                    whole = as_revisit(headers, block, again[known])
                 member = gzip.compress(whole, LEVEL, mtime=0)
                 out.write(member)
                 index.write(json.dumps({"offset": at, "length": len(member), "id": headers.get("WARC-Record-ID")}).encode() + b"\n")
@@ -187,7 +187,7 @@ def normalise(archives: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                done = one(row["uri"], {x["page_id"]: x["refers_to"] for x in row["again"] or []})
+                done = one(row["uri"], {(x["page_id"], x["digest"]): x["refers_to"] for x in row["again"] or []})
                 yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (row["uri"], *done)], ["source", "uri", "index_uri", "records"])
 
     listed = archives.select("uri", "again").repartition(_tasks(archives))
