@@ -107,27 +107,39 @@ def _round(capacity: int, enough: int, last: bool):
     return run
 
 
+def _member():
+    return F.struct("doc_id", "piece", "start", "length", "ids_crc32").cast(PIECE).alias("m")
+
+
+def short_items(pieces: DataFrame, capacity: int) -> DataFrame:
+    """(total, members): the pieces that do not fill a sequence, each an item."""
+    return pieces.where(F.col("length") < capacity).select(F.col("length").alias("total"), F.array(_member()).alias("members"))
+
+
+def dealt(items: DataFrame, parts: int) -> DataFrame:
+    """Items in turn to all partitions, so that equal ones spread too. Items come from a stored table."""
+    return items.repartition(parts)
+
+
 def pack(pieces: DataFrame, *, capacity: int = 1024, nearly_full: float = 0.995, fan_in: int = 8, task_items: int = 50_000) -> DataFrame:
     """Per piece: its columns, sequence_id and offset. pieces has doc_id, piece, start, length, ids_crc32 with
     1 <= length <= capacity; it is read twice, so hand over a table that is stored."""
     spark = pieces.sparkSession
-    member = F.struct("doc_id", "piece", "start", "length", "ids_crc32").cast(PIECE).alias("m")
-    items = pieces.where(F.col("length") < capacity).select(F.col("length").alias("total"), F.array(member).alias("members"))
-    count, closed, rounds, before, was = items.count(), [], 0, None, None
+    items = short_items(pieces, capacity)
+    count, closed, before, was = items.count(), [], None, None
     parts = max(1, -(-count // task_items))
     parts = max(parts, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // 2_000)))
     while count:
         last = parts == 1 or (parts == was and count > 0.98 * before)
-        dealt = items.repartition(parts, F.xxhash64(F.col("members")[0], F.lit(rounds)))
         enough = int(capacity * nearly_full)
-        packed = stored(dealt.mapInArrow(_round(capacity, enough, last), f"total long, members array<{PIECE}>, done boolean"), "bins")
+        packed = stored(dealt(items, parts).mapInArrow(_round(capacity, enough, last), f"total long, members array<{PIECE}>, done boolean"), "bins")
         closed.append(packed.where("done").select("members"))
         if last:
             break
         items = packed.where("not done").select(F.explode("members").alias("m")).select(F.col("m.length").alias("total"), F.array("m").alias("members"))
-        rounds, before, was, count = rounds + 1, count, parts, items.count()
+        before, was, count = count, parts, items.count()
         parts = min(was, max(1, -(-count // task_items), -(-was // fan_in)))
-    full = pieces.where(F.col("length") == capacity).select(F.array(member).alias("members"))
+    full = pieces.where(F.col("length") == capacity).select(F.array(_member()).alias("members"))
     bins = full
     for b in closed:
         bins = bins.unionByName(b)
