@@ -96,21 +96,24 @@ def fit(texts_counts: np.ndarray, labels: list[str], *, clusters: int = 4, round
     return Model(languages, idf, centroids, of, np.array(least))
 
 
-def train(docs: DataFrame, chosen: Column, *, key: str = "doc_id", text: str = "text", label: str = "lang", sample_rows: int = 400, **how) -> Model | None:
+def train(docs: DataFrame, chosen: Column, *, key: str = "doc_id", text: str = "text", label: str = "lang", sample_rows: int = 400, most_labels: int = 4096, **how) -> Model | None:
     """A model of the rows where `chosen` holds and label and text are not null: for each label, the sample_rows rows
-    whose ids hash lowest. What reaches the driver is bounded: languages x sample_rows feature counts, whatever the texts' lengths."""
+    whose ids hash lowest. More than most_labels labels are an error, none is left out. What reaches the driver is bounded: languages x sample_rows feature counts, whatever the texts' lengths."""
     usable = docs.where(chosen & docs[label].isNotNull() & docs[text].isNotNull() & docs[text].rlike(LETTER))
     ids = usable.select(docs[label].alias("label"), F.xxhash64(docs[key], F.lit(11)).alias("h"))
-    # the cut of each label by an aggregate that keeps sample_rows values, not by a window over all its rows
-    cut = ids.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(256).collect()
-    if not cut:
+    # the cut of each label by an aggregate that keeps a count, not by a window over all its rows
+    cut = ids.groupBy("label").agg(F.count("*").alias("n"))
+    known = cut.count()
+    if not known:
         return None
+    if known > most_labels:
+        raise ValueError(f"{known} labels, more than the {most_labels} that a model may have")
     # a hash is uniform, so this share of its range has about twice the rows wanted; the rest is cut exactly below
-    share = {r["label"]: min(1.0, (2.0 * sample_rows + 50) / r["n"]) for r in cut}
-    near = F.lit(False)
-    for name, s in share.items():
-        near = near | ((docs[label] == name) & (F.xxhash64(docs[key], F.lit(11)) <= F.lit(min(2**63 - 1, int(-(2**63) + s * 2**64)))))
-    some = usable.where(near).select(docs[label].alias("label"), F.xxhash64(docs[key], F.lit(11)).alias("h"), docs[text].alias("text"))
+    share = F.lit(2.0 * sample_rows + 50) / F.col("n")
+    least = F.when(share >= 1, F.lit(2**63 - 1)).otherwise((F.lit(-(2.0**63)) + share * F.lit(2.0**64)).cast("long"))
+    h = F.xxhash64(docs[key], F.lit(11))
+    hashed = usable.select(docs[label].alias("label"), h.alias("h"), docs[text].alias("text"))
+    some = hashed.join(F.broadcast(cut.select("label", least.alias("least"))), "label").where("h <= least").select("label", "h", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +145,7 @@ def train(docs: DataFrame, chosen: Column, *, key: str = "doc_id", text: str = "
 
 def predict(docs: DataFrame, model: Model | None, *, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "accepted"), keep: list[str] | None = None) -> DataFrame:
     """The columns in `keep` (all by default) with the prediction, its cosine clipped to 0..1, and whether the distance
-    accepts it. Columns of these names are replaced. A map over the scan; the model (at most 256 languages) goes with the tasks."""
+    accepts it. Columns of these names are replaced. A map over the scan; the model (at most `most_labels` languages) goes with the tasks."""
     clash = [c for c in docs.columns if c in names]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in clash]
     picked = docs.select(*[docs[c] for c in kept], F.coalesce(docs[text].rlike(LETTER), F.lit(False)).alias("__letter"), docs[text].alias("__text"))

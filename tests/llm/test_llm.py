@@ -161,6 +161,14 @@ def test_best_fit_is_tight():
     assert len(bins) <= 1.02 * -(-lengths.sum() // 1024)
 
 
+def test_packing_deals_equal_rows_to_all_tasks(spark):
+    """Rows that are all alike are no group: every task of a round gets its share of them."""
+    n, parts = 200_000, 20
+    pieces = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(1).cast("long").alias("length"), F.lit(7).cast("long").alias("ids_crc32"))
+    sizes = [r["n"] for r in packing.dealt(packing.short_items(pieces, 1024), parts).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == parts and max(sizes) < 1.2 * n / parts
+
+
 def test_packing_goes_up_the_tree(spark, monkeypatch):
     lengths = np.minimum(1023, np.random.default_rng(0).lognormal(5.5, 0.8, 20_000).astype(int) + 1)
     pieces = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(lengths.tolist())], "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(4).cache()
@@ -199,6 +207,14 @@ def test_archives(spark):
     assert json.dumps(entry)
 
 
+def test_one_id_with_two_payloads_loses_neither(spark):
+    rows = [(3, "u", "same"), (7, "u", "same"), (7, "u", "other payload"), (7, "u", "same"), (9, "u", "other payload")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = warc.read_archives(warc.archive(pages)).collect()
+    held = sorted((r["page_id"], r["record_type"], r["refers_to"] or 0, bytes(r["payload"] or b"")) for r in got)
+    assert held == [(3, "response", 0, b"same"), (7, "response", 0, b"other payload"), (7, "revisit", 3, b""), (7, "revisit", 3, b""), (9, "revisit", 7, b"")]
+
+
 def test_least_bytes_and_broken_archives(spark):
     import gzip
     import io
@@ -362,6 +378,22 @@ def test_language_held_out(spark, nothing):
 # --- language model
 
 
+def test_language_learns_every_label(spark, monkeypatch):
+    rnd = random.Random(4)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for label in range(300):  # each label has words of its own
+        words = ["".join(rnd.choices(alphabet, k=9)) for _ in range(3)]
+        rows += [(5 * label + i, " ".join(rnd.choices(words, k=12)), f"l{label:03}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, F.lit(True), clusters=1, rounds=2)
+    assert len(model.languages) == 300
+    got = language.predict(docs, model, keep=["doc_id", "lang"]).where("lang_pred = lang").count()
+    assert got > 0.99 * len(rows)
+    with pytest.raises(ValueError, match="labels"):
+        language.train(docs, F.lit(True), most_labels=299)
+
+
 def test_lm_scores(spark, docs, nothing):
     rows = sample()
     training = docs["doc_id"] % 3 != 0
