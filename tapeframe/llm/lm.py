@@ -4,7 +4,8 @@ The filter holds the counts of all words and bigrams of the training texts in qu
 doubling) is entered once per level 0..q, under keys made of its hash and the level, so a count is read by probing level after level
 until one is missing. It is cut by ranges of the n-gram's hash. Each range's filter is as large as its exact level totals need for the
 share `fill` of set bits, so it grows with the corpus and errs as often at any size; the number of ranges grows too, which bounds one.
-Nothing of it is broadcast: the different n-grams of every chunk of texts go to their ranges, and their levels come back to the chunk.
+Nothing of it is broadcast: the different n-grams of every chunk of texts go to their ranges, and their levels come back to the chunk. Words
+of the head (see below) are not asked: their level is that of the exact count.
 
 Tokens are words (A-Z as a-z) and one end per text. The model mixes a bigram and a unigram estimate,
 p = w c(v,t)/c(v) + (1-w) (c(t)+1)/(N+V+1), counts as the filter gives them; w is chosen from a grid by the likelihood of all
@@ -249,12 +250,20 @@ def _measured(docs: DataFrame, model: Model, weights: tuple[float, ...], trainin
         of = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n_tokens, 16 + 8 * n_words).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
         return u, of, np.frombuffer(raw, "<i8", -1, 16 + 8 * n_words + 4 * n_tokens)
 
+    shared = spark.sparkContext.broadcast((model.head, model.head_counts))
+
+    def in_head(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the head, whether it is there) of words."""
+        head = shared.value[0]
+        place = np.minimum(np.searchsorted(head, u), max(0, len(head) - 1))
+        return place, head[place] == u if len(head) else np.zeros(len(u), bool)
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, uri in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 u, of, lengths = kept_tokens(uri)
                 h = u[of]
-                for kind, keys in ((UNI, u), (BI, np.unique(bigrams(contexts(h, np.repeat(np.arange(len(lengths)), lengths)), h)))):
+                for kind, keys in ((UNI, u[~in_head(u)[1]]), (BI, np.unique(bigrams(contexts(h, np.repeat(np.arange(len(lengths)), lengths)), h)))):
                     some, ends = _cut(keys, by)
                     data = [_packed(k := keys[ends[b] : ends[b + 1]], np.zeros(len(k))) for b in some]
                     yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(some), pa.int64()), pa.array([kind] * len(some), pa.int32()), pa.array(some), pa.array(np.diff(ends)[some]), pa.array(data, pa.binary())], ["chunk", "kind", "bucket", "size", "data"])
@@ -269,7 +278,6 @@ def _measured(docs: DataFrame, model: Model, weights: tuple[float, ...], trainin
         return pa.table({"chunk": asked.column("chunk"), "kind": asked.column("kind"), "bucket": asked.column("bucket"), "levels": pa.array(levels, pa.binary())})
 
     total, distinct = model.total, model.distinct
-    shared = spark.sparkContext.broadcast((model.head, model.head_counts))
     names = ["row", "n_tokens", "known", "base", "scores", "fits", "rare", "times"]
 
     def measure(text: pa.Table, answers: pa.Table) -> pa.Table:
@@ -281,6 +289,12 @@ def _measured(docs: DataFrame, model: Model, weights: tuple[float, ...], trainin
         kinds = answers.column("kind").to_pylist()
         levels = [zstandard.ZstdDecompressor().decompress(x) for x in answers.column("levels").to_pylist()]
         q, q_pair = (np.frombuffer(b"".join(x for x, k in zip(levels, kinds, strict=True) if k == kind), np.int8).astype(np.int64) for kind in (UNI, BI))
+        # words of the head have the level of their exact count, without asking
+        place, common = in_head(u)
+        answered, q = q, np.full(len(u), -1)
+        q[~common] = answered
+        if common.any():
+            q[common] = level(shared.value[1][place[common]])
         starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
 
         def sums(c: np.ndarray, both: np.ndarray, ws: tuple[float, ...], own: np.ndarray | int = 0) -> pa.Array:
@@ -298,10 +312,9 @@ def _measured(docs: DataFrame, model: Model, weights: tuple[float, ...], trainin
         if pa.compute.any(trained).as_py():
             fits = pa.compute.if_else(trained, sums(_rest(q[of], _own(row, of)), _rest(q_pair[pair], _own(row, pair)), WEIGHTS, lengths[row]), pa.scalar(None, pa.list_(pa.float64())))
 
-        head, head_counts = shared.value
+        head_counts = shared.value[1]
         scale = math.log10(total + distinct + 1)
-        place = np.minimum(np.searchsorted(head, h), max(0, len(head) - 1))
-        common = head[place] == h if len(head) else np.zeros(len(h), bool)
+        place, common = place[of], common[of]
         base = np.bincount(row[common], np.log10(head_counts[place[common]] + 1) - scale, n).astype(np.float64)
         known = np.bincount(row[common], minlength=n)
         # every other word of a row once, with how often it comes
