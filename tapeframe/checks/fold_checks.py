@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import cosine
@@ -164,23 +166,83 @@ def losses(e: Episodes):
     return round6_all(pr(e).groupBy("fold").agg(*P.losses("p_a", "target", w)))
 
 
-def trees(e: Episodes):
-    feats = ["t_imb", "ofi_norm", "mid_vol60", "t_n", "patience_diff", "range_pos"]
-    df = P.with_fold(fx(e).drop("fold").withColumn("target", P.scaled_target("target")), P.period_folds(e.months, step=3))
-    return feats, *P.fit_folds(df, feats, range(3), maxIter=5, maxDepth=3)
+@lru_cache(maxsize=2)
+def binned_folds(e: Episodes):
+    """Each fold's rows, binned and weighted by its training rows."""
+    df = fold_rows(e).withColumn("target", P.scaled_target("target"))
+    scales = P.weight_scale(df, 6, 90, hot=hot_folds(e), limit=e.limit)
+    return P.fold_data(df, ZC, rounded_edges(e), scales, range(6))
+
+
+STUMP = {"maxIter": 1, "maxDepth": 1}
+# the best cut of one feature in two, by weighted variance, on bins of the training rows' edges; `rank` restricts the features
+STUMPS = f"""{ALL_FACTORS}, {EDGES}, fy as (select sample_id, fold, target*1000e0 as y, {{cols}} from fx),
+    ta as (select vf, quantile_cont(abs(y),0.9) as tau from fy join (select unnest(range(0,6)) as vf) f on fy.fold<>f.vf group by 1),
+    fn as (select unnest({names.ALL}) as factor, unnest(range(0,{len(names.ALL)})) as o),
+    nb as materialized (select q.vf, y.sample_id, y.fold, fn.factor, o, y, 1e0/(1e0+abs(y)/tau) as w,
+      case when lx.x is null then len(ed) else len(list_filter(ed[2:len(ed)], lambda v: v<=lx.x)) end as b
+      from fy y cross join fn join q on q.factor=fn.factor join ta on ta.vf=q.vf left join lx on lx.sample_id=y.sample_id and lx.factor=fn.factor),
+    tb as (select vf, factor, o, b, count(*) as n, sum(w) as w, sum(w*y) as s, sum(w*y*y) as ss from nb where fold<>vf group by all),
+    cu as (select *, sum(n) over a as cn, sum(w) over a as cw, sum(s) over a as cs, sum(ss) over a as css, sum(n) over z as an, sum(w) over z as aw, sum(s) over z as as_, sum(ss) over z as ass,
+      (b + lead(b) over (partition by vf, factor order by b))/2e0 as cut from tb
+      window a as (partition by vf, factor order by b), z as (partition by vf, factor)),
+    ga as (select *, (ass/aw-(as_/aw)*(as_/aw)) - cw/aw*(css/cw-(cs/cw)*(cs/cw)) - (aw-cw)/aw*((ass-css)/(aw-cw)-((as_-cs)/(aw-cw))*((as_-cs)/(aw-cw))) as gain
+      from cu where cut is not null and cn>=5 and an-cn>=5)""".replace("{cols}", "month")
+
+
+def best_stumps(keys: str, rank: str = "") -> str:
+    """One cut per fold (and `keys`), the first feature and cut among equal ones; gains are compared on nine digits."""
+    return f"bs as (select * from (select *, row_number() over (partition by {keys} order by cast(printf('%.8e', gain) as double) desc, o, b) as rr from ga {rank}) where rr=1)"
+
+
+SCORED = """pd as (select {keys}nb.fold, nb.sample_id, nb.y, case when nb.b<=bs.cut then cs/cw else (as_-cs)/(aw-cw) end as pred
+    from bs join nb on nb.vf=bs.vf and nb.fold=bs.vf and nb.factor=bs.factor)"""
+
+
+@check("p8_stump_oof", views=AV, ctes=f"{STUMPS}, {best_stumps('vf')}, {SCORED.format(keys='')}",
+       select="select cast(fold as int) as fold, count(*) as n, r6(cosine(pred,y)) as cos, r6(min(pred)) as low, r6(max(pred)) as high, r6(avg(pred)) as mean from pd group by fold")
+def stumps(e: Episodes):
+    """All factors and folds, weighted, one tree of one cut: what SQL can say of the fits."""
+    oof, _ = P.fit_folds(binned_folds(e), **STUMP)
+    more = oof.groupBy("fold").agg(F.min("pred").alias("low"), F.max("pred").alias("high"), F.avg("pred").alias("mean"))
+    return round6_all(P.fold_scores(oof).join(more, "fold"))
 
 
 @check("p8_boosted_trees_oof")
 def boosted(e: Episodes):
-    _, oof, _ = trees(e)
+    """All factors and folds, weighted, stopped early."""
+    oof, _ = P.fit_folds(binned_folds(e), maxIter=10, maxDepth=3)
     return P.fold_scores(oof)
 
 
-@check("p9_importance_top_k")
+ORDER = [(f, i) for i, f in enumerate(names.ALL)]
+
+
+def stump_gains(e: Episodes):
+    return P.mean_gain(P.fit_folds(binned_folds(e), **STUMP)[1])
+
+
+# a model of one cut has all its gain in one feature
+RANKS = "gn as (select fn.factor, o, (select count(*) from bs where bs.factor=fn.factor)/6e0 as gain from fn), rk as (select *, row_number() over (order by gain desc, factor) as pos from gn)"
+
+
+@check("p9_importance_top_k", views=AV, ctes=f"{STUMPS}, {best_stumps('vf')}, {RANKS}", select=f"select factor as feature, r6(gain) as gain, cast(o as int) as ordinal from rk where pos<=4")
 def importance(e: Episodes):
-    feats, _, gains = trees(e)
-    order = e.spark.createDataFrame([(f, i) for i, f in enumerate(feats)], "feature string, ordinal int")
-    return P.top_k(P.mean_gain(gains), order, 4)
+    order = e.spark.createDataFrame(ORDER, "feature string, ordinal int")
+    return round6_all(P.top_k(stump_gains(e), order, 4))
+
+
+CURVE = (1, 2, 4)
+
+
+@check("p9_refit_curve", views=AV,
+       ctes=f"{STUMPS}, {best_stumps('vf')}, {RANKS}, ks as (select unnest({list(CURVE)}) as k), " + best_stumps("k, vf", "join (select factor, pos from rk) using (factor) join ks on pos<=k").replace("bs as", "bc as")
+       + ", " + SCORED.format(keys="bc.k, ").replace("bs", "bc") + ", sv as (select k, fold, cosine(pred,y) as cos from pd group by 1, 2)",
+       select="select cast(k as int) as k, r6(avg(cos)) as mean, r6(stddev_pop(cos)) as std from sv group by k")
+def refit_curve(e: Episodes):
+    """Out-of-fold score of models refitted on the best features, by their number."""
+    order = e.spark.createDataFrame(ORDER, "feature string, ordinal int")
+    return round6_all(P.top_k_curve(binned_folds(e), stump_gains(e), order, CURVE, **STUMP))
 
 
 # ---- blending -----------------------------------------------------------------------------------

@@ -6,13 +6,17 @@ copied, and plans grow neither with bins nor with columns. Moments are merged ov
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import cosine
-from ..functions.scalars import asinh, clip, div
+from ..functions.scalars import asinh, clip, col, div
+from ..sources.shared import settle
 from .ordered import Hot, running_total
 from .quantiles import cells
 
@@ -169,8 +173,8 @@ def weight_scale(df: DataFrame, folds: int, per_cent: int, *, y: str = "target",
     return training_quantiles(rows, ["_ay"], folds, 100, [per_cent], hot=hot, limit=limit).select("val_fold", F.col("value").alias("tau"))
 
 
-def sample_weight(y: str = "target", tau: str = "tau") -> Column:
-    return F.lit(1.0) / (F.lit(1.0) + F.abs(y) / F.col(tau))
+def sample_weight(y: str = "target", tau: str | Column = "tau") -> Column:
+    return F.lit(1.0) / (F.lit(1.0) + F.abs(y) / col(tau))
 
 
 def fold_scores(oof: DataFrame, p: str = "pred", y: str = "target", fold: str = "fold") -> DataFrame:
@@ -202,33 +206,61 @@ def ensemble_mean(predictions: DataFrame, key: str = "sample_id", value: str = "
 
 
 def boosted_trees(**params):
+    """Least-squares boosting that stops when the validation rows gain no more. Every row and feature is used in every tree, so results do not
+    depend on the partitioning."""
     from pyspark.ml.regression import GBTRegressor
 
-    base = dict(featuresCol="features", labelCol="target", predictionCol="pred", maxDepth=4, maxIter=20, stepSize=0.1,
-                subsamplingRate=0.8, featureSubsetStrategy="0.5", minInstancesPerNode=5, seed=42)
+    base = dict(featuresCol="features", labelCol="target", predictionCol="pred", weightCol="weight", validationIndicatorCol="validates", maxDepth=4, maxIter=20, stepSize=0.1,
+                subsamplingRate=1.0, featureSubsetStrategy="all", minInstancesPerNode=5, maxBins=64, validationTol=0.01, seed=42)
     return GBTRegressor(**{**base, **params})
 
 
-def fit_folds(df: DataFrame, features: Sequence[str], folds: Sequence[int], *, fold: str = "fold", **params):
-    """(out-of-fold predictions, importances): one model per fold, trained on the other folds. Nulls
-    become NaN-free via the training median of each feature. The loop is over models; each fit is a
-    Spark job over the training rows."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import Imputer, VectorAssembler
+@dataclass(frozen=True)
+class FoldData:
+    """What one fold's models are fitted on: a settled table (sample_id, fold, target, weight, validates, bins) and the order of its bins."""
 
-    spark = df.sparkSession
-    typed = df.select(*[F.col(c).cast("double").alias(c) if c in features else F.col(c) for c in df.columns])
-    parts, gains = [], []
+    fold: int
+    rows: DataFrame
+    features: tuple[str, ...]
+
+
+def fold_data(df: DataFrame, features: Sequence[str], edges: DataFrame, scales: DataFrame, folds: Sequence[int]) -> list[FoldData]:
+    """Per fold every row with its features as bin numbers by the edges of the fold's training rows (as many edges as are at most the value; one number
+    more where the value is missing), and its weight by their scale. edges: (val_fold, factor, edges), scales: (val_fold, tau); both have a few rows
+    per fold and column, and are what comes to the driver. Binned once, a table serves every fit of its fold."""
+    from pyspark.ml.feature import Bucketizer, VectorAssembler
+
+    found = {(r["val_fold"], r["factor"]): list(r["edges"]) for r in edges.collect()}
+    tau = {r["val_fold"]: r["tau"] for r in scales.collect()}
+    missing = F.lit(float("nan"))
+    typed = df.select(*[F.coalesce(F.col(c).cast("double"), missing).alias(c) for c in features], "sample_id", "fold", "target")
+    out = []
     for k in folds:
-        fill = Imputer(inputCols=list(features), outputCols=[f"f_{c}" for c in features], strategy="median")
-        vec = VectorAssembler(inputCols=[f"f_{c}" for c in features], outputCol="features")
-        model = Pipeline(stages=[fill, vec, boosted_trees(**params)]).fit(typed.where(F.col(fold) != k))
-        parts.append(model.transform(typed.where(F.col(fold) == k)).select("sample_id", fold, "target", "pred"))
-        gains += [(k, c, float(g)) for c, g in zip(features, model.stages[-1].featureImportances.toArray())]
-    oof = parts[0]
-    for p in parts[1:]:
-        oof = oof.unionByName(p)
-    return oof, spark.createDataFrame(gains, "fold int, feature string, gain double")
+        splits = [[-math.inf, *found.get((k, c), [0.0, 0.0])[1:], math.inf] for c in features]
+        bins = Bucketizer(splitsArray=splits, inputCols=list(features), outputCols=[f"b_{c}" for c in features], handleInvalid="keep")
+        vector = VectorAssembler(inputCols=[f"b_{c}" for c in features], outputCol="bins")
+        rows = vector.transform(bins.transform(typed)).select(
+            "sample_id", "fold", "target", (F.col("fold") == k).alias("validates"), sample_weight("target", F.lit(float(tau[k]))).alias("weight"),
+            F.col("bins").alias("bins", metadata={}),  # ordered numbers, not categories
+        )
+        out.append(FoldData(k, settle(rows), tuple(features)))
+    return out
+
+
+def fit_folds(data: Sequence[FoldData], features: Sequence[str] | None = None, **params) -> tuple[DataFrame, DataFrame]:
+    """(out-of-fold predictions, importances): one model per fold, fitted on the other folds' rows and stopped early by its own, on all
+    or some of the features. The loop is over models; each fit is a Spark job over the training rows."""
+    from pyspark.ml.feature import VectorSlicer
+
+    parts, gains = [], []
+    for d in data:
+        kept = [c for c in d.features if features is None or c in set(features)]
+        some = VectorSlicer(inputCol="bins", outputCol="features", indices=[d.features.index(c) for c in kept]).transform(d.rows)
+        model = boosted_trees(**params).fit(some)
+        parts.append(model.transform(some.where("validates")).select("sample_id", "fold", "target", "pred"))
+        gains += [(d.fold, c, float(g)) for c, g in zip(kept, model.featureImportances.toArray())]
+    oof = reduce(DataFrame.unionByName, parts)
+    return oof, oof.sparkSession.createDataFrame(gains, "fold int, feature string, gain double")
 
 
 def mean_gain(importances: DataFrame) -> DataFrame:
@@ -243,13 +275,12 @@ def top_k(gains: DataFrame, order: DataFrame, k: int) -> DataFrame:
     return best.join(order, "feature").orderBy("ordinal")
 
 
-def top_k_curve(df: DataFrame, gains: DataFrame, order: DataFrame, ks: Sequence[int], folds: Sequence[int], *, fold: str = "fold", **params) -> DataFrame:
-    """(k, mean, std): out-of-fold cosine of models refitted on the k best features. The feature list is
-    the only thing that comes to the driver."""
-    spark, rows = df.sparkSession, []
+def top_k_curve(data: Sequence[FoldData], gains: DataFrame, order: DataFrame, ks: Sequence[int], **params) -> DataFrame:
+    """(k, mean, std): out-of-fold cosine of models refitted on the k best features, all from the same binned tables. The feature list and two
+    numbers a model come to the driver."""
+    spark, rows = gains.sparkSession, []
     for k in ks:
-        kept = [r.feature for r in top_k(gains, order, k).collect()]
-        oof, _ = fit_folds(df, kept, folds, fold=fold, **params)
-        s = oof_summary(fold_scores(oof, fold=fold)).first()
+        oof, _ = fit_folds(data, [r.feature for r in top_k(gains, order, k).collect()], **params)
+        s = oof_summary(fold_scores(oof)).first()
         rows.append((k, s["mean"], s["std"]))
     return spark.createDataFrame(rows, "k int, mean double, std double")
