@@ -201,14 +201,16 @@ SIGMA = mean_of(["r_t_vol", "r_t_n", "(-r_last_gap)"])
 
 
 @check("e7_modulation", views=FV,
-       ctes=f"{FACTORS}, {RANKS}, m as (select month, target, {COMBO} as combo, {SIGMA} as sigma from rk), c as ("
-       + " union all ".join(f"select month, {k}e0 as k, {sql_cos(f'combo*(1+{k}e0*sigma)')} as cos from m group by month" for k in KS) + ")",
+       ctes=f"{FACTORS}, {RANKS}, m as (select month, target, {COMBO} as combo, {SIGMA} as sigma, {rank_sql('abs(target)')[1]} as amp from rk), c as ("
+       + " union all ".join(f"select month, {k}e0 as k, {sql_cos(f'combo*(1+{k}e0*sigma)')} as cos from m group by month" for k in KS)
+       + f" union all select month, null as k, {sql_cos('combo*amp')} as cos from m group by month)",
        select="select k, r6(avg(cos)) as cos_mean, r6(min(cos)) as cos_min, fcnt(cos<0) as neg from c group by k")
 def modulation(e: Episodes):
-    df = ranked(e, ["t_imb_2s", "t_imb_w10", "ofi_w10_norm", "t_vol", "t_n", "last_gap"])
-    df = df.select("month", "target", S.row_mean([F.col(f"r_{c}") for c in ("t_imb_2s", "t_imb_w10", "ofi_w10_norm")]).alias("combo"),
+    rows = fx(e).withColumn("amp", F.abs("target"))
+    df = S.rank_columns(D.as_one_group(rows), ["t_imb_2s", "t_imb_w10", "ofi_w10_norm", "t_vol", "t_n", "last_gap", "amp"], keys=["_all"], hot=e.hot_all, limit=e.limit)
+    df = df.select("month", "target", "r_amp", S.row_mean([F.col(f"r_{c}") for c in ("t_imb_2s", "t_imb_w10", "ofi_w10_norm")]).alias("combo"),
                    S.row_mean([F.col("r_t_vol"), F.col("r_t_n"), -F.col("r_last_gap")]).alias("sigma"))
-    return round6_all(S.modulation_grid(df, "combo", "sigma", KS, min_rows=MIN), "k")
+    return round6_all(S.modulation_grid(df, "combo", "sigma", KS, bound="r_amp", min_rows=MIN), "k")
 
 
 @check("io7_formula_submission", views=FV, ctes=f"{FACTORS}, {RANKS}",
@@ -313,6 +315,49 @@ def causes(e: Episodes):
     return round6_all(D.cause_table(pr(e), CAND, p="p_b", hot=e.hot_all, limit=e.limit))
 
 
+@check("e11_zero_shares", views="pred", ctes=PR,
+       select=" union all ".join(f"select '{c}' as candidate, bin, count(*) as rows, r6(avg({c})) as mean, r6(avg(case when target=0 then 1e0 else 0e0 end)) as zero_share from {bins_sql(c, 'pr', 10)} group by bin" for c in CAND))
+def cause_bins(e: Episodes):
+    return round6_all(D.zero_shares(pr(e), CAND, 10, hot=e.hot_all, limit=e.limit))
+
+
+LINEAR = ["t_imb", "ofi_norm", "spread0", "t_n", "range_pos"]
+
+
+def linear_sql() -> str:
+    """Least squares with intercept on the other folds' rows: columns made orthogonal one after the other, each then by its own slope."""
+    train = "filter (where fold<>vf)"
+    steps = ["l0 as (select vf, fx.fold, sample_id, case when target>0 then 1e0 else 0e0 end as y, " + ", ".join(f"coalesce({c},0e0) as v{i}" for i, c in enumerate(LINEAR))
+             + " from fx cross join (select unnest(range(0,6)) as vf) f)",
+             "lm as (select *, avg(y) " + train + " over g as my, " + ", ".join(f"v{i} - avg(v{i}) {train} over g as w0_{i}" for i in range(len(LINEAR))) + " from l0 window g as (partition by vf))"]
+    last = "lm"
+    for j in range(len(LINEAR) - 1):
+        rest = ", ".join(f"w{j}_{i} - coalesce(div(sum(w{j}_{i}*w{j}_{j}) {train} over g, sum(w{j}_{j}*w{j}_{j}) {train} over g),0e0)*w{j}_{j} as w{j + 1}_{i}" for i in range(j + 1, len(LINEAR)))
+        steps.append(f"lg{j} as (select *, {rest} from {last} window g as (partition by vf))")
+        last = f"lg{j}"
+    fit = " + ".join(f"coalesce(div(sum(w{j}_{j}*y) {train} over g, sum(w{j}_{j}*w{j}_{j}) {train} over g),0e0)*w{j}_{j}" for j in range(len(LINEAR)))
+    steps.append(f"ls as (select sample_id, y>0 as z, r6(score) as score from (select *, my + {fit} as score from {last} window g as (partition by vf)) where vf=fold)")
+    return ", ".join(steps)
+
+
+def linear_scores(e: Episodes):
+    """Rounded out-of-fold scores of five factors, and whether the target is positive."""
+    df = fx(e).withColumn("y", (F.col("target") > 0).cast("double"))
+    found = D.out_of_fold_linear(df, LINEAR, "y", "fold")
+    return round6_all(found.select("sample_id", (F.col("y") > 0).alias("z"), "score"))
+
+
+@check("e12_linear_scores", views=FV, ctes=f"{FACTORS}, {linear_sql()}", select="select sample_id, score from ls")
+def linear_columns(e: Episodes):
+    return linear_scores(e).select("sample_id", "score")
+
+
+@check("e12_linear_auc", views=FV, ctes=f"{FACTORS}, {linear_sql()}, r as (select z, {avg_rank('score')} as rv from ls)", select=f"select r6({AUC}) as auc from r")
+def linear_auc(e: Episodes):
+    """The AUC of the score of several columns, beside it in one pass over the rows."""
+    return round6_all(auc_of(D.as_one_group(linear_scores(e)), "score", "z", hot=e.hot_all, limit=e.limit, keys=["_all"]).select("auc"))
+
+
 @check("e12_out_of_fold_linear", views="pred",
        ctes=PR + """, st as (select avg(p_b) as m, stddev_pop(p_b) as sd from pr), zz as (select pr.*, (p_b-m)/sd as x, case when target>0 then 1e0 else 0e0 end as y from pr cross join st),
          cf as (select f.fold, regr_slope(y,x) as b, regr_intercept(y,x) as a from (select distinct fold from zz) f join zz on zz.fold<>f.fold group by 1)""",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.aggregates import bias_corrected_kurtosis, bias_corrected_skew, cosine, pearson
 from ..functions.scalars import div
 from .ordered import DEFAULT_LIMIT, Hot
-from .quantiles import bin_of, cut_points, quantiles, with_ranks
+from .quantiles import bin_of, cells, cut_points, quantiles, with_ranks
 from .regression import design, fitted, solve_normal
 
 # fixed values: strata of |target|
@@ -86,6 +86,20 @@ def zero_share_by_bin(df: DataFrame, value: str, bins: int, *, y="target", hot:
     )
 
 
+def zero_shares(df: DataFrame, candidates: Sequence[str], bins: int, *, y="target", hot: Hot | None, limit=DEFAULT_LIMIT) -> DataFrame:
+    """(candidate, bin, rows, mean, zero_share) over equal-frequency bins of every candidate, missing values left out. All cut points come
+    from one pass and all bins from one more; the plan has one join, whatever the number of candidates."""
+    specs = {f"_q{i}_{j}": (c, j / bins, "linear") for i, c in enumerate(candidates) for j in range(1, bins)}
+    wide = quantiles(as_one_group(df), [ALL], specs, hot=hot, limit=limit)
+    cuts = F.array(*[F.struct(F.lit(i).alias("_c"), F.lit(c).alias("candidate"), F.array(*[f"_q{i}_{j}" for j in range(1, bins)]).alias("cuts")) for i, c in enumerate(candidates)])
+    long = cells(df.where(F.col(y).isNotNull()), candidates, [y])
+    # a row per candidate
+    binned = long.join(F.broadcast(wide.select(F.explode(cuts).alias("x")).select("x.*")), "_c").withColumn("bin", bin_of("_v"))
+    return binned.groupBy("candidate", "bin").agg(
+        F.count(F.lit(1)).alias("rows"), F.avg("_v").alias("mean"), F.avg((F.col(y) == 0).cast("double")).alias("zero_share")
+    )
+
+
 def cause_table(df: DataFrame, candidates: Sequence[str], *, p="pred", y="target", hot: Hot | None, limit=DEFAULT_LIMIT) -> DataFrame:
     """(candidate, auc of a zero target, rho with |target|, rho with |prediction|), missing candidate values
     at their median. All ranks come from one pass, and the AUC from the ranks; rows without a target take no part."""

@@ -117,15 +117,15 @@ def weighted_mean(weights: Mapping[str, float]) -> Column:
     return div(total, mass)
 
 
-def modulation_grid(df: DataFrame, combo: str, sigma: str, ks: Sequence[float], *, target="target", period="month", min_rows=MIN_ROWS) -> DataFrame:
-    """(k, cos_mean, cos_min, neg): per-period cosine of combo·(1 + k·sigma), summarised per k."""
-    names = [f"k{i}" for i in range(len(ks))]
-    one = lambda n, k: F.struct(
-        F.lit(float(k)).alias("k"),
-        guarded_cosine(F.col(combo) * (1 + F.lit(float(k)) * F.col(sigma)), F.col(target), min_rows).alias("cos"),
-    ).alias(n)
-    wide = df.groupBy(period).agg(*[one(n, k) for n, k in zip(names, ks)])
-    return _long(wide, [period], names, "_n").groupBy("k").agg(
+def modulation_grid(df: DataFrame, combo: str, sigma: str, ks: Sequence[float], *, bound: str | None = None, target="target", period="month", min_rows=MIN_ROWS) -> DataFrame:
+    """(k, cos_mean, cos_min, neg): per-period cosine of combo·(1 + k·sigma), summarised per k. With `bound`, a column that knows the amplitude, one
+    more row has the cosine of combo·bound, which no sigma can be expected to pass; its k is null."""
+    forms = {f"k{i}": (F.lit(float(k)), F.col(combo) * (1 + F.lit(float(k)) * F.col(sigma))) for i, k in enumerate(ks)}
+    if bound:
+        forms["bound"] = (F.lit(None).cast("double"), F.col(combo) * F.col(bound))
+    one = lambda n, k, p: F.struct(k.alias("k"), guarded_cosine(p, F.col(target), min_rows).alias("cos")).alias(n)
+    wide = df.groupBy(period).agg(*[one(n, k, p) for n, (k, p) in forms.items()])
+    return _long(wide, [period], list(forms), "_n").groupBy("k").agg(
         F.avg("cos").alias("cos_mean"), F.min("cos").alias("cos_min"), F.count_if(F.col("cos") < 0).alias("neg")
     )
 

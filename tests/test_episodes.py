@@ -266,9 +266,54 @@ def test_fold_statistics_against_numpy(spark):
             assert r.k_sd == 1.0
 
 
-def test_quantile_edges_of_a_constant(spark):
-    df = spark.createDataFrame([(0, 2.0)] * 5, "g int, x double")
-    assert one(folds.quantile_edges(df, ["x"], ["g"], bins=4, hot=None, limit=10))["x_edges"] == [1.0, 3.0]
+def test_edges_of_training_folds(spark):
+    """All columns and folds against numpy, with and without hot groups; a constant has two edges, a column without values none."""
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"fold": np.arange(300) % 3, "x": rng.normal(size=300), "t": rng.integers(0, 4, 300).astype(float), "k": 2.0, "none": np.nan})
+    pdf.loc[::7, "x"] = np.nan
+    df = spark.createDataFrame(pdf)
+    df = df.select("fold", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("x", "t", "k", "none")])
+    hot = find_hot(folds.training_rows(df, 3), ["val_fold"], 50)
+    for h, lim in ((None, 10**6), (hot, 50)):
+        got = {(r.val_fold, r.factor): r.edges for r in folds.quantile_edges(df, ["x", "t", "k", "none"], 3, bins=8, hot=h, limit=lim).collect()}
+        assert set(got) == {(f, c) for f in range(3) for c in ("x", "t", "k")}
+        for f in range(3):
+            train = pdf[pdf.fold != f]
+            assert got[f, "k"] == [1.0, 3.0]
+            for c in ("x", "t"):
+                assert got[f, c] == pytest.approx(np.unique(np.quantile(train[c].dropna(), np.arange(9) / 8)))
+    # one copy of every row, and a plan of one size for any number of columns and bins
+    plan = lambda cols, bins: folds.quantile_edges(df, cols, 3, bins=bins, hot=None, limit=10**6)._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert plan(["x"], 4) == plan(["x", "t", "k", "none"], 48)
+
+
+def test_more_features_never_fit_the_training_rows_worse(spark):
+    """The refit curve's models: a cut chosen among more features has no larger weighted error on the rows it was chosen on."""
+    rng = np.random.default_rng(6)
+    n = 400
+    pdf = pd.DataFrame(rng.normal(size=(n, 4)), columns=list("abcd")).assign(sample_id=np.arange(n), fold=np.arange(n) % 2)
+    pdf["target"] = 3 * (pdf.b > 0.2) + (pdf.a > 0) + rng.normal(size=n)
+    pdf.loc[::9, "c"] = np.nan
+    df = spark.createDataFrame(pdf)
+    df = df.withColumn("c", F.when(~F.isnan("c"), F.col("c")))
+    edges = folds.quantile_edges(df, list("abcd"), 2, bins=16, hot=None, limit=10**6)
+    data = folds.fold_data(df, list("abcd"), edges, folds.weight_scale(df, 2, 90, hot=None, limit=10**6), [0, 1])
+    errors = []
+    for some in (["d"], ["c", "d"], ["a", "c", "d"], list("abcd")):
+        total = 0.0
+        for d in data:
+            from pyspark.ml.feature import VectorSlicer
+
+            x = VectorSlicer(inputCol="bins", outputCol="features", indices=[d.features.index(c) for c in some]).transform(d.rows)
+            model = folds.boosted_trees(maxIter=1, maxDepth=1).fit(x)
+            total += model.transform(x.where("not validates")).agg(F.sum(F.col("weight") * F.pow(F.col("pred") - F.col("target"), F.lit(2.0)))).first()[0]
+        errors.append(total)
+    assert all(a >= b - 1e-9 for a, b in zip(errors, errors[1:])) and errors[-1] < 0.8 * errors[0]
+    order = spark.createDataFrame([(c, i) for i, c in enumerate("abcd")], "feature string, ordinal int")
+    oof, gains = folds.fit_folds(data, maxIter=1, maxDepth=1)
+    assert oof.count() == n and [r.feature for r in folds.top_k(folds.mean_gain(gains), order, 1).collect()] == ["b"]
+    curve = {r.k: r["mean"] for r in folds.top_k_curve(data, folds.mean_gain(gains), order, [1, 4], maxIter=1, maxDepth=1).collect()}
+    assert curve[1] == pytest.approx(curve[4]) and curve[1] > 0.5
 
 
 def test_schema_check(spark):
