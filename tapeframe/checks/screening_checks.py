@@ -75,31 +75,34 @@ def sql_cos(x: str, y: str = "target", n: int = MIN) -> str:
     return f"case when fcnt(({x}) is not null and ({y}) is not null)>{n} then cosine({x},{y}) end"
 
 
-SCORES = "sc as (" + " union all ".join(
-    f"select month, '{f}' as factor, {sql_corr(f, 'target')} as corr, {sql_corr(f, 'sign(target)')} as corr_sign, {sql_corr(f, 'abs(target)')} as corr_abs, {sql_cos(f)} as cos from fx group by month"
-    for f in FX
-) + ")"
+ALL_LONG = ALL_FACTORS + ", ln as materialized (select * from fx unpivot include nulls (x for factor in (" + ", ".join(names.ALL) + ")))"
+SCORES = f"""sc as (select month, factor, {sql_corr('x', 'target')} as corr, {sql_corr('x', 'sign(target)')} as corr_sign, {sql_corr('x', 'abs(target)')} as corr_abs, {sql_cos('x')} as cos
+    from ln group by month, factor)"""
 SCREEN = """sm as (select factor, avg(corr) as corr_mean, stddev_pop(corr) as corr_std, avg(case when corr>0 then 1e0 else 0e0 end) as pos_frac,
     avg(cos) as cos_mean, stddev_pop(cos) as cos_std, avg(corr_sign) as corr_sign_mean, avg(corr_abs) as corr_abs_mean from sc group by factor)"""
 SUMS = ("corr_mean", "corr_std", "pos_frac", "cos_mean", "cos_std", "corr_sign_mean", "corr_abs_mean")
 ROUNDED = ", ".join(f"r6({c}) as {c}" for c in SUMS)
 
 
-@check("e1_period_scores", views=FV, ctes=f"{FACTORS}, {SCORES}",
+def all_scores(e: Episodes):
+    return S.period_scores(all_factors(e), names.ALL, min_rows=MIN)
+
+
+@check("e1_period_scores", views=AV, ctes=f"{ALL_LONG}, {SCORES}",
        select="select month, factor, r6(corr) as corr, r6(corr_sign) as corr_sign, r6(corr_abs) as corr_abs, r6(cos) as cos from sc")
 def period_scores(e: Episodes):
-    return round6_all(S.period_scores(fx(e), FX, min_rows=MIN))
+    return round6_all(all_scores(e))
 
 
-@check("e1_screen", views=FV, ctes=f"{FACTORS}, {SCORES}, {SCREEN}", select=f"select factor, {ROUNDED} from sm")
+@check("e1_screen", views=AV, ctes=f"{ALL_LONG}, {SCORES}, {SCREEN}", select=f"select factor, {ROUNDED} from sm")
 def screen(e: Episodes):
-    return round6_all(S.screen(S.period_scores(fx(e), FX, min_rows=MIN)))
+    return round6_all(S.screen(all_scores(e)))
 
 
-@check("s3_top_factors", views=FV, ctes=f"{FACTORS}, {SCORES}, {SCREEN}, rr as (select factor, {ROUNDED} from sm)",
-       select="select * from rr order by cos_mean desc, factor limit 5")
+@check("s3_top_factors", views=AV, ctes=f"{ALL_LONG}, {SCORES}, {SCREEN}, rr as (select factor, {ROUNDED} from sm)",
+       select="select * from rr order by cos_mean desc nulls last, factor limit 5")
 def top_factors(e: Episodes):
-    return S.top_factors(round6_all(S.screen(S.period_scores(fx(e), FX, min_rows=MIN))), "cos_mean", 5)
+    return S.top_factors(round6_all(S.screen(all_scores(e))), "cos_mean", 5)
 
 
 ANCHORS = ["t_imb", "ofi_norm", "spread0", "mid_vol60", "t_vol", "t_n"]
@@ -113,12 +116,12 @@ def redundancy(e: Episodes):
     return round6_all(S.redundant(fx(e), TESTED, ANCHORS, above=0.3))
 
 
-@check("e3_period_stability", views=FV,
-       ctes=FACTORS + ", c as (" + " union all ".join(f"select month, '{f}' as factor, cosine({f},target) as cos from fx group by month" for f in FX) + ")",
+@check("e3_period_stability", views=AV,
+       ctes=ALL_LONG + ", c as (select month, factor, cosine(x,target) as cos from ln group by month, factor)",
        select="""select factor, r6(avg(cos)) as cos_mean, r6(stddev_pop(cos)) as cos_std, r6(avg(case when cos>0 then 1e0 else 0e0 end)) as pos_frac,
          fcnt(cos<0) as neg_periods from c where cos is not null group by factor""")
 def stability(e: Episodes):
-    return round6_all(S.period_stability(fx(e), FX))
+    return round6_all(S.period_stability(all_factors(e), names.ALL))
 
 
 @check("e4_residual_cosine", views=FV,

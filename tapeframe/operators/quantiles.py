@@ -47,10 +47,11 @@ def quantiles(
     return short(df.join(marked, keys, "left_anti")).unionByName(warm)
 
 
-def cells(df: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """One row per row and column (`_c` its number, `_v` its value as double), nulls left out."""
+def cells(df: DataFrame, columns: Sequence[str], keep: Sequence[str], *, nulls: bool = False) -> DataFrame:
+    """One row per row and column (`_c` its number, `_v` its value as double), nulls left out unless asked for."""
     cell = F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)]))
-    return df.select(*keep, cell.alias("_x")).select(*keep, "_x._c", "_x._v").where(F.col("_v").isNotNull())
+    long = df.select(*keep, cell.alias("_x")).select(*keep, "_x._c", "_x._v")
+    return long if nulls else long.where(F.col("_v").isNotNull())
 
 
 def _value_counts(cells: DataFrame, keys: list[str], columns: int, hot: Hot, limit: int) -> DataFrame:

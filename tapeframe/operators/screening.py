@@ -1,17 +1,17 @@
-"""Period-by-period screening of factors and ways to combine them. All per-period numbers come from one
-wide aggregation over the factor table; rows are never multiplied by the number of factors."""
+"""Period-by-period screening of factors and ways to combine them. All per-period numbers come from one aggregation by (period,
+factor), combined before its exchange: a few sums per period, factor and task are all that is shuffled."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import cosine, pearson
 from ..functions.scalars import div
 from .ordered import Hot
-from .quantiles import with_ranks
+from .quantiles import cells, with_ranks
 from .regression import least_squares
 
 MIN_ROWS = 100
@@ -28,14 +28,21 @@ def _long(wide: DataFrame, keys: Sequence[str], names: Sequence[str], label: str
     return wide.select(*keys, rows.alias("_x")).select(*keys, f"_x.{label}", "_x.r.*")
 
 
+def _by_factor(df: DataFrame, factors: Sequence[str], target: str, period: str) -> GroupedData:
+    """Rows of every factor as `_v` by (period, factor): four sums instead of four per factor, so plans don't grow with the factors. Every factor
+    has a group in every period."""
+    names = F.array(*[F.lit(f) for f in factors])
+    long = cells(df, factors, [period, target], nulls=True).withColumn("factor", F.get(names, F.col("_c")))
+    return long.groupBy(period, "factor")
+
+
 def period_scores(df: DataFrame, factors: Sequence[str], *, target="target", period="month", min_rows=MIN_ROWS) -> DataFrame:
     """(period, factor, corr, corr_sign, corr_abs, cos)."""
     y = F.col(target)
-    one = lambda f: F.struct(
-        pearson(f, y, min_rows).alias("corr"), pearson(f, F.signum(y), min_rows).alias("corr_sign"),
-        pearson(f, F.abs(y), min_rows).alias("corr_abs"), guarded_cosine(f, y, min_rows).alias("cos"),
-    ).alias(f)
-    return _long(df.groupBy(period).agg(*[one(f) for f in factors]), [period], factors, "factor")
+    return _by_factor(df, factors, target, period).agg(
+        pearson("_v", y, min_rows).alias("corr"), pearson("_v", F.signum(y), min_rows).alias("corr_sign"),
+        pearson("_v", F.abs(y), min_rows).alias("corr_abs"), guarded_cosine("_v", y, min_rows).alias("cos"),
+    )
 
 
 def screen(scores: DataFrame) -> DataFrame:
@@ -54,8 +61,7 @@ def top_factors(screened: DataFrame, by: str, k: int) -> DataFrame:
 
 def period_stability(df: DataFrame, factors: Sequence[str], *, target="target", period="month") -> DataFrame:
     """(factor, cos_mean, cos_std, pos_frac, neg_periods) over periods where the cosine exists."""
-    one = lambda f: F.struct(cosine(f, target).alias("cos")).alias(f)
-    long = _long(df.groupBy(period).agg(*[one(f) for f in factors]), [period], factors, "factor")
+    long = _by_factor(df, factors, target, period).agg(cosine("_v", target).alias("cos"))
     return long.where(F.col("cos").isNotNull()).groupBy("factor").agg(
         F.avg("cos").alias("cos_mean"), F.stddev_pop("cos").alias("cos_std"),
         F.avg((F.col("cos") > 0).cast("double")).alias("pos_frac"), F.count_if(F.col("cos") < 0).alias("neg_periods"),
