@@ -9,7 +9,7 @@ from ..functions import aggregates as A
 from ..functions.scalars import clip, decay, div, imbalance, nullify_nonfinite, round6_all, signed
 from ..operators import grid, joins as J, quality as Q, quantiles, sequences as S
 from ..operators.folds import top_k
-from ..operators.ordered import newest_rows, oldest_row, ordered, with_group_values
+from ..operators.ordered import oldest_row, ordered, with_group_values
 from ..plans import book, cross, trade
 from ..plans.order import flow_sign
 from ..sources import tables
@@ -59,12 +59,7 @@ def projected(e: Episodes):
 def period_union(e: Episodes):
     path = scratch(e, "labels")
     tables.write_periods(e.label, path)
-    # one folder per period, read as separate files and put together by name
-    periods = [f"{path}/month={r.month}" for r in e.months.select("month").distinct().collect()]
-    frames = [e.spark.read.option("basePath", path).parquet(p) for p in periods]
-    both = frames[0]
-    for f in frames[1:]:
-        both = both.unionByName(f)
+    both = tables.read_periods(e.spark, [f"{path}/month=*"], base=path)
     return round6_all(both.groupBy("month").agg(F.count(F.lit(1)).alias("rows"), F.sum("target").alias("target")))
 
 
@@ -429,9 +424,9 @@ def thirds(e: Episodes):
 
 @check("s1_episode_order", views="trade",
        ctes=f"r as (select *, row_number() over (partition by sample_id order by s, {TIES}) - 1 as idx from trade)",
-       select="select sample_id, idx, r6(s) as s, volume from r where idx < 3")
+       select="select sample_id, idx, r6(s) as s, volume from r")
 def episode_order(e: Episodes):
-    return round6_all(newest_rows(e.trade, 3).select("sample_id", "idx", "s", "volume"), "volume")
+    return round6_all(e.trade.ordered(total=None).select("sample_id", "idx", "s", "volume"), "volume")
 
 
 @check("s2_stable_event_order", views="trade", select=f"select sample_id, {TIES}, row_number() over (partition by sample_id order by s desc, {TIES}) - 1 as pos from trade")

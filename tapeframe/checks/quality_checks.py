@@ -8,11 +8,11 @@ from ..functions.aggregates import cosine
 from ..functions.scalars import round6_all
 from ..operators import grid, quality as Q, sequences as S
 from ..operators.ordered import find_hot
-from ..plans import book
+from ..plans import names
 from ..sources.adapters import Episodes
 from .registry import check
 from .sequence_checks import CELLS, FILL, FLOW, SNAP, TOT
-from .factor_checks import EXT3_BOOK, rounded
+from .screening_checks import ALL_FACTORS, AV, all_factors
 from .sql import TIES
 
 PROFILE = """p as (select sample_id, min(s) as clock_min, max(s) as clock_max, cast(count(*) as double) as row_count from {src} group by 1)"""
@@ -33,14 +33,14 @@ def profile_trades(e: Episodes):
     return round6_all(Q.table_profile(e.trade, hot=e.hot_all))
 
 
-COLS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_discount")
-KINDS = {"l_linenumber": "int", "l_returnflag": "string", "l_linestatus": "string", "l_discount": "double"}
+COLS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+KINDS = {c: "bigint" for c in COLS[:3]} | {"l_linenumber": "int", "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp_ntz"}
 
 
 @check(
     "io9_column_profile",
     select=" union all ".join(
-        f"select '{c}' as \"column\", '{KINDS.get(c, 'bigint')}' as type, count(*) as rows, count(*) - count({c}) as nulls, count(distinct {c}) as \"distinct\" from lineitem" for c in COLS
+        f"select '{c}' as \"column\", '{KINDS.get(c, 'double')}' as type, count(*) as rows, count(*) - count({c}) as nulls, count(distinct {c}) as \"distinct\" from lineitem" for c in COLS
     ),
 )
 def column_profile(e: Episodes):
@@ -186,7 +186,7 @@ def gate(e: Episodes):
 
 
 SPLIT = "case when month < 6 then 'train' else 'test' end"
-SHOWN = ["spread_n", "book_imb", "depth_rel", "dt", "rel_t", "tvol_dep"]
+SHOWN = list(SNAP)
 
 
 @check(
@@ -212,18 +212,14 @@ def index_rows(e: Episodes):
     return Q.index_consistency(S.snapshot_index(e.market), e.calendar)
 
 
-NULLED = list(EXT3_BOOK)
-
-
 @check(
     "dq9_null_shares",
-    views="bk",
-    ctes="x as (select sample_id, " + rounded(EXT3_BOOK) + " from bk group by 1), y as ("
-    + " union all ".join(f"select '{c}' as \"column\", avg(case when {c} is null then 1e0 else 0e0 end) as null_share from x" for c in NULLED) + ")",
-    select="select \"column\", r6(null_share) as null_share from y where null_share > 0.05",
+    views=AV,
+    ctes=ALL_FACTORS + ", y as (select " + ", ".join(f"avg(case when {c} is null then 1e0 else 0e0 end) as {c}" for c in names.ALL) + " from fx), z as (unpivot y on " + ", ".join(names.ALL) + " into name \"column\" value null_share)",
+    select="select \"column\", r6(null_share) as null_share from z where null_share > 0.005",
 )
 def null_report(e: Episodes):
-    return round6_all(Q.null_shares(book.factors(e.market, NULLED), NULLED, 0.05))
+    return round6_all(Q.null_shares(all_factors(e), names.ALL, 0.005))
 
 
 @check(

@@ -32,9 +32,11 @@ def with_file_order(df: DataFrame, name: str = "seq") -> DataFrame:
     return df.withColumn(name, F.col("_metadata.row_index"))
 
 
-def read_periods(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Per-period files as one scan, columns by name; columns a file lacks are null."""
-    return spark.read.option("mergeSchema", True).parquet(*paths)
+def read_periods(spark: SparkSession, paths: Sequence[str], *, base: str | None = None) -> DataFrame:
+    """Per-period files (patterns too) as one scan, columns by name; columns a file lacks are null. With `base`, the period comes from the names of
+    the folders below it, and a filter on it leaves whole folders out."""
+    reader = spark.read.option("mergeSchema", True)
+    return (reader.option("basePath", base) if base else reader).parquet(*paths)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
