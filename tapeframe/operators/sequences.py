@@ -183,6 +183,14 @@ def check_order(events: Tape, seq: str) -> Tape:
     return events
 
 
+def check_one_file(events: Tape, file: str) -> Tape:
+    """Raises when an episode's rows come from several files: positions in different files say nothing about their order."""
+    split = events.df.groupBy(events.key).agg((F.min(file) != F.max(file)).alias("_split")).where("_split").count()
+    if split:
+        raise ValueError(f"{split} episodes lie in more than one file")
+    return events
+
+
 def newest_array(
     long: DataFrame, channels: Sequence[str], size: int, *, key: str = "sample_id", pos: str = "pos", n: str = "n",
     full: int = MAX_SNAPSHOTS,

@@ -26,10 +26,11 @@ def read_table(
     raise FileNotFoundError(path)
 
 
-def with_file_order(df: DataFrame, name: str = "seq") -> DataFrame:
-    """Position of the row in its file, the tie-break for events with equal stamps. Call it directly
+def with_file_order(df: DataFrame, name: str = "seq", *, file: str | None = None) -> DataFrame:
+    """Position of the row in its file, the tie-break for events with equal stamps, and on request the file. Call it directly
     on a scan of files that keep an episode in one file."""
-    return df.withColumn(name, F.col("_metadata.row_index"))
+    df = df.withColumn(name, F.col("_metadata.row_index"))
+    return df.withColumn(file, F.col("_metadata.file_path")) if file else df
 
 
 def read_periods(spark: SparkSession, paths: Sequence[str], *, base: str | None = None) -> DataFrame:

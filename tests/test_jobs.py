@@ -61,3 +61,26 @@ def test_sequence_build_equals_the_plans(spark, root, tmp_path):
     assert compare(got, flow.toPandas()) == ""
     trades = round6_all(spark.read.parquet(f"{out}/trade_events").drop("month").where("n_ev > 0")).toPandas()
     assert compare(trades, PLANS["q7_trade_events"](e).where("n_ev > 0").toPandas()) == ""
+
+
+def test_misordered_and_split_episodes_are_refused(spark, tmp_path):
+    """The builds count on file order, so they look before they start."""
+    row = lambda k, s: (k, float(s), 1.0, 1.0, 0)
+    event = schema.TRADE
+    good = [row(1, 5), row(1, 5), row(1, 2), row(2, 9), row(2, 1)]
+    for name, parts, fault in (
+        ("good", [good], None),
+        ("misordered", [[row(1, 2), row(1, 5), *good[3:]]], "1 rows"),
+        ("split", [good[:1] + good[3:], good[1:3]], "more than one file"),
+    ):
+        path = f"{tmp_path}/{name}/test/transaction.parquet"
+        for part in parts:
+            spark.createDataFrame(part, event).coalesce(1).write.mode("append").parquet(path)
+        data = jobs.Data(spark, f"{tmp_path}/{name}", "test")
+        if fault is None:
+            rows = data.tape("transaction").ordered(newest=False).orderBy("sample_id", "idx").collect()
+            assert [(r.sample_id, r.s, r.seq) for r in rows] == [(1, 5.0, 0), (1, 5.0, 1), (1, 2.0, 2), (2, 9.0, 3), (2, 1.0, 4)]
+        else:
+            with pytest.raises(ValueError, match=fault):
+                data.tape("transaction")
+            assert jobs.Data(spark, f"{tmp_path}/{name}", "test", trusted=True).tape("transaction").df.count() == sum(map(len, parts))
