@@ -232,6 +232,20 @@ def best_shift(e: Episodes):
     return round6_all(J.best_shift(m, "sample_id"), "d")
 
 
+PRICE_BAND = 10  # prices of the adapter views hardly repeat between years; equal bands of this width do
+
+
+@check("j8_price_match", views="ord",
+       ctes=NEXT_YEAR.replace("price, ", f"cast(floor(price/{PRICE_BAND}e0) as bigint) as price, ", 1) + ", d as (select i*0.5e0 as d, i*5 as dt from (select unnest(range(1,120)) as i)), m as (select o1.sample_id, d, count(*) as events, count(o2.t) as matched from o1 join d on o1.t>=d.dt "
+       "left join o2 on o2.sample_id=o1.sample_id and o2.t=o1.t-d.dt and o2.price=o1.price and o2.volume=o1.volume and o2.side=o1.side and o2.order_action=o1.order_action group by 1,2)",
+       select="select sample_id, d, events, matched, r6(matched/cast(events as double)) as rate from m")
+def price_match(e: Episodes):
+    band = F.floor(F.col("price") / F.lit(float(PRICE_BAND))).cast("long").alias("price")
+    a = e.order.df.select("sample_id", "s", band, "volume", "side", "order_action")
+    b = a.withColumn("sample_id", F.col("sample_id") - 1)
+    return round6_all(J.shift_match(a, b, "sample_id", "s", ["price", "volume", "side", "order_action"], SHIFTS, 0.1), "d")
+
+
 STATE = [0.0, 60.0, 180.0, 300.0]
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.aggregates import cosine
 from ..functions.scalars import round6_all
-from ..operators import grid, quality as Q, sequences as S
+from ..operators import grid, quality as Q, sequences as S, slots
 from ..operators.ordered import find_hot
 from ..plans import names
 from ..sources.adapters import Episodes
@@ -222,15 +222,20 @@ def null_report(e: Episodes):
     return round6_all(Q.null_shares(all_factors(e), names.ALL, 0.005))
 
 
+SOFT = ("o_new_imb", "o_cancel_ratio", "t_imb")
+
+
 @check(
     "dq10_two_grids_agree",
     views="market ord trade months",
-    ctes=CHANNELS + ", c0 as (select sample_id, bin, " + ", ".join(f"{x.replace('+1e-6)', ')')} as {c}" for c, x in FLOW.items() if c in ("o_new_imb", "o_cancel_ratio", "t_imb")) + " from tt), "
-    + "j as (select " + ", ".join(f"ch.{c} as a_{c}, c0.{c} as b_{c}" for c in ("o_new_imb", "o_cancel_ratio", "t_imb")) + " from ch join c0 on ch.sample_id=c0.sample_id and ch.bin=c0.bin)",
-    select=" union all ".join(f"select '{c}' as \"column\", r6(max(abs(a_{c}-b_{c})/greatest(abs(a_{c}),1e0))) as worst, cast(0 as bigint) as unmatched from j" for c in ("o_new_imb", "o_cancel_ratio", "t_imb")),
+    ctes=CHANNELS + ", c0 as (select sample_id, bin, " + ", ".join(f"{x.replace('+1e-6)', ')') if c in SOFT else x} as {c}" for c, x in FLOW.items()) + " from tt), "
+    + "j as (select " + ", ".join(f"ch.{c} as a_{c}, c0.{c} as b_{c}" for c in FLOW) + ", ch.bin is null or c0.bin is null as alone from ch full join c0 on ch.sample_id=c0.sample_id and ch.bin=c0.bin)",
+    select=" union all ".join(f"select '{c}' as \"column\", r6(max(abs(a_{c}-b_{c})/greatest(abs(a_{c}),1e0))) as worst, fcnt(alone) as unmatched from j" for c in FLOW),
 )
 def grids_agree(e: Episodes):
-    return round6_all(Q.relative_difference(flow(e), flow(e, 0.0), ["sample_id", "bin"], ["o_new_imb", "o_cancel_ratio", "t_imb"]))
+    """The grid by windows against the grid by arrays, the latter without the small term of its soft ratios."""
+    arrays = slots.flow_channels(grid.flow_cells(e.order, e.trade, e.months), S.snapshot_index(e.market), eps=0.0)
+    return round6_all(Q.relative_difference(flow(e), arrays, ["sample_id", "bin"], grid.FLOW_CHANNELS))
 
 
 @check(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import round6_all
-from ..operators import grid, sequences as S
+from ..operators import grid, sequences as S, slots
 from ..sources.adapters import Episodes
 from .registry import check
 from .sql import TIES
@@ -277,6 +277,16 @@ def flow_grid(e: Episodes):
     return round6_all(grid.flow_channels(grid.flow_cells(e.order, e.trade, e.months), S.snapshot_index(e.market)))
 
 
+@check(
+    "q3_flow_arrays",
+    views="market ord trade months",
+    ctes=FILL + ", " + CELLS + ", " + TOT,
+    select="select sample_id, bin, " + ", ".join(f"r6({x}) as {c}" for c, x in FLOW.items()) + " from tt",
+)
+def flow_arrays(e: Episodes):
+    return round6_all(slots.flow_channels(grid.flow_cells(e.order, e.trade, e.months), S.snapshot_index(e.market)))
+
+
 DERIVE = """d0 as (select ce.*, U_s, coalesce(div(tb-ts, tb+ts),0e0) as im, coalesce(div(tpxv, tvol),0e0) as vw,
       coalesce(div(sum(tvol) over p, sum(tcnt) over p),0e0) as vmean from ce join sc using (sample_id) window p as (partition by sample_id)),
     d1 as (select *, case when tvol>0 then coalesce(abs(vw-lag(vw) over w),0e0) else 0e0 end as dpx,
@@ -322,6 +332,11 @@ def derived(e: Episodes):
     return round6_all(grid.derived_channels(grid.flow_cells(e.order, e.trade, e.months), S.snapshot_index(e.market)))
 
 
+@check("q4_derived_arrays", views="market ord trade months", ctes=ALL_DERIVED, select=derived_sql(*DERIVED))
+def derived_arrays(e: Episodes):
+    return round6_all(slots.derived_channels(grid.flow_cells(e.order, e.trade, e.months), S.snapshot_index(e.market)))
+
+
 def one_channel(name: str, *cols: str):
     @check(name, views="market ord trade months", ctes=ALL_DERIVED, select=derived_sql(*cols))
     def run(e: Episodes):

@@ -94,28 +94,32 @@ def shift_match(
     """Share of distinct events of `a` at least d seconds old whose copy, d seconds newer and equal in
     `attrs`, occurs in `b`, per pair and shift d. Clocks are compared on a grid of `step` seconds.
 
-    Only events whose attributes occur in `b` at all are tried at every shift; how many events are old
-    enough for a shift comes from counts per pair and shift class."""
+    Each side is one row per pair and attributes with the set of its ticks, and a shift is an intersection of two such sets, so no
+    row is copied per shift. A set has an entry per tick of the clock's span at most. How many events are old enough for a shift comes
+    from counts per pair and shift class."""
     tick = F.round(F.col(clock) / F.lit(step)).cast("long")
-    left = a.select(pair_key, tick.alias("_t"), *attrs).distinct()
-    right = b.select(pair_key, tick.alias("_t"), *attrs).distinct()
+    left = a.select(pair_key, tick.alias("_t"), *attrs)
+    right = b.select(pair_key, tick.alias("_t"), *attrs)
     ds = sorted(float(d) for d in shifts)
-    ticks = [int(round(d / step)) for d in ds]
-    grid = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(t).cast("long").alias("dt")) for d, t in zip(ds, ticks)])
+    ticks = F.array(*[F.lit(int(round(d / step))).cast("long") for d in ds])
 
     # class = number of shifts an event is old enough for; the running total from the top counts events
-    klass = F.size(F.filter(F.array(*[F.lit(t) for t in ticks]), lambda x: x <= F.col("_t")))
-    classes = left.groupBy(pair_key, klass.alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    klass = F.size(F.filter(ticks, lambda x: x <= F.col("_t")))
+    classes = left.distinct().groupBy(pair_key, klass.alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
     every = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("_c"), F.lit(d).alias("d")) for i, d in enumerate(ds)])).alias("_e")
     slots = left.select(pair_key).distinct().select(pair_key, every).select(pair_key, "_e._c", "_e.d", F.lit(0).cast("long").alias("_n"))
     both = classes.withColumn("d", F.lit(None).cast("double")).unionByName(slots)
     from_top = Window.partitionBy(pair_key).orderBy(F.col("_c").desc()).rangeBetween(Window.unboundedPreceding, 0)
     old_enough = both.withColumn("events", F.sum("_n").over(from_top)).where(F.col("d").isNotNull() & (F.col("events") > 0))
 
-    tried = left.join(right.select(pair_key, *attrs).distinct(), [pair_key, *attrs], "left_semi")
-    moved = tried.select("*", F.explode(F.filter(grid, lambda g: g["dt"] <= F.col("_t"))).alias("_g"))
-    moved = moved.select(pair_key, *attrs, F.col("_g.d").alias("d"), (F.col("_t") - F.col("_g.dt")).alias("_t"))
-    hits = moved.join(right, [pair_key, "_t", *attrs], "left_semi").groupBy(pair_key, "d").agg(F.count(F.lit(1)).alias("matched"))
+    mine = left.groupBy(pair_key, *attrs).agg(F.collect_set("_t").alias("_a"))
+    theirs = right.groupBy(pair_key, *attrs).agg(F.collect_set("_t").alias("_b"))
+    equal = lambda dt: F.size(F.array_intersect("_a", F.transform("_b", lambda t: t + dt)))
+    sets = mine.join(theirs, [pair_key, *attrs]).select(pair_key, F.transform(ticks, equal).alias("_m"))
+    sums = sets.groupBy(pair_key).agg(F.array(*[
+        F.struct(F.lit(d).alias("d"), F.sum(F.col("_m")[i]).alias("matched")) for i, d in enumerate(ds)
+    ]).alias("_m"))
+    hits = sums.select(pair_key, F.inline("_m"))
     return old_enough.select(pair_key, "d", "events").join(hits, [pair_key, "d"], "left").select(
         pair_key, "d", "events", F.coalesce("matched", F.lit(0)).alias("matched"),
         div(F.coalesce("matched", F.lit(0)), "events").alias("rate"),
