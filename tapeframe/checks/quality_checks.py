@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions.aggregates import cosine
 from ..functions.scalars import round6_all
-from ..operators import grid, quality as Q, sequences as S, slots
+from ..operators import grid, quality as Q, screening, sequences as S, slots
 from ..operators.ordered import find_hot
 from ..plans import names
 from ..sources.adapters import Episodes
 from .registry import check
-from .sequence_checks import CELLS, FILL, FLOW, SNAP, TOT
+from .sequence_checks import CELLS, DERIVE, DERIVED, FILL, FLOW, SNAP, TOT
 from .screening_checks import ALL_FACTORS, AV, all_factors
 from .sql import TIES
 
@@ -238,6 +238,30 @@ def grids_agree(e: Episodes):
     return round6_all(Q.relative_difference(flow(e), arrays, ["sample_id", "bin"], grid.FLOW_CHANNELS))
 
 
+SCREENED = [*grid.FLOW_CHANNELS, *grid.DERIVED_CHANNELS]
+
+
+@check(
+    "e5_screen_channels",
+    views="market ord trade months label",
+    ctes=CHANNELS + ", " + DERIVE + ", dv as (select sample_id, bin, " + ", ".join(f"{x} as {c}" for c, x in DERIVED.items()) + " from d3), "
+    + "red as (select ch.sample_id, " + ", ".join(f"avg({c}) as {c}_full, favg({c}, ch.bin>=58) as {c}_last2" for c in SCREENED)
+    + " from ch join dv on ch.sample_id=dv.sample_id and ch.bin=dv.bin group by 1), "
+    + "lg as (select month, target, unnest([" + ", ".join(f"{{'factor': '{c}', 'x': {c}_full, 'y': {c}_last2}}" for c in SCREENED) + "]) as u from red join label using (sample_id)), "
+    + "by_period as (select u.factor as factor, month, cosine(u.x, target) as cos from lg group by 1, 2), "
+    + "signs as (select factor, avg(case when cos>0 then 1e0 else 0e0 end) as pos_frac from by_period where cos is not null group by 1), "
+    + "overall as (select u.factor as factor, cosine(u.x, target) as cos_full, cosine(u.y, target) as cos_last, fcnt(abs(u.x)>=1e-9)/cast(count(*) as double) as nonzero, min(u.x)=max(u.x) as same from lg group by 1)",
+    select="""select factor, r6(nonzero) as nonzero, r6(cos_last) as cos_last, r6(cos_full) as cos_full, r6(pos_frac) as pos_frac,
+      case when same or nonzero<0.01 then 'dead' when greatest(abs(cos_last),abs(cos_full))<0.02 and (pos_frac is null or pos_frac<0.55) then 'drop'
+        when greatest(abs(cos_last),abs(cos_full))<0.05 then 'weak' else 'keep' end as verdict from overall left join signs using (factor)""",
+)
+def screen_channels(e: Episodes):
+    cells, scale = grid.flow_cells(e.order, e.trade, e.months), S.snapshot_index(e.market)
+    both = grid.join_channels(slots.flow_channels(cells, scale), slots.derived_channels(cells, scale))
+    labelled = grid.reduce_grid(both).join(e.label.select("sample_id", "month", "target"), "sample_id")
+    return round6_all(screening.screen_channels(labelled, SCREENED, dead=0.02))
+
+
 @check(
     "so3_difference",
     views="trade ord",

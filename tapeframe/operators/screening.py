@@ -95,6 +95,32 @@ def keep_or_drop(table: DataFrame, *, dead: float = 0.002, steady: float = 0.55)
     return table.withColumn("verdict", verdict)
 
 
+def screen_channels(
+    reduced: DataFrame, channels: Sequence[str], *, target="target", period="month", filled: float = 0.01, dead: float = 0.002, tiny: float = 1e-9,
+) -> DataFrame:
+    """(factor, nonzero, cos_last, cos_full, pos_frac, verdict) per grid channel, from its means over all bins (`_full`) and over the
+    last two (`_last2`). A channel that is constant or non-zero in less than `filled` of the episodes is dead; signs per period are
+    those of the whole-window mean. A mean below `tiny` counts as zero: terms that cancel leave a rest that depends on their order.
+
+    One aggregation over (channel, period) with mergeable sums; a second one over its few rows."""
+    pair = lambda c: F.struct(F.lit(c).alias("factor"), F.col(f"{c}_full").alias("full"), F.col(f"{c}_last2").alias("last"))
+    long = reduced.select(period, target, F.inline(F.array(*[pair(c) for c in channels])))
+    products = {"ft": F.col("full") * F.col(target), "lt": F.col("last") * F.col(target), "ff": F.col("full") * F.col("full"), "ll": F.col("last") * F.col("last"), "tt": F.col(target) * F.col(target)}
+    part = long.groupBy("factor", period).agg(
+        *[F.sum(x).alias(c) for c, x in products.items()], F.count(F.lit(1)).alias("n"), F.count_if(F.abs("full") >= tiny).alias("some"),
+        F.min("full").alias("lo"), F.max("full").alias("hi"),
+    )
+    cos = lambda xy, xx, yy: div(xy, F.sqrt(xx * yy))
+    part = part.withColumn("cos", cos(F.col("ft"), F.col("ff"), F.col("tt")))
+    whole = part.groupBy("factor").agg(
+        div(F.sum("some"), F.sum("n")).alias("nonzero"), (F.min("lo") == F.max("hi")).alias("constant"),
+        cos(F.sum("lt"), F.sum("ll"), F.sum("tt")).alias("cos_last"), cos(F.sum("ft"), F.sum("ff"), F.sum("tt")).alias("cos_full"),
+        F.avg(F.when(F.col("cos").isNotNull(), (F.col("cos") > 0).cast("double"))).alias("pos_frac"),
+    )
+    empty = F.col("constant") | (F.col("nonzero") < filled)
+    return keep_or_drop(whole, dead=dead).withColumn("verdict", F.when(empty, "dead").otherwise(F.col("verdict"))).drop("constant")
+
+
 # ---- composites ---------------------------------------------------------------------------------
 
 

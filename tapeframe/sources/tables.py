@@ -60,6 +60,33 @@ def write_periods(df: DataFrame, path: str, period: str = "month") -> None:
     )
 
 
+def write_events(df: DataFrame, path: str, periods: DataFrame, *, key: str = "sample_id", order: str = "seq") -> None:
+    """Events in one folder per period, with the column `order` that keeps their place. `periods` is (key, month); events of other
+    episodes are left out. Ranges of (month, key) go to one task each, so an episode stays in one file, and a file is sorted by
+    (key, order)."""
+    (
+        df.join(periods.select(key, "month"), key)
+        .repartitionByRange("month", key)
+        .sortWithinPartitions("month", key, order)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .option("compression", "zstd")
+        .option("maxRecordsPerFile", 0)
+        .partitionBy("month")
+        .parquet(path)
+    )
+
+
+def read_events(spark: SparkSession, path: str, schema: T.StructType, periods: Sequence[int] | None = None, *, order: str = "seq") -> DataFrame | None:
+    """What `write_events` wrote, None where it wrote nothing; folders of other periods are not listed in the scan."""
+    stored = T.StructType([*schema.fields, T.StructField(order, T.LongType()), T.StructField("month", T.IntegerType())])
+    try:
+        df = read_table(spark, path, stored)
+    except FileNotFoundError:
+        return None
+    return df if periods is None else df.where(F.col("month").isin(list(periods)))
+
+
 def convert(df: DataFrame, path: str) -> None:
     """zstd parquet rewrite that leaves an existing target alone."""
     df.write.mode("ignore").option("compression", "zstd").parquet(path)

@@ -1,5 +1,7 @@
 """The batch builds from files: same values as the plans on the adapter views, periods replaced one by one."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +86,24 @@ def test_misordered_and_split_episodes_are_refused(spark, tmp_path):
             with pytest.raises(ValueError, match=fault):
                 data.tape("transaction")
             assert jobs.Data(spark, f"{tmp_path}/{name}", "test", trusted=True).tape("transaction").df.count() == sum(map(len, parts))
+
+
+def test_event_tables_by_month_are_pruned_and_give_the_same_factors(spark, root, tmp_path):
+    """A layout of its own copy: only the wanted month's folder is read, place and values stay."""
+    copy, wanted = f"{tmp_path}/data", ["t_imb_2s", "ofi_norm", "m_rv60", "t_large_buy", "x_large_imb_15"]
+    for name in ("label", *jobs.EVENTS):
+        spark.read.parquet(f"{root}/train/{name}.parquet").coalesce(1).write.parquet(f"{copy}/train/{name}.parquet")
+    before = jobs.factor_table(jobs.Data(spark, copy, "train", [3]), wanted).toPandas()
+    was = jobs.Data(spark, copy, "train", [2, 3]).tape("transaction").df.toPandas()
+    jobs.Data(spark, copy, "train").lay_out()
+    data = jobs.Data(spark, copy, "train", [2, 3])
+    tape = data.tape("transaction")
+    plan = tape.df._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*month#\d+ IN \(2,3\)", plan) and "Join" not in plan
+    assert compare(tape.df.toPandas(), was) == ""
+    again = jobs.factor_table(jobs.Data(spark, copy, "train", [3]), wanted).toPandas()
+    assert len(again) and compare(round6_all(spark.createDataFrame(again)).toPandas(), round6_all(spark.createDataFrame(before)).toPandas()) == ""
+    jobs.Data(spark, copy, "train", [3]).lay_out()
+    assert compare(jobs.Data(spark, copy, "train", [2, 3]).tape("transaction").df.toPandas(), was) == ""
+    with pytest.raises(ValueError, match="training split"):
+        jobs.Data(spark, root, "test").lay_out()

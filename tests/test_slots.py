@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeframe.operators import grid, quality, sequences, slots
 from tapeframe.operators.joins import shift_match
+from tapeframe.operators.screening import screen_channels
 from tapeframe.sources.adapters import Episodes
 
 
@@ -61,3 +62,16 @@ def test_shift_match_equals_sets(spark):
             if old:  # events without a price are counted and match nothing
                 want[k, d] = len(old), sum(p is not None and (t - round(d * 10), p, v) in theirs for t, p, v in old)
     assert got == want
+
+
+def test_channels_are_screened_by_the_last_bins_too(spark):
+    """Target 1, -1, 1, -1 ...: `late` follows it in its last bins only, `flat` is constant, `noise` has cosine 0 in both."""
+    rows = [(m, t, 0.0 if i % 2 else 1e-12, t, 2.0, 2.0, float(i < 2), float(i < 2), t, t) for m in (0, 1) for i, t in enumerate([1.0, -1.0] * 4)]
+    names = ["month", "target", "late_full", "late_last2", "flat_full", "flat_last2", "noise_full", "noise_last2", "all_full", "all_last2"]
+    df = spark.createDataFrame(rows, names)
+    got = {r.factor: r for r in screen_channels(df, ["flat", "noise", "all"], dead=0.02).collect()}
+    assert (got["flat"].verdict, got["noise"].verdict, got["all"].verdict) == ("dead", "drop", "keep")
+    assert got["all"].pos_frac == 1.0 and got["noise"].nonzero == 0.25 and got["noise"].cos_full == 0.0
+    late = screen_channels(df.withColumn("late_full", df.noise_full), ["late"], dead=0.02).first()
+    assert (late.verdict, late.cos_last, late.cos_full) == ("keep", 1.0, 0.0)
+    assert screen_channels(df, ["late"]).first().verdict == "dead"  # rests below `tiny` are no values
