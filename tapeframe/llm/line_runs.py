@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .columns import free_names
 from .storage import stored
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -89,10 +90,27 @@ def suffix_array(names: DataFrame, label: str = "suffixes") -> DataFrame:
         h, turn = 2 * h, turn + 1
 
 
+def later_windows(starts: DataFrame, n: int) -> DataFrame:
+    """(d, t, j): where n lines begin that also stand at an earlier place. starts: (d, t, j, left, ranks, copied).
+
+    Of a power of two that is what doubling has found. For another n, with h the power of two below it, n lines are equal
+    if their first h and their last h are, and those have ranks already: the intervals whose longest common prefix
+    reaches n lines are the classes of such pairs. A suffix without a rank of h lines has none or is the only one."""
+    turn = n.bit_length() - 1
+    h = 1 << turn
+    if n == h:
+        return starts.where(F.col("copied") >= n).select(*AT)
+    known = starts.where(F.size("ranks") > turn).select(*AT, "left", F.get("ranks", F.lit(turn)).alias("r"))
+    ends = known.select("d", "t", (F.col("j") - (n - h)).alias("j"), F.col("r").alias("r2"))
+    windows = stored(known.where(F.col("left") >= n).join(ends, AT).select(*AT, "r", "r2"), "windows")
+    first = windows.groupBy("r", "r2").agg(F.min(F.struct(*AT)).alias("first"))
+    return windows.join(first, ["r", "r2"]).where(F.struct(*AT) != F.col("first")).select(*AT)
+
+
 def repeated_lines(docs: DataFrame, *, min_lines: int = 2, min_words: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(d, t, i): the lines to delete, i their places in the text, each once."""
-    if min_lines < 1 or min_lines & (min_lines - 1):
-        raise ValueError("min_lines is a power of two")
+    if min_lines < 1:
+        raise ValueError("min_lines is at least 1")
     lines = lines_of(docs, key, text, max(1, min_words))
     often = lines.groupBy("h1", "h2").agg(F.count("*").alias("size"), F.min(F.struct(*AT)).alias("first")).where("size > 1")
     named = ranked(often, ["h1", "h2"], 0, "lines").withColumnRenamed("rank", "r")
@@ -104,37 +122,37 @@ def repeated_lines(docs: DataFrame, *, min_lines: int = 2, min_words: int = 8, k
     seen = seen.withColumn("left", F.max("j").over(W.partitionBy("d", "t", "stretch")) - F.col("j") + 1).drop("stretch")
     seen = stored(seen, "repeated")
     found = suffix_array(seen.select(*AT, "left", "r", "size", "first"))
-    starts = seen.join(found, AT).where("copied > 0")
-    runs = starts.where(F.col("copied") >= min_lines).select("d", "t", F.explode(F.sequence(F.col("j"), F.col("j") + F.col("copied") - 1)).alias("j"))
-    alone = starts.where("long").select(*AT)
+    starts = seen.drop("r", "size", "first").join(found, AT)
+    windows = later_windows(starts, min_lines)
+    runs = windows.select("d", "t", F.explode(F.sequence(F.col("j"), F.col("j") + min_lines - 1)).alias("j"))
+    alone = starts.where("copied > 0 and long").select(*AT)
     return seen.join(runs.unionByName(alone).distinct(), AT, "left_semi").select("d", "t", "i")
 
 
 def delete_repeats(docs: DataFrame, *, min_lines: int = 2, min_words: int = 8, key: str = "doc_id", text: str = "text", counts: tuple[str, str] | None = None) -> DataFrame:
     """docs with later copies deleted from the text. counts: names for two more columns, the lines with a word and
     how many of them went."""
+    lost, d_of, t_of = free_names(docs, "__gone", "__d", "__t")
     gone = repeated_lines(docs, min_lines=min_lines, min_words=min_words, key=key, text=text)
-    listed = gone.groupBy("d", "t").agg(F.collect_list("i").alias("__gone")).withColumnsRenamed({"d": "__d", "t": "__t"})
+    listed = gone.groupBy("d", "t").agg(F.collect_list("i").alias(lost)).withColumnsRenamed({"d": d_of, "t": t_of})
     d, t = _identity(docs, key, text)
-    joined = docs.join(listed, (d == F.col("__d")) & (t == F.col("__t")), "left")
+    joined = docs.join(listed, (d == F.col(d_of)) & (t == F.col(t_of)), "left")
     lines = F.split(docs[text], "\n")
 
     def without(x: Column) -> Column:
-        kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__gone")), lambda i: F.get(x, i))
+        kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(lost)), lambda i: F.get(x, i))
         return F.transform(F.array(F.array_join(kept, "\n")), lambda s: F.when(s.rlike(WORD), s).otherwise(F.lit("")))[0]
 
-    new = F.when(F.col("__gone").isNull(), docs[text]).otherwise(F.transform(F.array(lines), without)[0])
+    new = F.when(F.col(lost).isNull(), docs[text]).otherwise(F.transform(F.array(lines), without)[0])
     columns = [new.alias(c) if c == text else docs[c] for c in docs.columns]
     if counts:
-        columns += [F.size(_worded(docs[text])).cast("long").alias(counts[0]), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias(counts[1])]
+        columns += [F.size(_worded(docs[text])).cast("long").alias(counts[0]), F.coalesce(F.size(lost), F.lit(0)).cast("long").alias(counts[1])]
     return joined.select(*columns)
 
 
 def without_repeats(docs: DataFrame, *, min_lines: int = 2, min_words: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without later copies and without the texts of which nothing is left by that; columns unchanged."""
-    before = "__had_words"
-    while before in docs.columns:
-        before += "_"
+    (before,) = free_names(docs, "__had_words")
     marked = docs.withColumn(before, F.coalesce(docs[text].rlike(WORD), F.lit(False)))
     out = delete_repeats(marked, min_lines=min_lines, min_words=min_words, key=key, text=text)
     return out.where(~(out[before] & (out[text] == ""))).drop(before)

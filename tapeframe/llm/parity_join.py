@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
+from .columns import free_names
 from .components import components
 from .pieces import spread
 from .storage import stored
@@ -282,5 +283,6 @@ def one_of_each(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, k
     """The rows of docs that stay: of every component the one with the smallest id; columns unchanged. Rows with a null
     id stay, and of rows with one and the same id and linked texts all do."""
     found = classes(docs, k=k, num=num, den=den, key=key, text=text)
-    gone = found.where("id <> component").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, docs[key].cast("long") == F.col("__gone"), "left_anti")
+    (lost,) = free_names(docs, "__gone")
+    gone = found.where("id <> component").select(F.col("id").alias(lost)).distinct()
+    return docs.join(gone, docs[key].cast("long") == F.col(lost), "left_anti")

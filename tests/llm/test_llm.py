@@ -257,7 +257,7 @@ def brute_lines(rows, min_lines, min_words):
     return out
 
 
-@pytest.mark.parametrize("min_lines", [2, 4])
+@pytest.mark.parametrize("min_lines", [1, 2, 3, 4, 5, 7])
 def test_line_runs(spark, min_lines):
     rnd = random.Random(4)
     rows = [(i, "\n".join(rnd.choice(["a b", "c", "d e f", "", " ", "g h i j"]) if rnd.random() < 0.8 else f"own {rnd.random()}" for _ in range(rnd.randint(0, 9)))) for i in range(40)]
@@ -268,13 +268,24 @@ def test_line_runs(spark, min_lines):
     assert {r["doc_id"]: r["text"] for r in got.collect()} == brute_lines(rows, min_lines, 4)
 
 
+def test_stages_keep_columns_of_their_own_names(spark):
+    """Columns named like an operator's own stay as they are."""
+    names = ["doc_id", "text", "__gone", "__D", "__t", "__had_words"]
+    rows = [(1, "a b c d\ne f g h", 7, 8, 9, 1), (2, "a b c d\ne f g h\nown", 4, 5, 6, 2)]
+    df = spark.createDataFrame(rows, names)
+    assert sorted(tuple(r) for r in line_runs.delete_repeats(df).collect()) == [rows[0], (2, "own", 4, 5, 6, 2)]
+    assert [tuple(r) for r in line_runs.without_repeats(df.where("doc_id = 1")).collect()] == rows[:1]
+    same = spark.createDataFrame([(1, "a b c d e f g", 7), (2, "a b c d e f g", 8)], ["doc_id", "text", "__GONE"])
+    assert [tuple(r) for r in parity_join.one_of_each(same).collect()] == [(1, "a b c d e f g", 7)]
+
+
 def test_line_runs_edges(spark, nothing):
     assert line_runs.delete_repeats(nothing).count() == 0
     same = spark.createDataFrame([(1, "a b c d\ne f g h"), (1, "a b c d\ne f g h"), (None, "q r s t u v w x\ny"), (5, "q r s t u v w x\ny")], "doc_id long, text string")
     got = line_runs.without_repeats(same).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == [(0, "q r s t u v w x\ny"), (1, "a b c d\ne f g h"), (1, "a b c d\ne f g h")]
     with pytest.raises(ValueError):
-        line_runs.repeated_lines(same, min_lines=3)
+        line_runs.repeated_lines(same, min_lines=0)
 
 
 # --- similarity join
