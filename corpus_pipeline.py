@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeframe.llm import language, line_runs, packing, parity_join, quality
+from tapeframe.llm.columns import free_names
 from tapeframe.llm.storage import stored
 
 
@@ -22,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model accepts; it is fitted on a bounded sample of their labels."""
     model = language.train(docs, F.lit(True))
-    names = ("__lang_pred", "__lang_score", "__lang_accepted")
+    names = tuple(free_names(docs, "__lang_pred", "__lang_score", "__lang_accepted"))
     return language.predict(docs, model, names=names).where(names[2]).drop(*names)
 
 
