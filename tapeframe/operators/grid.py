@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.aggregates import fsum
 from ..functions.scalars import clip, div, ratio0
-from .ordered import Tape, with_group_values
+from .ordered import Tape, dealt, with_group_values
 
 BINS = 60
 EPS = 1e-6
@@ -34,8 +34,8 @@ def bin_of_clock(clock: str | Column = "s", bins: int = BINS) -> Column:
 
 def flow_cells(orders: Tape, trades: Tape, ids: DataFrame) -> DataFrame:
     """Raw aggregates per (episode, bin) for every episode of `ids` and all 60 bins, 0 where nothing
-    happened. Empty bins travel as zero rows of the same union, so orders, trades and grid meet in one
-    shuffle that is combined map-side."""
+    happened. Empty bins travel as zero rows of the same union. Episodes below the row limit are dealt in tasks of a bounded
+    number of events; else orders, trades and grid meet in one shuffle that is combined map-side."""
     k = trades.key
     t = with_group_values(trades, {"_vmean": F.avg("volume")})
     shape = [k, "bin", "src", "s", "price", "volume", "side", "action", "big"]
@@ -54,7 +54,11 @@ def flow_cells(orders: Tape, trades: Tape, ids: DataFrame) -> DataFrame:
         none.cast("double").alias("s"), none.cast("double").alias("price"), none.cast("double").alias("volume"),
         none.cast("int").alias("side"), none.cast("int").alias("action"), F.lit(False).alias("big"),
     )
-    rows = o.select(shape).unionByName(t.select(shape)).unionByName(grid)
+    o, t = o.select(shape), t.select(shape)
+    if trades.rows is not None and trades.hot is None and orders.hot is None:
+        # the raw events are narrower than their cells: dealt by episode once, their aggregates and windows need no further exchange
+        o, t, grid = dealt(o, k, trades.rows), dealt(t, k, trades.rows), dealt(grid, k, trades.rows)
+    rows = o.unionByName(t).unionByName(grid)
     is_o, is_t, buy, sell = F.col("src") == "o", F.col("src") == "t", F.col("side") == 0, F.col("side") == 1
     new, gone = F.col("action") == 0, F.col("action") == 1
     pv, zero = F.col("price") * F.col("volume"), F.lit(0.0)

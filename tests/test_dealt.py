@@ -1,8 +1,10 @@
 """Plans that deal events by their number: as many tasks as the rows ask for, the same values."""
 
+import re
+
 from oracle import compare
 from tapeframe.functions.scalars import round6_all
-from tapeframe.operators import ordered
+from tapeframe.operators import grid, ordered
 from tapeframe.operators.ordered import Tape, dealt
 from tapeframe.plans import cross
 
@@ -45,3 +47,14 @@ def test_second_and_quantile_factors(spark, monkeypatch):
     assert abs(one["m_imb_med"] - (imb[1] + imb[2]) / 2) < 1e-12 and one["m_imb_q25"] == imb[1]
     monkeypatch.setattr(ordered, "ROWS_PER_TASK", 2)
     assert compare(round6_all(cross.catalogue(*tapes(spark, 21), wanted)).toPandas(), round6_all(plain).toPandas()) == ""
+
+
+def test_cells_of_dealt_events(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "ROWS_PER_TASK", 2)
+    ids = spark.createDataFrame([(1,), (2,), (3,), (4,)], "sample_id long")
+    (_, o, t), (_, o2, t2) = tapes(spark, 21), tapes(spark, None)
+    cells = grid.flow_cells(o, t, ids)
+    assert cells.rdd.getNumPartitions() == 11
+    assert "hashpartitioning(sample_id#" in (plan := cells._jdf.queryExecution().executedPlan().toString()) and ", bin#" not in "".join(re.findall(r"hashpartitioning\([^)]*\)", plan))
+    assert compare(round6_all(cells).toPandas(), round6_all(grid.flow_cells(o2, t2, ids)).toPandas()) == ""
+    assert cells.count() == 240
