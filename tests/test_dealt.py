@@ -1,10 +1,13 @@
 """Plans that deal events by their number: as many tasks as the rows ask for, the same values."""
 
 import re
+from dataclasses import replace
+
+from pyspark.sql import functions as F
 
 from oracle import compare
 from tapeframe.functions.scalars import round6_all
-from tapeframe.operators import grid, ordered
+from tapeframe.operators import grid, joins, ordered
 from tapeframe.operators.ordered import Tape, dealt
 from tapeframe.plans import cross
 
@@ -58,3 +61,16 @@ def test_cells_of_dealt_events(spark, monkeypatch):
     assert "hashpartitioning(sample_id#" in (plan := cells._jdf.queryExecution().executedPlan().toString()) and ", bin#" not in "".join(re.findall(r"hashpartitioning\([^)]*\)", plan))
     assert compare(round6_all(cells).toPandas(), round6_all(grid.flow_cells(o2, t2, ids)).toPandas()) == ""
     assert cells.count() == 240
+
+
+def test_state_match_copies_rows_after_dealing_them(spark, monkeypatch):
+    market = tapes(spark, None)[0]
+    later = market.map(lambda df: df.withColumn("sample_id", F.col("sample_id") - 1))
+    shifts = [0.0, 10.0, 15.0]
+    plain = joins.state_match(market, later, ["ask_volume_1", "bid_volume_1"], shifts)
+    monkeypatch.setattr(ordered, "ROWS_PER_TASK", 2)
+    got = joins.state_match(replace(market, rows=12), replace(later, rows=12), ["ask_volume_1", "bid_volume_1"], shifts)
+    exchanges = re.findall("Exchange hashpartitioning.*", got._jdf.queryExecution().executedPlan().toString())
+    assert len(exchanges) == 4 and all("REPARTITION_BY_NUM" in x for x in exchanges)  # rows, their range, states above and below
+    assert compare(got.toPandas(), plain.toPandas()) == ""
+    assert {(r["sample_id"], r["d"]): (r["rows"], r["matched"]) for r in got.collect()}[1, 0.0] == (4, 4)
