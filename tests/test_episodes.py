@@ -287,6 +287,21 @@ def test_edges_of_training_folds(spark):
     assert plan(["x"], 4) == plan(["x", "t", "k", "none"], 48)
 
 
+def test_values_far_from_every_quantile_go_before_rows_are_copied_per_fold(spark):
+    """The values kept are those whose ranks hold a quantile's neighbours, and few others; the copies per fold come after that filter."""
+    for n, bins, first, last in ((1, 4, 0, 4), (2, 2, 1, 1), (7, 48, 0, 48), (1000, 48, 0, 48), (1001, 2, 1, 1), (997, 100, 90, 90)):
+        for m in (1, 3):
+            rows = spark.range(0, n, m).select(F.col("id").alias("b"), F.least(F.lit(m), F.lit(n) - F.col("id")).alias("m"), F.lit(n).cast("long").alias("n"))
+            kept = {r.b for r in rows.where(folds._may_cover(F.col("b"), F.col("m"), F.col("n"), bins, first, last)).collect()}
+            places = [(n - 1) * (i / bins) for i in range(first, last + 1)]
+            needed = {int(f(p)) // m * m for p in places for f in (math.floor, math.ceil)}
+            assert needed <= kept and len(kept) <= 4 * len(places)
+    df = spark.createDataFrame([(i % 3, float(i)) for i in range(30)], "fold int, x double")
+    plan = folds.quantile_edges(df, ["x"], 3, bins=48, hot=None, limit=10**6)._jdf.queryExecution().optimizedPlan().toString()
+    copies = plan.index("Generate explode(array(struct(val_fold, 0")
+    assert "FLOOR" in plan[copies:]  # the filter is below the copies
+
+
 def test_more_features_never_fit_the_training_rows_worse(spark):
     """The refit curve's models: a cut chosen among more features has no larger weighted error on the rows it was chosen on."""
     rng = np.random.default_rng(6)
